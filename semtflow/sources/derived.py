@@ -87,6 +87,7 @@ def addresses(spark: SparkSession, sf_dir: str, table: str = "customer", key: st
 EVENT_COLUMNS = [
     "event_id",
     "ts",
+    "user_id",
     "event_type AS pattern_id",
     "CASE user_id % 4 WHEN 0 THEN 'pattern_primary' WHEN 1 THEN 'ml_primary'"
     " WHEN 2 THEN 'hybrid' ELSE 'fallback' END AS method",
