@@ -59,28 +59,24 @@ def located(
     if not keys:
         keys = ["__all"]
         base = base.withColumn("__all", F.lit(1))
-    first = levels[0][0]
-    hist = base.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("__cnt"))
-    total = hist.groupBy(*keys).agg(F.sum("__cnt").alias("__n"))
+    cnt = F.count(F.lit(1)).alias("__cnt")
+    hist = base.groupBy(*keys, levels[0][0]).agg(cnt)
+    hist = hist.withColumn("__n", F.sum("__cnt").over(Window.partitionBy(*keys)))
     wanted = [F.struct(F.lit(k).alias("pick"), fn(F.col("__n")).cast("long").alias("__pos")) for k, fn in picks.items()]
-    cur = total.select(*keys, F.explode(F.array(*wanted)).alias("__w")).select(*keys, "__w.pick", "__w.__pos")
-    cur = cur.filter(F.col("__pos").isNotNull())
     found: list[str] = []
-    for i, (name, _) in enumerate(levels):
-        if i == 0:
-            group, join_on = keys, keys
-        else:
-            group = [*keys, *found]
-            join_on = group
-            places = cur.select(*group).distinct()
-            hist = base.join(places, group, "left_semi").groupBy(*group, name).agg(F.count(F.lit(1)).alias("__cnt"))
+    cur = None
+    for name, _ in levels:
+        group = [*keys, *found]
+        if cur is not None:
+            group.append("pick")
+            hist = base.join(cur, [*keys, *found]).groupBy(*group, "__pos", name).agg(cnt)
         upto = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("__upto", F.sum("__cnt").over(upto))
+        if cur is None:
+            hist = hist.withColumn("__w", F.explode(F.array(*wanted))).select(*hist.columns, "__w.pick", "__w.__pos")
         before = F.col("__upto") - F.col("__cnt")
-        cur = (
-            hist.join(cur, join_on)
-            .filter((before <= F.col("__pos")) & (F.col("__pos") < F.col("__upto")))
-            .select(*keys, "pick", *found, name, (F.col("__pos") - before).alias("__pos"))
+        cur = hist.filter((before <= F.col("__pos")) & (F.col("__pos") < F.col("__upto"))).select(
+            *keys, "pick", *found, name, (F.col("__pos") - before).alias("__pos")
         )
         found.append(name)
     return cur.drop("__pos", "__all")
