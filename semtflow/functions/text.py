@@ -6,6 +6,7 @@ every expression over Turkish text carries it.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -19,6 +20,22 @@ SPACES = r"(?U)\s+"
 EDGE_SPACES = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def table(rows: list | dict, ddl: str) -> Column:
+    """A constant array or map column, handed over as one text and folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), ddl)
+
+
+def exploded(df, rows: Column, name: str):
+    """One row per array entry. The outer form keeps the optimizer from copying
+    the array expression into a filter below; empty arrays are dropped after."""
+    return df.select(*df.columns, F.explode_outer(rows).alias(name)).filter(F.col(name).isNotNull())
+
+
 def strip(c: Column) -> Column:
     """Trim any white space, not only blanks."""
     return F.regexp_replace(c, EDGE_SPACES, "")
@@ -64,7 +81,7 @@ def compose(c: Column) -> Column:
 
     Marks out of canonical order keep their order; Hangul jamo stay as they are.
     """
-    pairs = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).alias("r")) for s, r in _compositions()])
+    pairs = table([{"s": s, "r": r} for s, r in _compositions()], "array<struct<s:string,r:string>>")
     joined = F.aggregate(pairs, c, lambda acc, p: F.replace(acc, p["s"], p["r"]))
     return F.when(c.rlike(r"\p{M}"), joined).otherwise(c)
 
@@ -94,8 +111,8 @@ def _abbreviation_steps(mapping: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def _expand_in_turn(c: Column, mapping: dict[str, str]) -> Column:
-    rows = [F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in _abbreviation_steps(mapping)]
-    return F.aggregate(F.array(*rows), c, lambda acc, s: F.regexp_replace(acc, s["p"], s["r"]))
+    rows = table([{"p": p, "r": r} for p, r in _abbreviation_steps(mapping)], "array<struct<p:string,r:string>>")
+    return F.aggregate(rows, c, lambda acc, s: F.regexp_replace(acc, s["p"], s["r"]))
 
 
 def _caseless(word: str) -> str:
@@ -122,10 +139,10 @@ def expand_abbrev(c: Column, mapping: dict[str, str] | None = None) -> Column:
         return _expand_in_turn(c, mapping)
     plain = {_caseless(k): v for k, v in mapping.items() if not k.endswith(":")}
     colon = {_caseless(k[:-1]): v for k, v in mapping.items() if k.endswith(":")}
-    table = F.create_map(*[F.lit(x) for kv in plain.items() for x in kv])
+    full = table(plain, "map<string,string>")
 
     def mapped(run: Column) -> Column:
-        return F.coalesce(F.element_at(table, F.translate(tr_lower(run), "ı", "i")), run)
+        return F.coalesce(F.element_at(full, F.translate(tr_lower(run), "ı", "i")), run)
 
     runs = F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W+)"), F.lit(0))
     if not colon:
@@ -165,9 +182,9 @@ def clean_text(
     if case:
         out = tr_lower(out)
     if unicode:
-        out = tr_unicode(out)
+        out = let(out, tr_unicode)
     if abbreviations:
-        out = expand_abbrev(out, mapping)
+        out = let(out, lambda x: expand_abbrev(x, mapping))
     if punctuation:
         out = clean_punct(out)
     return out

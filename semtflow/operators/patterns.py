@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semtflow.functions import fixed_values as fv
-from semtflow.functions.text import words
+from semtflow.functions.text import exploded, let, table, words
 
-GAP = "\x01"
+GAP, HIT = "\x01", "\x02"
 
 
 @dataclass(frozen=True)
@@ -95,30 +95,45 @@ def pattern_dim_stats(dim: DataFrame, hits: DataFrame) -> DataFrame:
     return slots.join(used, "pattern_id", "left").na.fill({"n_hits": 0})
 
 
+def _needed(p: Pattern, text: Column) -> Column:
+    """True where the literal words the pattern cannot do without all occur."""
+    found = F.lit(True)
+    for word in dict.fromkeys(re.findall(r"[^\s<>]+", re.sub(r"<[^>]+>", " ", p.text))):
+        stem = re.match(r"\w+", word)
+        spelled = WIDER.get(stem.group(0), re.escape(stem.group(0))) if stem else re.escape(word)
+        found = found & text.rlike("(?iU)" + spelled)
+    return found
+
+
 def _candidate(p: Pattern, text: Column) -> Column:
-    matched = F.regexp_extract(text, p.regex, 0)
-    marks = GAP.join(f"${s.grp}" for s in p.slots)
-    values = F.transform(F.split(F.regexp_replace(matched, p.regex, marks), GAP), F.trim)
-    return F.struct(
-        F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.priority).alias("priority"), matched.alias("matched"),
-        F.when(matched != "", values).alias("values"),
-        F.array(*[
-            F.struct(F.lit(s.name).alias("name"), F.lit(s.optional).alias("optional"), F.lit(s.type).alias("type"), F.lit(s.weight).alias("weight"))
-            for s in p.slots
-        ]).alias("slots"),
+    """Matched text, slot values and slots of one pattern, or null. One regex pass."""
+    body = p.regex.removeprefix("(?iU)")
+    groups = GAP.join(f"${s.grp + 1}" for s in p.slots)
+    marked = F.when(_needed(p, text), F.regexp_replace(text, f"(?iUs)^.*?({body}).*$", f"{HIT}$1{GAP}{groups}"))
+    slots = table(
+        [{"name": s.name, "optional": s.optional, "type": s.type, "weight": s.weight} for s in p.slots],
+        "array<struct<name:string,optional:boolean,type:string,weight:double>>",
     )
 
+    def read(m: Column) -> Column:
+        parts = F.split(F.substring(m, 2, 1 << 30), GAP)
+        return F.struct(
+            F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.priority).alias("priority"), F.element_at(parts, 1).alias("matched"),
+            F.transform(F.slice(parts, 2, len(p.slots)), F.trim).alias("values"), slots.alias("slots"),
+        )
+
+    return let(marked, lambda m: F.when(m.startswith(HIT), read(m)))
+
 
 def with_candidates(df: DataFrame, text: str = "text", rows: list[Pattern] | None = None) -> DataFrame:
     """Add ``candidates``: an array with one entry per pattern that occurs in the text."""
     rows = patterns() if rows is None else rows
-    tried = F.array(*[_candidate(p, F.col(text)) for p in rows])
-    return df.withColumn("candidates", F.filter(tried, lambda c: c["matched"] != ""))
+    return df.withColumn("candidates", F.array_compact(F.array(*[_candidate(p, F.col(text)) for p in rows])))
 
 
 def match_patterns(df: DataFrame, text: str = "text", rows: list[Pattern] | None = None) -> DataFrame:
     """One row per (address, pattern) hit."""
-    return with_candidates(df, text, rows).withColumn("c", F.explode("candidates")).select(
+    return exploded(with_candidates(df, text, rows), F.col("candidates"), "c").select(
         *df.columns, "c.pattern_id", "c.priority", "c.matched", "c.values", "c.slots")
 
 
@@ -205,23 +220,22 @@ def with_best_match(df: DataFrame, text: str = "text", thresholds: dict[str, flo
     """
     limit = F.lit(default)
     if thresholds:
-        table = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
+        learnt = table(thresholds, "map<string,double>")
 
     def scored(c: Column) -> Column:
         conf = match_confidence(c["matched"], F.col(text), c["slots"], c["values"])
         return F.struct(conf.alias("confidence"), c["priority"].alias("priority"), c["pattern_id"].alias("pattern_id"),
                         c["matched"].alias("matched"), slot_map(c["slots"], c["values"]).alias("slots"))
 
-    def over(c: Column) -> Column:
-        return c["confidence"] >= (F.coalesce(F.element_at(table, c["pattern_id"]), limit) if thresholds else limit)
+    def ahead(a: Column, b: Column) -> Column:
+        return (a["confidence"] > b["confidence"]) | ((a["confidence"] == b["confidence"]) & (a["priority"] > b["priority"]))
 
-    def better(a: Column, b: Column) -> Column:
-        ahead = (b["confidence"] > a["confidence"]) | ((b["confidence"] == a["confidence"]) & (b["priority"] > a["priority"]))
-        return F.when(a.isNull() | ahead, b).otherwise(a)
+    def over(c: Column) -> Column:
+        return c["confidence"] >= (F.coalesce(F.element_at(learnt, c["pattern_id"]), limit) if thresholds else limit)
 
-    kept = F.filter(F.transform("candidates", scored), over)
-    tried = with_candidates(df, text, rows).withColumn("kept", kept)
-    return tried.withColumn("best", F.when(F.size("kept") > 0, F.reduce(F.slice("kept", 2, 1000), F.element_at("kept", 1), better))).drop("candidates", "kept")
+    order = F.array_sort(F.filter(F.transform("candidates", scored), over), lambda a, b: F.when(ahead(a, b), -1).when(ahead(b, a), 1).otherwise(0))
+    tried = with_candidates(df, text, rows)
+    return tried.select(*df.columns, F.explode_outer(F.slice(order, 1, 1)).alias("best"))
 
 
 def best_match(scored: DataFrame, key: str = "addr_id") -> DataFrame:
