@@ -253,3 +253,20 @@ def pattern_features(confidence: Column, city: Column, district: Column, nbh: Co
         share.alias("pattern_completeness"),
         (conf * share).alias("pattern_consistency"),
     ]
+
+
+def title(c: Column) -> Column:
+    """First letter of each word up, the rest down; keeps a capital dotted İ whole."""
+    def word(w: Column) -> Column:
+        return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
+
+    return F.array_join(F.transform(F.split(c, " "), word), " ")
+
+
+def any_of(keywords: list[str], word: Column) -> Column:
+    return word.isin(keywords)
+
+
+def hits_of(c: Column, keywords: list[str]) -> Column:
+    """How many of the keywords occur in the text."""
+    return sum((c.contains(k).cast("int") for k in keywords), F.lit(0))
