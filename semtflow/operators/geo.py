@@ -244,21 +244,21 @@ def validate_postcode(c: Column) -> Column:
 def apply_geo_validation(df: DataFrame, dims: Dims, fields: str = "fields", warnings: str = "warnings") -> DataFrame:
     """Overwrite city, district and postcode of a field struct by their standard forms; add warnings."""
     keep = df.columns
-    step = df.withColumns({"__c": F.col(f"{fields}.city"), "__d": F.col(f"{fields}.district"), "__p": F.col(f"{fields}.postcode")})
+    step = df.withColumns({"__gc": F.col(f"{fields}.city"), "__gd": F.col(f"{fields}.district"), "__gp": F.col(f"{fields}.postcode")})
 
     def swap(step: DataFrame, col: str, verdict: str, said: str) -> DataFrame:
         new = F.col(f"{verdict}.value")
         moved = F.col(col).isNotNull() & new.isNotNull() & (new != F.col(col))
         return step.withColumns({said: F.when(moved, F.col(f"{verdict}.warnings")).otherwise(F.array().cast("array<string>")), col: F.when(moved, new).otherwise(F.col(col))})
 
-    step = swap(validate_city(step, "__c", dims, "__cv0"), "__c", "__cv0", "__w1")
-    step = swap(validate_district(step, "__d", dims, "__c", "__dv0"), "__d", "__dv0", "__w2")
-    both = F.col("__c").isNotNull() & F.col("__d").isNotNull()
-    step = validate_consistency(step.withColumns({"__cc": F.when(both, F.col("__c")), "__dd": F.when(both, F.col("__d"))}), "__cc", "__dd", dims, "__k")
-    step = swap(step.withColumn("__pv0", validate_postcode(F.col("__p"))), "__p", "__pv0", "__w4")
+    step = swap(validate_city(step, "__gc", dims, "__cv0"), "__gc", "__cv0", "__w1")
+    step = swap(validate_district(step, "__gd", dims, "__gc", "__dv0"), "__gd", "__dv0", "__w2")
+    both = F.col("__gc").isNotNull() & F.col("__gd").isNotNull()
+    step = validate_consistency(step.withColumns({"__cc": F.when(both, F.col("__gc")), "__dd": F.when(both, F.col("__gd"))}), "__cc", "__dd", dims, "__k")
+    step = swap(step.withColumn("__pv0", validate_postcode(F.col("__gp"))), "__gp", "__pv0", "__w4")
     w3 = F.when(both & ~F.col("__k.is_consistent"), F.col("__k.warnings")).otherwise(F.array().cast("array<string>"))
     made = F.col(fields)
-    for name, col in (("city", "__c"), ("district", "__d"), ("postcode", "__p")):
+    for name, col in (("city", "__gc"), ("district", "__gd"), ("postcode", "__gp")):
         made = made.withField(name, F.col(col))
     step = step.withColumns({fields: made, warnings: F.concat(F.col(warnings), F.col("__w1"), F.col("__w2"), w3, F.col("__w4"))})
     return step.select(*keep)
