@@ -36,6 +36,18 @@ def exploded(df, rows: Column, name: str):
     return df.select(*df.columns, F.explode_outer(rows).alias(name)).filter(F.col(name).isNotNull())
 
 
+def in_set(name: str, values) -> Column:
+    """Hash membership of a SQL expression in constant texts."""
+    quoted = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"{name} IN ({quoted})")
+
+
+def once(df, value: Column, name: str):
+    """Add a column that later steps may name many times without being computed again."""
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(name))
+
+
 def strip(c: Column) -> Column:
     """Trim any white space, not only blanks."""
     return F.regexp_replace(c, EDGE_SPACES, "")

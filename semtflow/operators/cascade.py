@@ -42,22 +42,24 @@ def normalize_addresses(df: DataFrame, dims: Dims | None = None, cfg: Config = C
     if "ml_confidence" not in df.columns:
         df = df.withColumns({"ml_fields": F.lit(None).cast("map<string,string>"), "ml_confidence": F.lit(None).cast("double")})
     base = df.select("addr_id", "address", "ml_fields", "ml_confidence")
-    step = with_best_match(base.withColumn("text", t.clean_text(F.col("address"))), thresholds=thresholds, default=cfg.default_threshold)
+    step = with_best_match(t.once(base, t.clean_text(F.col("address")), "text"), thresholds=thresholds, default=cfg.default_threshold)
     pc, ml = F.col("best.confidence"), F.coalesce(F.col("ml_confidence") >= cfg.ml, F.lit(False))
     route = (
         F.when(F.col("address").isNull(), "error").when(pc >= cfg.high, "pattern_high").when(ml & (pc >= cfg.medium), "ml_validation")
         .when(pc >= cfg.medium, "pattern_medium").when(ml, "ml_primary").otherwise("fallback"))
-    step = step.withColumn("method", route)
-    step = step.withColumn("__fb", F.when(F.col("method") == "fallback", F.col("address"))).drop("text")
+    step = t.once(step.drop("text"), route, "method")
+    step = step.withColumn("__fb", F.when(F.col("method") == "fallback", F.col("address")))
     step = step.withColumnRenamed("best", "__best").transform(normalize_fallback, col="__fb")
     is_pattern, is_ml = F.col("method").startswith("pattern"), F.col("method").startswith("ml")
     none = F.array().cast("array<string>")
-    step = step.withColumns({
+    made = F.struct(*[c.alias(n) for n, c in {
         "fields": F.when(is_pattern, _fields_of(slots_to_fields(F.col("__best.slots")))).when(is_ml, _fields_of(F.col("ml_fields"))).otherwise(F.col("fields")),
         "confidence": F.when(is_pattern, F.col("__best.confidence")).when(is_ml, F.col("ml_confidence")).when(F.col("method") == "error", 0.0).otherwise(F.col("confidence")),
         "warnings": F.when(is_pattern | is_ml, none).otherwise(F.col("warnings")),
-    })
-    line = F.when(is_pattern | is_ml, normalized_string(lambda f: F.col(f"fields.{f}"))).otherwise(F.col("normalized_address"))
+    }.items()])
+    step = t.once(step.withColumnRenamed("normalized_address", "__line"), made, "__r")
+    step = step.select("addr_id", "address", "method", "__line", "__r.*")
+    line = F.when(is_pattern | is_ml, normalized_string(lambda f: F.col(f"fields.{f}"))).otherwise(F.col("__line"))
     step = step.withColumn("normalized_address", line).select("addr_id", "address", "method", "confidence", "fields", "warnings", "normalized_address")
     if cfg.validate and dims is not None:
         step = apply_geo_validation(step, dims)
@@ -69,7 +71,7 @@ def error_rows(results: DataFrame) -> DataFrame:
     broken = contract.violations(lambda f: F.col(f"fields.{f}"))
     why = F.when(F.col("address").isNull(), "Processing failed: no address text").when(
         F.size(broken) > 0, F.concat(F.lit("Processing failed: invalid "), F.array_join(broken, ", ")))
-    step = results.withColumn("error", why)
+    step = t.once(results, why, "error")
     bad = F.col("error").isNotNull()
     return step.select(
         "addr_id", F.col("address").alias("raw_input"), (~bad).alias("success"), F.when(bad, "error").otherwise(F.col("method")).alias("method"),
@@ -116,7 +118,7 @@ def hybrid_normalize(df: DataFrame, thresholds: dict[str, float] | None = None)
     if "ml_confidence" not in df.columns:
         df = df.withColumns({"ml_fields": F.lit(None).cast("map<string,string>"), "ml_confidence": F.lit(None).cast("double")})
     keep = ["addr_id", "address", "ml_fields", "ml_confidence"]
-    step = with_best_match(df.select(*keep).withColumn("text", t.clean_text(F.col("address"))))
+    step = with_best_match(t.once(df.select(*keep), t.clean_text(F.col("address")), "text"))
     early = (F.coalesce(F.col("best.confidence"), F.lit(0.0)) >= th["pattern"]) | (F.coalesce(F.col("ml_confidence"), F.lit(0.0)) >= th["ml"])
     step = step.withColumn("__rest", F.when(~early, F.col("address"))).drop("text").transform(normalize_legacy, col="__rest")
     step = step.withColumns({"pattern_confidence": F.col("best.confidence"), "legacy_confidence": F.when(F.col("success"), F.col("confidence"))})

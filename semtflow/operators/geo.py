@@ -140,8 +140,8 @@ def _names(near: Column, start: int = 1) -> Column:
 def validate_city(df: DataFrame, col: str, dims: Dims, out: str = "city_v", cutoff: float = 0.6) -> DataFrame:
     """Add the verdict struct: exact, corrected (>= 0.8), suggested, or unknown."""
     raw = F.col(col)
-    step = df.withColumn("__c", F.when(t.blank_to_null(raw).isNotNull(), t.ascii_fold(raw)))
-    exact = F.col("__c").isin(list(dims.cities))
+    step = t.once(df, F.when(t.blank_to_null(raw).isNotNull(), t.ascii_fold(raw)), "__c")
+    exact = t.in_set("__c", dims.cities)
     step = with_near(step, F.when(~exact, F.col("__c")), list(dims.cities), 5, cutoff, "__n")
     near, best = F.col("__n"), F.get(F.col("__n"), F.lit(0))
     r = best["ratio"]
@@ -153,24 +153,22 @@ def validate_city(df: DataFrame, col: str, dims: Dims, out: str = "city_v", cuto
             F.lit("'"), raw, F.lit("' not found, did you mean: "), F.array_join(F.slice(_names(near), 1, 3), ", "), F.lit("?"))))
         .otherwise(_verdict(F.lit(False), F.lit(None), F.lit(0.0), F.lit(None).cast("array<string>"), F.concat(F.lit("City '"), raw, F.lit("' not found in Turkish provinces"))))
     )
-    return step.withColumn(out, verdict).drop("__c", "__n")
+    return t.once(step, verdict, out).drop("__c", "__n")
 
 
 def validate_district(df: DataFrame, col: str, dims: Dims, city: str | None = None, out: str = "district_v", cutoff: float = 0.6) -> DataFrame:
     """In the city exactly, in the city nearly, anywhere exactly, anywhere nearly."""
     raw = F.col(col)
     town = F.col(city) if city else F.lit(None).cast("string")
-    step = df.withColumns({
-        "__d": F.when(t.blank_to_null(raw).isNotNull(), t.ascii_fold(raw)),
-        "__t": F.when(t.blank_to_null(town).isNotNull(), t.ascii_fold(town)),
-    })
+    step = t.once(df, F.when(t.blank_to_null(raw).isNotNull(), t.ascii_fold(raw)), "__d")
+    step = t.once(step, F.when(t.blank_to_null(town).isNotNull(), t.ascii_fold(town)), "__t")
     d, c = F.col("__d"), F.col("__t")
-    known = F.coalesce(c.isin(sorted(dims.by_city)), F.lit(False))
-    inside = F.coalesce(F.concat(c, F.lit("|"), d).isin([f"{a}|{b}" for a, b in dims.pairs]), F.lit(False))
+    known = F.coalesce(t.in_set("__t", sorted(dims.by_city)), F.lit(False))
+    inside = F.coalesce(t.in_set("concat(__t, '|', __d)", [f"{a}|{b}" for a, b in dims.pairs]), F.lit(False))
     step = with_near_in_city(step, c, F.when(known & ~inside, d), dims.by_city, 3, cutoff, "__n1")
     n1, b1 = F.col("__n1"), F.get(F.col("__n1"), F.lit(0))
     placed = inside | b1.isNotNull()
-    anywhere = d.isin(dims.districts)
+    anywhere = t.in_set("__d", dims.districts)
     step = with_near(step, F.when(~placed & ~anywhere, d), dims.districts, 5, cutoff, "__n2")
     n2, b2 = F.col("__n2"), F.get(F.col("__n2"), F.lit(0))
     none = F.lit(None).cast("array<string>")
@@ -187,7 +185,7 @@ def validate_district(df: DataFrame, col: str, dims: Dims, city: str | None = No
         .when(b2.isNotNull(), _verdict(b2["ratio"] >= 0.8, F.when(b2["ratio"] >= 0.8, b2["name"]), b2["ratio"], _names(n2), overall))
         .otherwise(_verdict(F.lit(False), F.lit(None), F.lit(0.0), none, q("District '", raw, "' not found in Turkish districts")))
     )
-    return step.withColumn(out, verdict).drop("__d", "__t", "__n1", "__n2")
+    return t.once(step, verdict, out).drop("__d", "__t", "__n1", "__n2")
 
 
 def validate_consistency(df: DataFrame, city: str, district: str, dims: Dims, out: str = "consistency") -> DataFrame:
@@ -196,19 +194,19 @@ def validate_consistency(df: DataFrame, city: str, district: str, dims: Dims, ou
     step = validate_district(step, district, dims, None, "__dv")
     c = F.coalesce(F.col("__cv.value"), t.ascii_fold(F.col(city)))
     d = F.coalesce(F.col("__dv.value"), t.ascii_fold(F.col(district)))
-    step = step.withColumns({"__sc": c, "__sd": d})
+    step = t.once(t.once(step, c, "__sc"), d, "__sd")
     c, d = F.col("__sc"), F.col("__sd")
-    known = F.coalesce(c.isin(sorted(dims.by_city)), F.lit(False))
-    inside = F.coalesce(F.concat(c, F.lit("|"), d).isin([f"{a}|{b}" for a, b in dims.pairs]), F.lit(False))
+    known = F.coalesce(t.in_set("__sc", sorted(dims.by_city)), F.lit(False))
+    inside = F.coalesce(t.in_set("concat(__sc, '|', __sd)", [f"{a}|{b}" for a, b in dims.pairs]), F.lit(False))
     homes = t.table([{"city": a, "district": b} for a, b in dims.pairs], "array<struct<city:string,district:string>>")
     others = F.slice(F.filter(homes, lambda p: p["district"] == d), 1, 5)
     said = F.concat(F.col("__cv.warnings"), F.col("__dv.warnings"))
     note = F.when(inside, F.lit(None)).when(known, F.concat(F.lit("District '"), F.col(district), F.lit("' is not in city '"), F.col(city), F.lit("'"))).otherwise(
         "Unable to verify city-district consistency")
-    return step.withColumn(out, F.struct(
+    return t.once(step, F.struct(
         inside.alias("is_consistent"), c.alias("city"), d.alias("district"), known.alias("city_known"),
         F.when(known & ~inside, others).alias("alternatives"), F.concat(said, F.array_compact(F.array(note.cast("string")))).alias("warnings"),
-    )).drop("__cv", "__dv", "__sc", "__sd")
+    ), out).drop("__cv", "__dv", "__sc", "__sd")
 
 
 def city_district_consistency(df: DataFrame, district_dim: DataFrame, city: str = "city", district: str = "district") -> DataFrame:
@@ -249,7 +247,8 @@ def apply_geo_validation(df: DataFrame, dims: Dims, fields: str = "fields", warn
     def swap(step: DataFrame, col: str, verdict: str, said: str) -> DataFrame:
         new = F.col(f"{verdict}.value")
         moved = F.col(col).isNotNull() & new.isNotNull() & (new != F.col(col))
-        return step.withColumns({said: F.when(moved, F.col(f"{verdict}.warnings")).otherwise(F.array().cast("array<string>")), col: F.when(moved, new).otherwise(F.col(col))})
+        step = step.withColumn(said, F.when(moved, F.col(f"{verdict}.warnings")).otherwise(F.array().cast("array<string>")))
+        return t.once(step, F.when(moved, new).otherwise(F.col(col)), col)
 
     step = swap(validate_city(step, "__gc", dims, "__cv0"), "__gc", "__cv0", "__w1")
     step = swap(validate_district(step, "__gd", dims, "__gc", "__dv0"), "__gd", "__dv0", "__w2")
