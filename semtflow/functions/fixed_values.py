@@ -223,3 +223,60 @@ LEGACY_PROVINCES = [
     "Kütahya", "Bandırma",
 ]
 LEGACY_TURKISH_LETTERS = "ğıİşöüçĞIŞÖÜÇ"
+
+# --- landmarks --------------------------------------------------------------
+
+SUFFIXES = [
+    "in", "ın", "un", "ün", "nin", "nın", "nun", "nün", "si", "sı", "su", "sü", "i", "ı", "u", "ü",
+    "da", "de", "ta", "te", "dan", "den", "tan", "ten", "a", "e", "ya", "ye",
+]
+SUFFIX_WORDS = {
+    "hastanesi": "hastane", "caminin": "cami", "çarşının": "çarşı", "köprünün": "köprü",
+    "bankası": "banka", "eczanesi": "eczane", "postanesi": "postane", "belediyesi": "belediye",
+}
+RELATION_WORDS = {
+    "across_from": ["karşısı", "karşısında", "karşı", "karşıda"],
+    "next_to": ["yanı", "yanında", "yan", "yanda", "kenarı", "kenarında"],
+    "behind": ["arkası", "arkasında", "arka", "arkada"],
+    "in_front": ["önü", "önünde", "ön", "önde"],
+    "above": ["üstü", "üstünde", "üst", "üstte", "tepesi", "tepesinde"],
+    "below": ["altı", "altında", "alt", "altta"],
+    "corner": ["köşesi", "köşesinde", "köşe", "köşede"],
+    "entrance": ["girişi", "girişinde", "giriş", "girişte"],
+    "inside": ["içi", "içinde", "iç", "içte"],
+    "vicinity": ["civarı", "civarında", "çevresi", "çevresinde", "etrafı", "etrafında"],
+}
+LANDMARK_WORDS = [
+    "hotel", "otel", "motel", "market", "süpermarket", "bakkal", "büfe", "park", "bahçe", "meydan",
+    "okul", "üniversite", "hastane", "klinik", "banka", "atm", "postane", "ptt", "mosque", "cami",
+    "kilise", "cafe", "kafe", "restoran", "lokanta", "benzinlik", "petrol", "akaryakıt", "eczane",
+    "pharmacy", "avm", "alışveriş", "çarşı", "pazar", "terminal", "otogar", "durak", "köprü",
+    "bridge", "tünel", "fabrika", "işyeri", "şirket",
+]
+LANDMARK_PHRASES = [("karşısı", "opposite"), ("yanı", "next_to"), ("arkası", "behind"), ("önü", "in_front_of")]
+BRANDS = [
+    ("mcdonald", "restaurant", "McDonald's"), ("starbucks", "cafe", "Starbucks"), ("migros", "market", "Migros"),
+    ("bim", "market", "BİM"), ("a101", "market", "A101"), ("hospital", "hospital", "Hospital"),
+    ("hastane", "hospital", "Hastane"), ("okul", "school", "Okul"), ("school", "school", "School"),
+]
+
+# --- explanation texts ------------------------------------------------------
+
+TEXTS = {
+    "tr": {"success": "Adres başarıyla normalleştirildi.", "error": "Hata: ", "low": "Uyarı: Düşük güven skoru", "high": "Yüksek güven ile normalleştirildi"},
+    "en": {"success": "Address successfully normalized.", "error": "Error: ", "low": "Warning: Low confidence score", "high": "High confidence normalization"},
+}
+METHOD_TEXTS = {
+    "hybrid": "Hibrit işleme yöntemi kullanıldı", "pattern": "Pattern tabanlı işleme yapıldı",
+    "ml": "Makine öğrenmesi modeli kullanıldı", "fallback": "Yedek işleme yöntemi kullanıldı",
+}
+
+# --- quality ----------------------------------------------------------------
+
+QUALITY_PROVINCES = [
+    "istanbul", "ankara", "izmir", "bursa", "antalya", "adana", "konya", "gaziantep", "şanlıurfa",
+    "kocaeli", "mersin", "diyarbakır", "hatay",
+]
+BONUS_WEIGHTS = {"il": 0.25, "ilce": 0.20, "mahalle": 0.15, "sokak": 0.15, "bina_no": 0.10, "posta_kodu": 0.10, "daire_no": 0.05}
+COMPLETE_WEIGHTS = {"il": 0.25, "ilce": 0.20, "mahalle": 0.15, "sokak": 0.15, "bina_no": 0.10, "posta_kodu": 0.08, "daire_no": 0.05}
+COVERAGE_BASE = {"pattern_primary": 0.8, "pattern_secondary": 0.6, "ml_primary": 0.7, "ml_secondary": 0.5, "hybrid": 0.9, "fallback": 0.3}
