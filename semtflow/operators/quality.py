@@ -7,6 +7,8 @@ method and the raw scores. Every score is a scalar SQL expression over the row;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def _mean(terms: list[tuple[str, str]], default: str) -> str:
 
 
 def score_columns(e=Spark) -> dict[str, str]:
+    """Name to expression, all constants as doubles."""
+    return {n: re.sub(r"(?<![\w'])(\d+\.\d+)(?![\d'E])", r"\1E0", x) for n, x in _score_columns(e).items()}
+
+
+def _score_columns(e) -> dict[str, str]:
     known = f"{e.low('il')} IN ({', '.join(repr(p) for p in fv.QUALITY_PROVINCES)})"
     zip_ok, no_ok = e.like("posta_kodu", "^[0-9]{5}$"), e.like("bina_no", "^[0-9]+[A-Z]*$")
     major = ["il", "ilce", "mahalle"]
@@ -149,8 +156,6 @@ def score(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
 
 
 def _needed(columns: dict[str, str], wanted: list[str] | None) -> dict[str, str]:
-    import re
-
     if wanted is None:
         return columns
     keep: set[str] = set()
