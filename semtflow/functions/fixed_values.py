@@ -280,3 +280,29 @@ QUALITY_PROVINCES = [
 BONUS_WEIGHTS = {"il": 0.25, "ilce": 0.20, "mahalle": 0.15, "sokak": 0.15, "bina_no": 0.10, "posta_kodu": 0.10, "daire_no": 0.05}
 COMPLETE_WEIGHTS = {"il": 0.25, "ilce": 0.20, "mahalle": 0.15, "sokak": 0.15, "bina_no": 0.10, "posta_kodu": 0.08, "daire_no": 0.05}
 COVERAGE_BASE = {"pattern_primary": 0.8, "pattern_secondary": 0.6, "ml_primary": 0.7, "ml_secondary": 0.5, "hybrid": 0.9, "fallback": 0.3}
+
+# --- entity labels: (label, pattern, group of the span), tried in this order --
+
+LABELS_V1 = [
+    ("MAH", r"\b(\w+(?:\s+\w+)*)\s+mah(?:allesi)?\.?\b"), ("MAH", r"\b(\w+(?:\s+\w+)*)\s+mahallesi\b"),
+    ("SOKAK", r"\b(\w+(?:\s+\w+)*)\s+sok(?:ak)?\.?\b"), ("SOKAK", r"\b(\w+(?:\s+\w+)*)\s+sokak\b"), ("SOKAK", r"\b(\d+)\.?\s*sok(?:ak)?\.?\b"),
+    ("CADDE", r"\b(\w+(?:\s+\w+)*)\s+cad(?:desi)?\.?\b"), ("CADDE", r"\b(\w+(?:\s+\w+)*)\s+caddesi\b"),
+    ("BULVAR", r"\b(\w+(?:\s+\w+)*)\s+bulvarı?\b"),
+    ("NO", r"\bno:?\s*(\d+[a-zA-Z]?)\b"), ("NO", r"\bnumara:?\s*(\d+[a-zA-Z]?)\b"),
+    ("DAIRE", r"\bd\.?\s*(\d+)\b"), ("DAIRE", r"\bdaire:?\s*(\d+)\b"),
+    ("KAT", r"\bk\.?\s*(\d+)\b"), ("KAT", r"\bkat:?\s*(\d+)\b"),
+]
+LABELS_V2 = [
+    ("MAH", r"\b(\w+(?:\s+\w+)*)\s+mahallesi\b"), ("MAH", r"\b(\w+(?:\s+\w+)*)\s+mah\.?\b"),
+    ("CADDE", r"\b(\w+(?:\s+\w+)*)\s+caddesi\b"), ("CADDE", r"\b(\w+(?:\s+\w+)*)\s+cad\.?\b"),
+    ("SOKAK", r"\b(\w+(?:\s+\w+)*)\s+sokağı?\b"), ("SOKAK", r"\b(\w+(?:\s+\w+)*)\s+sok\.?\b"), ("SOKAK", r"\b(\d+)\.?\s*sok(?:ak)?\.?\b"),
+    ("BULVAR", r"\b(\w+(?:\s+\w+)*)\s+bulvarı?\b"), ("BULVAR", r"\b(\w+(?:\s+\w+)*)\s+bul\.?\b"),
+    ("NO", r"\bno:?\s*(\d+[a-zA-Z]?)\b"), ("NO", r"\bnumara:?\s*(\d+[a-zA-Z]?)\b"), ("NO", r"\b(\d+)\s*(?=\s|$|[.,])"),
+    ("DAIRE", r"\bd\.?\s*(\d+)\b"), ("DAIRE", r"\bdaire:?\s*(\d+)\b"),
+    ("KAT", r"\bk\.?\s*(\d+)\b"), ("KAT", r"\bkat:?\s*(\d+)\b"),
+]
+LABEL_CITIES_V1 = "ankara istanbul izmir bursa antalya adana konya muğla fethiye çeşme dikili bodrum marmaris".split()
+LABEL_CITIES_V2 = LABEL_CITIES_V1 + "denizli aydın manisa balıkesir çanakkale eskişehir kütahya".split()
+LABEL_DISTRICTS_V1 = "çankaya beşiktaş kadıköy üsküdar fatih beyoğlu karşıyaka bornova konak buca çiğli güzelbahçe".split()
+LABEL_DISTRICTS_V2 = LABEL_DISTRICTS_V1 + "gaziemir karabağlar bayraklı efeler menteşe".split()
+LABEL_ORDER = ["MAH", "CADDE", "SOKAK", "BULVAR", "NO", "DAIRE", "KAT", "IL", "ILCE"]
