@@ -218,10 +218,16 @@ def synth_columns(k: str, template: int) -> list[str]:
     return [f"{k} AS addr_id", f"{text} AS text", f"{' || {q};{q} || '.format(q=chr(39)).join(spans)} AS spans"]
 
 
+def synth_select(k: str) -> list[str]:
+    """The three templates by key, in one pass."""
+    each = [synth_columns(k, i) for i in range(3)]
+    by_key = lambda c, name: f"CASE {k} % 3 " + " ".join(f"WHEN {i} THEN {e[c].removesuffix(' AS ' + name)}" for i, e in enumerate(each)) + f" END AS {name}"
+    return [f"{k} AS addr_id", by_key(1, "text"), by_key(2, "spans")]
+
+
 def synth_addresses(keys: DataFrame, key: str) -> DataFrame:
     """Generated addresses over the rows of a key table, template by key."""
-    parts = [keys.filter(F.col(key) % 3 == i).selectExpr(*synth_columns(key, i)) for i in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return keys.selectExpr(*synth_select(key))
 
 
 def augment_addresses(df: DataFrame) -> DataFrame:
