@@ -119,7 +119,7 @@ def _candidate(p: Pattern, text: Column) -> Column:
         parts = F.split(F.substring(m, 2, 1 << 30), GAP)
         return F.struct(
             F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.priority).alias("priority"), F.element_at(parts, 1).alias("matched"),
-            F.transform(F.slice(parts, 2, len(p.slots)), F.trim).alias("values"), slots.alias("slots"),
+            F.transform(F.slice(parts, 2, len(p.slots)), lambda v: F.trim(v)).alias("values"), slots.alias("slots"),
         )
 
     return let(marked, lambda m: F.when(m.startswith(HIT), read(m)))
