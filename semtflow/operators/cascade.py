@@ -14,6 +14,7 @@ from semtflow.operators import contract
 from semtflow.operators.geo import Dims, apply_geo_validation
 from semtflow.operators.patterns import normalized_string, slots_to_fields, with_best_match
 from semtflow.operators.rules import normalize_fallback, normalize_legacy
+from semtflow.session import spread
 
 FIELD_TYPE = "struct<" + ",".join(f"{f}:string" for f in fv.FIELDS) + ">"
 
@@ -37,11 +38,11 @@ def normalize_addresses(df: DataFrame, dims: Dims | None = None, cfg: Config = C
     Input: addr_id, address and, where a tagger has run, ``ml_fields``
     (map of field to value) and ``ml_confidence``. Rules see only the rows that
     need them: the others pass null, which every rule skips. The whole job is
-    row-wise; it has no shuffle.
+    row-wise after one spread of the input over the cores.
     """
     if "ml_confidence" not in df.columns:
         df = df.withColumns({"ml_fields": F.lit(None).cast("map<string,string>"), "ml_confidence": F.lit(None).cast("double")})
-    base = df.select("addr_id", "address", "ml_fields", "ml_confidence")
+    base = spread(df.select("addr_id", "address", "ml_fields", "ml_confidence"), "addr_id")
     step = with_best_match(t.once(base, t.clean_text(F.col("address")), "text"), thresholds=thresholds, default=cfg.default_threshold)
     pc, ml = F.col("best.confidence"), F.coalesce(F.col("ml_confidence") >= cfg.ml, F.lit(False))
     route = (
@@ -118,7 +119,7 @@ def hybrid_normalize(df: DataFrame, thresholds: dict[str, float] | None = None)
     if "ml_confidence" not in df.columns:
         df = df.withColumns({"ml_fields": F.lit(None).cast("map<string,string>"), "ml_confidence": F.lit(None).cast("double")})
     keep = ["addr_id", "address", "ml_fields", "ml_confidence"]
-    step = with_best_match(t.once(df.select(*keep), t.clean_text(F.col("address")), "text"))
+    step = with_best_match(t.once(spread(df.select(*keep), "addr_id"), t.clean_text(F.col("address")), "text"))
     early = (F.coalesce(F.col("best.confidence"), F.lit(0.0)) >= th["pattern"]) | (F.coalesce(F.col("ml_confidence"), F.lit(0.0)) >= th["ml"])
     step = step.withColumn("__rest", F.when(~early, F.col("address"))).drop("text").transform(normalize_legacy, col="__rest")
     step = step.withColumns({"pattern_confidence": F.col("best.confidence"), "legacy_confidence": F.when(F.col("success"), F.col("confidence"))})

@@ -344,3 +344,75 @@ def review_queue(sessions: DataFrame, reviewer: str | None = None) -> DataFrame:
 
 def review_stats(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("status", "decision").agg(F.count(F.lit(1)).alias("n"), F.avg("hours").alias("mean_hours"))
+
+
+# --- validation of mined patterns -------------------------------------------
+
+
+def generalizability(hits: DataFrame, diversity: Column, regexes: dict[str, str], col: str = "text") -> DataFrame:
+    """0.3 training + 0.3 test match rate + 0.2 diversity + 0.2 component coverage per pattern.
+
+    ``hits`` has ``split`` (train or test). Component coverage counts the words
+    in the regex (0.2 each) and in the training texts (0.1 each), capped at 1.
+    """
+    names = ["il", "ilce", "mahalle", "sokak", "cadde", "bulvar", "no", "daire"]
+    low, hit, train = F.lower(F.col(col)), F.col("hit").cast("int"), F.col("split") == "train"
+    agg = hits.groupBy("pattern_id").agg(
+        F.avg(F.when(train, hit)).alias("train_rate"), F.avg(F.when(~train, hit)).alias("test_rate"),
+        *[F.max(F.when(train, low.contains(c).cast("int"))).alias(f"in_{c}") for c in names])
+    own = t.table({p: sum(0.2 for c in names if c in x.lower()) for p, x in regexes.items()}, "map<string,double>")
+    seen = sum((F.coalesce(F.col(f"in_{c}"), F.lit(0)) * 0.1 for c in names), F.lit(0.0))
+    cover = F.least(F.lit(1.0), F.element_at(own, F.col("pattern_id")) + seen)
+    score = F.coalesce("train_rate", F.lit(0.0)) * 0.3 + F.coalesce("test_rate", F.lit(1.0)) * 0.3 + diversity * 0.2 + cover * 0.2
+    return agg.select("pattern_id", "train_rate", "test_rate", cover.alias("component_coverage"), F.least(F.lit(1.0), score).alias("generalizability"))
+
+
+def match_jaccard(hits: DataFrame) -> DataFrame:
+    """For every pair of patterns: rows both match over rows either matches. Pairs are formed inside each row."""
+    per = hits.filter("hit").groupBy("addr_id").agg(F.sort_array(F.collect_set("pattern_id")).alias("p"))  # bounded by the pattern count
+    pair = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, 1000), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = per.select(F.explode(pair).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("both"))
+    n = hits.filter("hit").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    j = both.join(n.select(F.col("pattern_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("pattern_id").alias("b"), F.col("n").alias("nb")), "b")
+    return j.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+def regex_similarity(a: str, b: str) -> float:
+    """Mean of character-set Jaccard and longest common subsequence share of two regex texts."""
+    if a == b:
+        return 1.0
+    x, y = set(a.lower()), set(b.lower())
+    row = [0] * (len(b) + 1)
+    for ch in a:
+        last = 0
+        for j, other in enumerate(b, 1):
+            keep = row[j]
+            row[j] = last + 1 if ch == other else max(row[j], row[j - 1])
+            last = keep
+    return (len(x & y) / len(x | y) + row[-1] / max(len(a), len(b))) / 2
+
+
+def collision_risk(hits: DataFrame, new: dict[str, str], existing: dict[str, str]) -> DataFrame:
+    """Per new pattern the worst of 0.6 x regex likeness + 0.4 x match-set Jaccard over the existing ones.
+
+    Regex texts are configuration (some dozens), so their likeness is computed once here.
+    """
+    alike = hits.sparkSession.createDataFrame(
+        [(n, e, regex_similarity(new[n], existing[e])) for n in new for e in existing], "pattern_id string, other string, likeness double")
+    jac = match_jaccard(hits)
+    sym = jac.select(F.col("a").alias("pattern_id"), F.col("b").alias("other"), "jaccard").unionByName(jac.select(F.col("b").alias("pattern_id"), F.col("a").alias("other"), "jaccard"))
+    risk = F.col("likeness") * 0.6 + F.coalesce("jaccard", F.lit(0.0)) * 0.4
+    return alike.join(sym, ["pattern_id", "other"], "left").groupBy("pattern_id").agg(F.max(risk).alias("collision_risk"), F.max_by("other", risk).alias("closest"))
+
+
+VALIDATION = "0.25E0 * confidence + 0.25E0 * generalizability + 0.2E0 * (1.0E0 - complexity_score) + 0.15E0 * (1.0E0 - collision_risk) + 0.15E0 * test_rate"
+
+
+def validate_patterns(stats: DataFrame) -> DataFrame:
+    """Overall quality, issues and the decision. Rows: confidence, generalizability, complexity_score, collision_risk, test_rate."""
+    out = stats.withColumn("quality", F.expr(VALIDATION).cast("double"))
+    issues = F.array_compact(F.array(
+        F.when(F.col("quality") < 0.5, "Low overall quality"), F.when(F.col("collision_risk") > 0.3, "High collision risk"),
+        F.when(F.col("generalizability") < 0.6, "Low generalizability"), F.when(F.col("complexity_score") > 0.8, "Pattern too complex")))
+    ok = (F.col("quality") >= 0.5) & (F.col("collision_risk") <= 0.3) & (F.col("generalizability") >= 0.6) & (F.size(issues) <= 3)
+    return out.select("pattern_id", "quality", F.array_join(issues, "; ").alias("issues"), ok.alias("accepted"))

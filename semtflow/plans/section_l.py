@@ -303,3 +303,57 @@ def l30(spark, sf_dir):
 @query("l31_review_stats", f"WITH {SE} SELECT status, decision, count(*) AS n, round(avg(hours), 6) AS mean_hours FROM se GROUP BY 1, 2")
 def l31(spark, sf_dir):
     return rounded(m.review_stats(sessions(spark, sf_dir)))
+
+
+NEW, OLD = {p: x for p, x, _ in PATTERNS[:2]}, {p: x for p, x, _ in PATTERNS[2:]}
+_NAMES = ["il", "ilce", "mahalle", "sokak", "cadde", "bulvar", "no", "daire"]
+_OWN = " ".join(f"WHEN '{p}' THEN {sum(0.2 for c in _NAMES if c in x.lower())}" for p, x, _ in PATTERNS)
+_SEEN = " + ".join(f"0.1 * coalesce(max(contains(text, '{c}')::INT) FILTER (addr_id % 5 > 0), 0)" for c in _NAMES)
+GEN = f"""gn AS (SELECT pattern_id, avg(hit::INT) FILTER (addr_id % 5 > 0) AS train_rate, avg(hit::INT) FILTER (addr_id % 5 = 0) AS test_rate,
+     least(1.0, CASE pattern_id {_OWN} END + {_SEEN})::DOUBLE AS component_coverage FROM hh GROUP BY 1),
+   gz AS (SELECT *, least(1.0, train_rate * 0.3 + test_rate * 0.3 + 0.5 * 0.2 + component_coverage * 0.2) AS generalizability FROM gn)"""
+
+
+def split_hits(spark, sf_dir):
+    return hits(spark, sf_dir).withColumn("split", F.when(F.col("addr_id") % 5 > 0, "train").otherwise("test"))
+
+
+def general(spark, sf_dir):
+    return m.generalizability(split_hits(spark, sf_dir), F.lit(0.5), NEW | OLD)
+
+
+@query(
+    "l19_generalizability",
+    f"WITH {HITS}, {GEN} SELECT pattern_id, round(train_rate, 6) AS train_rate, round(test_rate, 6) AS test_rate, round(component_coverage, 6) AS component_coverage, round(generalizability, 6) AS generalizability FROM gz",
+)
+def l19(spark, sf_dir):
+    return rounded(general(spark, sf_dir))
+
+
+_LIKE = ", ".join(f"('{n}', '{e}', {m.regex_similarity(NEW[n], OLD[e])}::DOUBLE)" for n in NEW for e in OLD)
+RISK = f"""lk(pattern_id, other, likeness) AS (VALUES {_LIKE}),
+   jc AS (SELECT a.pattern_id, b.pattern_id AS other, count(*) FILTER (a.hit AND b.hit) / count(*) FILTER (a.hit OR b.hit) AS j FROM hh a JOIN hh b ON a.addr_id = b.addr_id AND a.pattern_id <> b.pattern_id GROUP BY 1, 2),
+   rk AS (SELECT pattern_id, max(likeness * 0.6 + j * 0.4) AS collision_risk FROM lk JOIN jc USING (pattern_id, other) GROUP BY 1)"""
+
+
+def risk(spark, sf_dir):
+    return m.collision_risk(hits(spark, sf_dir), NEW, OLD)
+
+
+@query("l20_collision_risk", f"WITH {HITS}, {RISK} SELECT pattern_id, round(collision_risk, 6) AS collision_risk FROM rk")
+def l20(spark, sf_dir):
+    return rounded(risk(spark, sf_dir).drop("closest"))
+
+
+@query(
+    "l22_validate_patterns",
+    f"""WITH {HITS}, {GEN}, {RISK}, {_DIM}, qx AS (SELECT pattern_id, regex, {_CX} FROM pdim), st AS (SELECT pattern_id, 0.7::DOUBLE AS confidence, generalizability, complexity_score, collision_risk, test_rate
+          FROM gz JOIN rk USING (pattern_id) JOIN qx USING (pattern_id)), v AS (SELECT *, CAST({m.VALIDATION} AS DOUBLE) AS quality FROM st)
+        SELECT pattern_id, round(quality, 6) AS quality, concat_ws('; ', CASE WHEN quality < 0.5 THEN 'Low overall quality' END, CASE WHEN collision_risk > 0.3 THEN 'High collision risk' END,
+          CASE WHEN generalizability < 0.6 THEN 'Low generalizability' END, CASE WHEN complexity_score > 0.8 THEN 'Pattern too complex' END) AS issues,
+          quality >= 0.5 AND collision_risk <= 0.3 AND generalizability >= 0.6 AS accepted FROM v""",
+)
+def l22(spark, sf_dir):
+    dim = spark.createDataFrame(list(NEW.items()), "pattern_id string, regex string")
+    stats = m.regex_complexity(dim).join(general(spark, sf_dir), "pattern_id").join(risk(spark, sf_dir), "pattern_id").withColumn("confidence", F.lit(0.7))
+    return rounded(m.validate_patterns(stats))

@@ -41,3 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the session."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows by a unique key over all cores before work that costs far more than moving them.
+
+    A file split holds millions of short texts; matching one costs milliseconds.
+    A fixed partition count keeps adaptive coalescing from undoing the spread,
+    and hashing (unlike round robin) gives the same partitions on a retry.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

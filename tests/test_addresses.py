@@ -57,7 +57,7 @@ def test_postcodes(spark):
 def test_cascade_routes_and_contract(spark):
     rows = [
         (1, "moda mahalle bahariye sokak no 12", None, None), (2, "Moda Mah. 12. Sokak No: 5 Konak Izmir", {"city": "Izmir"}, 0.9),
-        (3, "bilinmeyen yer", None, None), (4, None, None, None), (5, "tek kelime", {"floor": "zemin"}, 0.95),
+        (3, "bilinmeyen", None, None), (4, None, None, None), (5, "tek kelime", {"floor": "zemin"}, 0.95),
     ]
     df = spark.createDataFrame(rows, "addr_id long, address string, ml_fields map<string,string>, ml_confidence double")
     got = {r.addr_id: r for r in cascade.normalize_addresses(df, dims(spark)).collect()}
