@@ -36,11 +36,11 @@ def a09(spark, sf_dir):
     return p.pattern_dim_stats(p.pattern_dim(spark), hits(spark, sf_dir))
 
 
-# The loose pattern and the simple street pattern, restated for a regex engine without \b on Unicode.
-NAMED = "[a-zA-ZçğıöşüÇĞIÖŞÜ]+"
+_TRIES = " UNION ALL ".join(
+    f"SELECT addr_id, '{x.pattern_id}' AS pattern_id, {x.priority} AS priority, regexp_extract(text, '(?i){x.regex.removeprefix('(?iU)')}') AS matched FROM cl" for x in p.patterns())
 
 
-@query("c01_match_patterns")
+@query("c01_match_patterns", f"WITH {d.ADDR}, cl AS (SELECT addr_id, {CLEAN_SQL} AS text FROM addr) SELECT * FROM ({_TRIES}) WHERE matched <> ''")
 def c01(spark, sf_dir):
     return hits(spark, sf_dir).select("addr_id", "pattern_id", "priority", "matched")
 
