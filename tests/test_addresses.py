@@ -60,11 +60,12 @@ def test_cascade_routes_and_contract(spark):
         (3, "bilinmeyen", None, None), (4, None, None, None), (5, "tek kelime", {"floor": "zemin"}, 0.95),
     ]
     df = spark.createDataFrame(rows, "addr_id long, address string, ml_fields map<string,string>, ml_confidence double")
-    got = {r.addr_id: r for r in cascade.normalize_addresses(df, dims(spark)).collect()}
+    out = cascade.normalize_addresses(df, dims(spark))
+    got = {r.addr_id: r for r in out.collect()}
     assert got[1].method.startswith("pattern") and got[1].fields.number == "12"
     assert got[2].fields.city == "izmir" and got[3].method == "fallback" and got[3].success
     assert got[4].method == "error" and got[5].error == "Processing failed: invalid floor"
-    good = spark.createDataFrame([r for r in got.values() if r.success]).select("fields.*", "normalized_address", "confidence")
+    good = out.filter("success").select("fields.*", "normalized_address", "confidence")
     assert contract.contract_check(good).count() == 0
 
 
