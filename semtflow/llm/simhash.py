@@ -79,8 +79,9 @@ def ball_links(fps: DataFrame) -> DataFrame:
     even = fps.filter(F.bit_count("fp") % 2 == 0)
     far = even.select("fp", F.explode(_masks(2)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
     centre = near.groupBy("variant").agg(F.min("fp").alias("v"))
-    met = near.unionAll(far).withColumnRenamed("fp", "u").join(centre.hint("shuffle_hash"), "variant").filter(F.col("u") > F.col("v"))
-    return met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 3).select("u", "v").distinct()
+    met = near.unionAll(far).join(centre.hint("shuffle_hash"), "variant").filter("fp <> v")
+    met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= 3)
+    return met.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
