@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semtflow.llm import line_dedup, mixing, sharding, simhash, substring_dedup
+from semtflow.llm import line_dedup, mixing, sharding, simhash, substring_dedup, token_store
 from semtflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,12 @@ t AS (SELECT word.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN t USING (doc_id)
 """
+
+
+#: Ends every document's ids.
+END_ID = 2
+
+
+@_query
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.tokenize_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
