@@ -57,12 +57,74 @@ def fingerprints(docs: DataFrame, span: int = 3) -> DataFrame:
     return rows.mapInArrow(_fingerprinted(span), "doc_id long, th long, fp long")
 
 
-def _masks(radius: int) -> Column:
-    """XOR masks of the 64 bits: none and single bits (radius 1), or pairs within a half (radius 2)."""
-    if radius == 1:
-        return F.expr("concat(array(0L), transform(sequence(0, 63), i -> shiftleft(1L, i)))")
-    low = F.expr("flatten(transform(sequence(0, 30), i -> transform(sequence(i + 1, 31), j -> shiftleft(1L, i) | shiftleft(1L, j))))")
-    return F.concat(low, F.transform(low, lambda m: F.shiftleft(m, 32)))
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """XOR masks: none and single bits (radius 1), and pairs of bits within one half (radius 2)."""
+    bit = [1 << k for k in range(64)]
+    pairs = [bit[i] | bit[j] for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
+    return np.array([0, *bit], np.uint64), np.array(pairs, np.uint64)
+
+
+def _fold(x: np.ndarray, bits: int) -> np.ndarray:
+    """A key of ``bits`` bits with fold(x ^ m) = fold(x) ^ fold(m)."""
+    out = np.zeros_like(x)
+    for s in range(0, 64, bits):
+        out ^= x >> np.uint64(s)
+    return out & np.uint64((1 << bits) - 1)
+
+
+def _even(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x) % 2 == 0
+
+
+def _emitted(bits: int):
+    near, far = (np.unique(_fold(m, bits)) for m in _masks())
+    both = np.union1d(near, far)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+            for part, folds in ((fps[_even(fps)], both), (fps[~_even(fps)], near)):
+                for k in range(0, part.size, 4096):
+                    x = part[k : k + 4096]
+                    keys = (_fold(x, bits)[:, None] ^ folds[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(x, folds.size).view(np.int64))], ["key", "fp"])
+
+    return run
+
+
+def _collided(bits: int):
+    near, far = _masks()
+    fold_near, fold_far = _fold(near, bits), _fold(far, bits)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        fps = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        fold = _fold(fps, bits) ^ np.uint64(key[0].as_py())
+
+        def variants(masks, folds, chosen):
+            """Variants that fall on this key, with their fingerprints, a few at a time."""
+            for g in np.unique(fold[chosen]):
+                ms, xs = masks[folds == g], fps[chosen & (fold == g)]
+                step = max(1, (1 << 20) // max(1, ms.size))
+                for k in range(0, xs.size if ms.size else 0, step):
+                    x = xs[k : k + step]
+                    yield (x[:, None] ^ ms[None, :]).ravel(), np.repeat(x, ms.size)
+
+        balls = [*variants(near, fold_near, np.ones(fps.size, bool))]
+        var, of = (np.concatenate([b[i] for b in balls]) if balls else np.zeros(0, np.uint64) for i in (0, 1))
+        order = np.lexsort((of, var))
+        var, of = var[order], of[order]
+        first = np.r_[True, var[1:] != var[:-1]] if var.size else np.zeros(0, bool)
+        centre, least = var[first], of[first]
+        links = [np.zeros((0, 2), np.uint64)]
+        for v, x in [(var, of), *variants(far, fold_far, _even(fps))] if centre.size else []:
+            at = np.minimum(np.searchsorted(centre, v), centre.size - 1)
+            met = (centre[at] == v) & (least[at] != x)
+            pair = np.stack([x[met], least[at[met]]], 1)
+            links.append(pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= 3])
+        out = np.unique(np.sort(np.concatenate(links).view(np.int64), axis=1), axis=0)
+        return pa.table({"u": pa.array(out[:, 1]), "v": pa.array(out[:, 0])})
+
+    return run
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
@@ -71,17 +133,16 @@ def ball_links(fps: DataFrame) -> DataFrame:
     The radius 3 is met in the middle as 1 + 2. Every fingerprint emits the ball of radius 1
     (65 variants). At distance 3 the parities differ and two of the three bits lie in one half
     of the word, so only even fingerprints emit variants at radius 2, and of these only the 992
-    that flip two bits of one half. Whatever meets on a variant that a radius-1 ball holds is
-    within 3 bits, so each member is linked to the smallest fingerprint of that ball: no pairs
-    are made, and a variant has at most 1 + 64 + 992 members. Distances are checked again.
+    that flip two bits of one half. Variants are dealt by a key that folds their bits together;
+    as the key of x ^ m is that of x ^ that of m, all variants of a fingerprint with one key
+    travel as one row (key, fingerprint) and unfold where they land. Whatever meets on a variant
+    that a radius-1 ball holds is within 3 bits, so each member is linked to the smallest
+    fingerprint of that ball, no pairs are made, and the distance is checked. The width of the
+    key follows the number of fingerprints, so that about half a million variants share a key.
     """
-    near = fps.select("fp", F.explode(_masks(1)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    even = fps.filter(F.bit_count("fp") % 2 == 0)
-    far = even.select("fp", F.explode(_masks(2)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    centre = near.groupBy("variant").agg(F.min("fp").alias("v"))
-    met = near.unionAll(far).join(centre.hint("shuffle_hash"), "variant").filter("fp <> v")
-    met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= 3)
-    return met.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
+    bits = max(8, (fps.count() * 561 >> 19).bit_length())
+    rows = fps.select("fp").mapInArrow(_emitted(bits), "key long, fp long")
+    return rows.groupBy("key").applyInArrow(_collided(bits), "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
