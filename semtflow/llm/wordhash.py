@@ -11,7 +11,7 @@ _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 #: Texts are hashed in pieces of about so many bytes.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[start:end] per pair, by prefix sums of a polynomial modulo 2^64."""
-    up, down = _powers(base, max(16, int(values.size).bit_length()))
+    up, down = _powers(base, max(20, int(values.size - 1).bit_length()))
     total = np.zeros(values.size + 1, _U)
     np.cumsum(values * up[: values.size], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
