@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semtflow.llm import line_dedup, mixing, sharding, simhash, substring_dedup, token_store
+from semtflow.llm import decontaminate, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_store, toxicity
 from semtflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,20 @@ END_ID = 2
 @_query
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.tokenize_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, benchmark).select(F.col("_id").alias("doc_id"), "item_id", "n_windows", "n_matched", "containment")
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
