@@ -116,7 +116,9 @@ class _Encoder:
         ]
 
 
-_encoder = cache(_Encoder)
+@cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def _tokenized(path: str, end: int):
