@@ -24,6 +24,17 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
+def exploded(df: DataFrame, keep: list[str], items: Column, item: str, pos: str | None = None) -> DataFrame:
+    """The named columns with a row per item, and its position from 0 if named.
+
+    The outer form keeps the optimizer from testing the array's size below the projection that
+    builds it, which would build it anew for every item.
+    """
+    if pos:
+        return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
+    return df.select(*keep, F.explode_outer(items).alias(item)).filter(F.col(item).isNotNull())
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semtflow.llm.common import cut, row_key, small
+from semtflow.llm.common import cut, exploded, row_key, small
 
 #: Template words of a window, and the least share of an item's windows that make a leak.
 SPAN, SHARE = 5, 0.8
@@ -49,7 +49,7 @@ def _windows(rows: DataFrame, keys: list[str], values: bool) -> DataFrame:
         return F.struct(h.alias("h"), F.slice(v, i + 1, F.lit(SPAN)).alias("v")) if values else h
 
     each = F.transform(F.sequence(F.lit(0), F.size("_t") - SPAN), window)
-    out = marked.select(*keys, F.posexplode(each).alias("pos", "w"))
+    out = exploded(marked, keys, each, "w", "pos")
     out = out.select(*keys, "pos", "w.h", "w.v") if values else out.select(*keys, "pos", F.col("w").alias("h"))
     return out.filter("h IS NOT NULL")
 

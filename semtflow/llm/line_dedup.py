@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semtflow.llm.common import cut, row_key, small
+from semtflow.llm.common import cut, exploded, row_key, small
 
 
 def _lines(text: Column) -> Column:
@@ -21,7 +21,7 @@ def line_windows(docs: DataFrame, span: int = 3) -> DataFrame:
 
     rows = docs.select(*row_key(), _lines(F.col("text")).alias("_ls")).filter(F.size("_ls") >= span)
     at = F.transform(F.sequence(F.lit(0), F.size("_ls") - span), lambda i: hashed(F.col("_ls"), i))
-    return rows.select("_id", "_th", F.posexplode(at).alias("pos", "h")).select("_id", "_th", "pos", "h.h1", "h.h2")
+    return exploded(rows, ["_id", "_th"], at, "h", "pos").select("_id", "_th", "pos", "h.h1", "h.h2")
 
 
 def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:

@@ -13,8 +13,8 @@ from semtflow.llm.common import cut, small
 from semtflow.llm.wordhash import flat, pieces, window_hashes, word_bounds, word_hashes
 
 #: Words that a task looks at together, and bytes of text per shard of hashes.
-CHUNK_WORDS = 1 << 21
-SHARD_BYTES = 24 << 20
+CHUNK_WORDS = 3 << 18
+SHARD_BYTES = 12 << 20
 _SPANS = "_id long, _th int, a array<int>, b array<int>"
 _PROBES = "shard int, ids binary, ths binary, counts binary, gaps binary, low binary, high binary, flags binary, known binary, spans binary"
 
