@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semtflow.llm.common import small, words
+from semtflow.llm.common import exploded, small, words
 
 #: Buckets of hashed n-grams; pseudo-counts of each; least mean ratio of a kept document.
-BUCKETS, PRIOR, LEAST = 1 << 17, 5.0, 0.0
+BUCKETS, PRIOR, LEAST = 1 << 17, 5.0, -0.25
+#: Ratios are whole numbers of this unit, so that sums do not depend on their order.
+MICRO = 1_000_000
 
 
 def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -61,19 +63,20 @@ def buckets(docs: DataFrame, keep: list[str], n_buckets: int) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """bucket, ratio: log of the trusted over the raw multinomial of every bucket in use.
+    """bucket, ratio: log of the trusted over the raw multinomial of every bucket in use, in millionths.
 
     Trusted are documents labelled of quality 1, raw are all. Raw counts are scaled to the
     trusted total, and ``prior`` pseudo-counts on both sides draw rare buckets to 0.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_d")).distinct()
     marked = docs.select("doc_id", "text").join(small(good, F.lit(16)), F.col("doc_id") == F.col("_d"), "left")
-    each = buckets(marked.withColumn("_t", F.col("_d").isNotNull().cast("long")), ["_t"], n_buckets).select("_t", F.explode("_b").alias("bucket"))
+    each = exploded(buckets(marked.withColumn("_t", F.col("_d").isNotNull().cast("long")), ["_t"], n_buckets), ["_t"], F.col("_b"), "bucket")
     counts = each.groupBy("bucket").agg(F.sum("_t").alias("t"), F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
     share = total.select((F.col("all_t") / F.col("all_n")).alias("s")).first()
     scale = (share["s"] if share and share["s"] is not None else 0.0) or 0.0
-    return counts.select("bucket", F.log((F.col("t") + prior) / (F.col("n") * F.lit(float(scale)) + prior)).alias("ratio"))
+    ratio = F.log((F.col("t") + prior) / (F.col("n") * F.lit(float(scale)) + prior))
+    return counts.select("bucket", F.round(ratio * MICRO).cast("long").alias("ratio"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, least: float = LEAST) -> DataFrame:
@@ -84,16 +87,15 @@ def rate_documents(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS,
     trusted documents every ratio is 0. Rows are rated alone, so repeated and null ids do no
     harm; other columns of ``docs`` are not read.
 
-    The ratios are one array of ``n_buckets`` doubles, whatever the corpus; rows look them up
-    in place, so no text and no n-gram is shuffled.
+    The ratios are a table of at most ``n_buckets`` rows, whatever the corpus, and broadcast; no
+    text and no n-gram is shuffled, only one sum per row.
     """
     ratios = log_ratios(docs, labels, n_buckets)
-    every = docs.sparkSession.range(n_buckets).withColumnRenamed("id", "bucket").join(ratios, "bucket", "left").select("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
-    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda r: r["ratio"]).alias("t")).scalar()
-    rows = rule_counts(docs, ["doc_id"])
     counted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rated = buckets(rows, counted, n_buckets)
-    total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    mean = F.when(F.size("_b") > 0, total / F.size("_b")).otherwise(F.lit(0.0))
+    rows = rule_counts(docs, ["doc_id"]).withColumn("_r", F.monotonically_increasing_id())
+    each = buckets(rows, ["_r", *counted], n_buckets).select("_r", *counted, F.explode_outer("_b").alias("bucket"))
+    each = each.join(F.broadcast(ratios), "bucket", "left")
+    rated = each.groupBy("_r").agg(*[F.first(c).alias(c) for c in counted], F.sum("ratio").alias("sum"), F.count("bucket").alias("n"))
+    mean = F.when(F.col("n") > 0, F.col("sum") / F.col("n") / MICRO).otherwise(F.lit(0.0))
     rated = rated.select(*counted, base_failed().alias("base_failed"), mean.alias("mean_ratio"))
     return rated.withColumn("kept", ~F.col("base_failed") & (F.col("mean_ratio") >= F.lit(least)))
