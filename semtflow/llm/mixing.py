@@ -98,3 +98,9 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights: t
     rows = rows.join(small(plan, F.lit(256)), F.col("_of").eqNullSafe(F.col("_source")))
     extra = F.col("_draw") <= F.col("cut_draw")
     return rows.select("row", "size", "source_size", "target", (F.col("whole") + F.when(extra, 1).otherwise(0)).alias("repeats"))
+
+
+def repeat_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    out = mix_documents(docs, **settings)
+    return out.select("row", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.nullif("repeats", F.lit(0)))).alias("_nth")).filter("_nth IS NOT NULL").select("row.*")
