@@ -165,6 +165,31 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", n: str = "n") -> DataFrame:
+    """1-based position of every row in its key's order, and the key's row count.
+
+    Rows are dealt by ranges of (key, order), so a key of any size is spread over as many tasks
+    as it needs; counts per range and key give the offsets. Nothing but counts meets per key.
+    """
+    keys = list(keys)
+    parts = (
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("__p", F.spark_partition_id())
+        .withColumn("__m", F.monotonically_increasing_id())
+    )
+    parts = checkpointed(parts)
+    sizes = parts.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"), F.min("__m").alias("__m0"))
+    of = Window.partitionBy(*keys)
+    ahead = of.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shift = F.sum("__c").over(ahead) - F.col("__c") - F.col("__m0") + 1
+    sizes = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__p").alias("__p1"), shift.alias("__off"), F.sum("__c").over(of).alias(n))
+    same = F.col("__p") == F.col("__p1")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return parts.join(sizes, same).withColumn(pos, F.col("__m") + F.col("__off")).drop("__p", "__p1", "__m", "__off", *[f"__k_{k}" for k in keys])
+
+
 def running_ema(values: Column, alpha: float, seed: Column | None = None) -> Column:
     """Fold an ordered array into its exponential mean (seeded by the first value unless given)."""
     start = F.element_at(values, 1) if seed is None else seed

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semtflow.functions.ordered import halves, last_n, percentiles
+from semtflow.functions.ordered import halves, last_n, located, percentiles, value_levels
 
 TIME_WINDOWS = {"1h": "1 hour", "24h": "24 hours", "7d": "7 days", "30d": "30 days"}
 
@@ -32,32 +32,20 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def performance_metrics(events: DataFrame, times: int = 1000, keep: int = 10000) -> DataFrame:
-    """One row: index-pick percentiles of the newest times, totals of the newest events."""
-    newest = last_n(events.select("ts", "event_id", "success"), [], ["ts", "event_id"], keep)
-    totals = newest.agg(
+def performance_metrics(events: DataFrame) -> DataFrame:
+    """One row: index-pick percentiles of all times, totals of all events."""
+    totals = events.agg(
         F.count(F.lit(1)).alias("total_processed"),
         F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)).alias("error_rate"),
         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("elapsed"),
     )
-    timed = events.filter(F.col("processing_time_ms") > 0).select("ts", "event_id", "processing_time_ms")
-    timed = last_n(timed, [], ["ts", "event_id"], times)
-    order = Window.orderBy("processing_time_ms")  # at most `times` rows
-    ranked = timed.select(
-        "processing_time_ms", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n")
-    )
-
-    def pick(at: Column) -> Column:
-        return F.max(F.when(F.col("i") == at.cast("long"), F.col("processing_time_ms")))
-
-    n = F.col("n")
-    picked = ranked.agg(
-        F.avg("processing_time_ms").alias("avg_ms"),
-        pick(F.floor(n / 2)).alias("median_ms"),
-        pick(F.floor(n * 0.95)).alias("p95_ms"),
-        pick(F.floor(n * 0.99)).alias("p99_ms"),
-    )
-    both = totals.withColumn("j", F.lit(1)).join(picked.withColumn("j", F.lit(1)), "j")
+    timed = events.filter(F.col("processing_time_ms") > 0)
+    shares = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    at = located(timed, [], value_levels("processing_time_ms"), {k: lambda n, p=p: F.floor(n * p) for k, p in shares.items()})
+    picked = at.agg(*[F.max(F.when(F.col("pick") == k, F.col("__v2"))).alias(k) for k in shares])
+    mean = timed.agg(F.avg("processing_time_ms").alias("avg_ms"))
+    one = F.lit(1).alias("j")
+    both = totals.select("*", one).join(mean.select("*", one), "j").join(picked.select("*", one), "j")
     return both.select(
         "avg_ms", "median_ms", "p95_ms", "p99_ms",
         (F.col("total_processed") / F.greatest("elapsed", F.lit(1.0))).alias("throughput_per_second"),
@@ -416,13 +404,10 @@ def threshold_suggestions(ranking: DataFrame, thresholds: DataFrame, default: fl
     )
 
 
-def metric_series(metrics: DataFrame, keep: int = 1000) -> DataFrame:
+def metric_series(metrics: DataFrame) -> DataFrame:
     """Per metric name: points kept, counter total and latest value. Rows: name, value, ts, row id."""
-    kept = last_n(metrics, ["name"], ["ts", "event_id"], keep)
-    newest = F.struct("ts", "event_id")
-    return kept.groupBy("name").agg(F.count(F.lit(1)).alias("points_kept"), F.max_by("value", newest).alias("latest_value")).join(
-        metrics.groupBy("name").agg(F.sum("value").alias("counter_total")), "name"
-    )
+    newest = F.max_by("value", F.struct("ts", "event_id"))
+    return metrics.groupBy("name").agg(F.count(F.lit(1)).alias("points_kept"), newest.alias("latest_value"), F.sum("value").alias("counter_total"))
 
 
 def trends(events: DataFrame) -> DataFrame:

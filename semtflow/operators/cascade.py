@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semtflow.functions import fixed_values as fv
 from semtflow.functions import text as t
-from semtflow.functions.ordered import last_n, numbered
+from semtflow.functions.ordered import last_n, numbered, positions
 from semtflow.operators import contract
 from semtflow.operators.geo import Dims, apply_geo_validation
 from semtflow.operators.patterns import normalized_string, slots_to_fields, with_best_match
@@ -203,20 +203,19 @@ def choose_method(df: DataFrame) -> DataFrame:
     return out.withColumn("method", F.when(F.col("pattern_confidence") >= F.col("threshold"), "pattern").otherwise("ml"))
 
 
-def pattern_strength(history: DataFrame, keep: int = 400) -> DataFrame:
-    """Strength per pattern: after 10 outcomes, 0.9 x strength + 0.1 x mean of the last 10, from 0.8.
+def pattern_strength(history: DataFrame, alpha: float = 0.1, span: int = 10) -> DataFrame:
+    """Strength per pattern: after ``span`` outcomes, 0.9 x strength + 0.1 x mean of the last ``span``, from 0.8.
 
-    Weights of outcomes older than ``keep`` are under 1e-18, so only the newest rows are ordered.
+    An outcome at position k enters the means that end at max(k, span) to min(k + span - 1, n);
+    their weights are a geometric series, so the strength is one weighted sum over positions.
     """
-    n = history.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = last_n(history.select("pattern_id", "ts", "event_id", F.col("success").cast("int").alias("v")), ["pattern_id"], ["ts", "event_id"], keep + 10).join(n, "pattern_id")
-    ten = Window.partitionBy("pattern_id").orderBy(F.col("rn").desc()).rowsBetween(-9, 0)
-    rows = rows.withColumn("m", F.avg("v").over(ten)).filter((F.col("rn") <= keep) & (F.col("n") - F.col("rn") + 1 >= 10))
-    agg = rows.groupBy("pattern_id").agg(
-        F.sum(F.col("m") * 0.1 * F.pow(F.lit(0.9), F.col("rn") - 1)).alias("s"), F.max("n").alias("n"))
-    steps = F.greatest(F.lit(0), F.col("n") - 9)
-    return n.select("pattern_id", "n").join(agg.select("pattern_id", "s"), "pattern_id", "left").select(
-        "pattern_id", (F.coalesce("s", F.lit(0.0)) + 0.8 * F.pow(F.lit(0.9), steps)).alias("strength"))
+    rows = positions(history.select("pattern_id", "ts", "event_id", F.col("success").cast("int").alias("v")), ["pattern_id"], ["ts", "event_id"])
+    first, last = F.greatest(F.col("pos"), F.lit(span)), F.least(F.col("pos") + (span - 1), F.col("n"))
+    decay = F.lit(1 - alpha)
+    weight = F.when(first <= last, (F.pow(decay, F.col("n") - last) - F.pow(decay, F.col("n") - first + 1)) / span).otherwise(0.0)
+    agg = rows.groupBy("pattern_id").agg(F.sum(F.col("v") * weight).alias("s"), F.max("n").alias("n"))
+    steps = F.greatest(F.lit(0), F.col("n") - (span - 1))
+    return agg.select("pattern_id", (F.col("s") + 0.8 * F.pow(decay, steps)).alias("strength"))
 
 
 def confidence_split(results: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -134,7 +134,7 @@ def _verdict(valid: Column, value: Column, confidence: Column, suggestions: Colu
 
 
 def _names(near: Column, start: int = 1) -> Column:
-    return F.slice(F.transform(near, lambda x: x["name"]), start, 1000)
+    return F.slice(F.transform(near, lambda x: x["name"]), start, F.greatest(F.size(near), F.lit(1)))
 
 
 def validate_city(df: DataFrame, col: str, dims: Dims, out: str = "city_v", cutoff: float = 0.6) -> DataFrame:

@@ -297,7 +297,7 @@ def overlap_conflicts(hits: DataFrame) -> DataFrame:
     The hits of a row (at most one per pattern) are paired inside the row.
     """
     per = hits.filter("hit").groupBy("addr_id").agg(F.sort_array(F.collect_list(F.struct("pattern_id", "groups"))).alias("h"))  # bounded by the pattern count
-    pair = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, 1000), lambda y: F.struct(
+    pair = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.struct(
         x["pattern_id"].alias("existing_id"), y["pattern_id"].alias("new_id"), (x["groups"] != y["groups"]).alias("differs")))))
     counted = per.select(F.explode(pair).alias("p")).groupBy("p.existing_id", "p.new_id").agg(
         F.count_if("p.differs").alias("conflicting"), F.count_if(~F.col("p.differs")).alias("overlapping"))
@@ -370,7 +370,7 @@ def generalizability(hits: DataFrame, diversity: Column, regexes: dict[str, str]
 def match_jaccard(hits: DataFrame) -> DataFrame:
     """For every pair of patterns: rows both match over rows either matches. Pairs are formed inside each row."""
     per = hits.filter("hit").groupBy("addr_id").agg(F.sort_array(F.collect_set("pattern_id")).alias("p"))  # bounded by the pattern count
-    pair = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, 1000), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pair = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     both = per.select(F.explode(pair).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("both"))
     n = hits.filter("hit").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
     j = both.join(n.select(F.col("pattern_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("pattern_id").alias("b"), F.col("n").alias("nb")), "b")

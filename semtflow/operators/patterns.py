@@ -96,12 +96,14 @@ def pattern_dim_stats(dim: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def _needed(p: Pattern, text: Column) -> Column:
-    """True where the literal words the pattern cannot do without all occur."""
+    """True where the literal words and the number the pattern cannot do without all occur."""
     found = F.lit(True)
     for word in dict.fromkeys(re.findall(r"[^\s<>]+", re.sub(r"<[^>]+>", " ", p.text))):
         stem = re.match(r"\w+", word)
         spelled = WIDER.get(stem.group(0), re.escape(stem.group(0))) if stem else re.escape(word)
         found = found & text.rlike("(?iU)" + spelled)
+    if any(s.type == "number" and not s.optional for s in p.slots):
+        found = found & text.rlike(r"(?U)\d")
     return found
 
 

@@ -1,21 +1,21 @@
 """Adaptive acceptance thresholds learnt from match events (K).
 
-Per-pattern state never needs all rows of a pattern in order: exponential
-means use the newest rows only (older weights vanish below 1e-18), last-n
+Per-pattern state never needs all rows of a pattern in one task: exponential
+means are sums weighted by position, which range partitions number, last-n
 picks are salted, halves come from histograms. Scores over the per-pattern
 statistics are portable SQL expressions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semtflow.functions.ordered import halves, last_n
+from semtflow.functions.ordered import halves, last_n, positions
 from semtflow.operators.analytics import latest, recent
 
-EMA_ROWS = 400  # 0.9 ** 400 < 1e-18
-
 # --- fixed values: default settings -----------------------------------------
 DEFAULT_THRESHOLD, ADJUSTMENT, MIN_SAMPLES, LOW, HIGH = 0.4, 0.2, 3, 0.2, 0.9
 
@@ -25,13 +25,12 @@ def _x(text: str) -> Column:
 
 
 def ema_last(events: DataFrame, values: dict[str, Column], alpha: float = 0.1, seeded: bool = False) -> DataFrame:
-    """Final exponential means per pattern, from 0 or seeded by the first value."""
-    n = events.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    """Final exponential means per pattern over all its rows, from 0 or seeded by the first value."""
     rows = events.select("pattern_id", "ts", "event_id", *[c.cast("double").alias(k) for k, c in values.items()])
-    rows = last_n(rows, ["pattern_id"], ["ts", "event_id"], EMA_ROWS).join(n, "pattern_id")
-    weight = F.pow(F.lit(1 - alpha), F.col("rn") - 1)
+    rows = positions(rows, ["pattern_id"], ["ts", "event_id"])
+    weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("pos"))
     if seeded:
-        weight = F.when(F.col("rn") == F.col("n"), weight).otherwise(weight * alpha)
+        weight = F.when(F.col("pos") == 1, weight).otherwise(weight * alpha)
     else:
         weight = weight * alpha
     return rows.groupBy("pattern_id").agg(*[F.sum(F.col(k) * weight).alias(k) for k in values])
@@ -147,37 +146,44 @@ def ema_metrics(events: DataFrame) -> DataFrame:
     return cumulative_stats(events).select("pattern_id", "total_count", "success_count", "success_rate").join(ema, "pattern_id")
 
 
-def history_points(events: DataFrame, every: int = 10, keep: int = 1000, alpha: float = 0.1) -> DataFrame:
+#: Uses per block of the running means.
+BLOCK = 2000
+
+
+def history_points(events: DataFrame, every: int = 10, alpha: float = 0.1) -> DataFrame:
     """Every ``every``-th use of a pattern: running success rate, threshold, volume, mean confidence.
 
-    Only the rows that can reach the newest ``keep`` points are ordered. The
-    exponential mean is a prefix sum inside blocks of 2,000 uses, plus what the
-    previous block hands over.
+    Running values are prefix sums inside blocks of 2,000 uses plus what the blocks before hand
+    over. An exponential mean takes over the blocks whose weight is above 1e-18 for its alpha.
     """
-    totals = events.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("s"))
-    rows = events.select("pattern_id", "ts", "event_id", "success", "confidence", "threshold_used")
-    rows = last_n(rows, ["pattern_id"], ["ts", "event_id"], every * keep + EMA_ROWS + every).join(totals, "pattern_id")
-    newer = Window.partitionBy("pattern_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = F.col("success").cast("int")
-    rows = rows.withColumn("volume", F.col("n") - F.col("rn") + 1).withColumn("so_far", F.col("s") - F.sum(ok).over(newer) + ok)
-    rows = rows.withColumn("blk", F.floor(F.col("volume") / 2000)).withColumn("j", F.col("volume") % 2000)
+    rows = events.select("pattern_id", "ts", "event_id", F.col("success").cast("int").alias("ok"), "confidence", "threshold_used")
+    rows = positions(rows, ["pattern_id"], ["ts", "event_id"], "volume").withColumn("blk", F.floor((F.col("volume") - 1) / BLOCK)).withColumn("j", (F.col("volume") - 1) % BLOCK)
     decay = F.lit(1 - alpha)
     prefix = Window.partitionBy("pattern_id", "blk").orderBy("volume").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn(
-        "inside", F.sum(F.col("confidence") * alpha * F.pow(decay, -F.col("j"))).over(prefix) * F.pow(decay, F.col("j"))
-    )
-    handed = rows.groupBy("pattern_id", (F.col("blk") + 1).alias("blk")).agg(F.max_by("inside", "j").alias("carry"))
-    rows = rows.join(handed, ["pattern_id", "blk"], "left")
-    kept = (F.col("volume") % every == 0) & (F.col("n") - F.col("n") % every - F.col("volume") < every * keep)
-    return rows.filter(kept).select(
-        "pattern_id", "ts", "volume", (F.col("so_far") / F.col("volume")).alias("success_rate"),
+    # older rows of a block would outgrow a double if scaled up, so a sub-block restarts the scale
+    scale = max(1, min(BLOCK, int(600 / -math.log10(1 - alpha)) // 2))
+    sub = F.floor(F.col("j") / scale)
+    rows = rows.withColumn("sub", sub).withColumn("i", F.col("j") - sub * scale)
+    part = Window.partitionBy("pattern_id", "blk", "sub").orderBy("volume").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("ok_in", F.sum("ok").over(prefix)).withColumn("inside", F.sum(F.col("confidence") * alpha * F.pow(decay, -F.col("i"))).over(part) * F.pow(decay, F.col("i")))
+    ends = rows.groupBy("pattern_id", "blk", "sub").agg(F.max_by("inside", "i").alias("own"), F.max("i").alias("last"), F.sum("ok").alias("ok_own"))
+    back = math.ceil(math.log(1e-18) / math.log(1 - alpha) / scale)
+    near = Window.partitionBy("pattern_id").orderBy("blk", "sub").rowsBetween(-back, -1)
+    handed = F.aggregate(F.collect_list("own").over(near), F.lit(0.0), lambda acc, x: acc * (1 - alpha) ** scale + x)
+    ends = ends.select("pattern_id", "blk", "sub", handed.alias("carry"), F.sum("ok_own").over(Window.partitionBy("pattern_id", "blk")).alias("blk_ok"))
+    blocks = ends.select("pattern_id", "blk", "blk_ok").distinct()
+    upto = Window.partitionBy("pattern_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.select("pattern_id", "blk", (F.sum("blk_ok").over(upto) - F.col("blk_ok")).alias("ok_before"))
+    kept = rows.filter(F.col("volume") % every == 0).join(ends.drop("blk_ok"), ["pattern_id", "blk", "sub"]).join(blocks, ["pattern_id", "blk"])
+    return kept.select(
+        "pattern_id", "ts", "volume", ((F.col("ok_before") + F.col("ok_in")) / F.col("volume")).alias("success_rate"),
         F.col("threshold_used").alias("threshold"),
-        (F.col("inside") + F.coalesce(F.col("carry"), F.lit(0.0)) * F.pow(decay, F.col("j") + 1)).alias("confidence_avg"),
+        (F.col("inside") + F.col("carry") * F.pow(decay, F.col("i") + 1)).alias("confidence_avg"),
     )
 
 
 def performance_trend(points: DataFrame, asof: Column, days: int = 7) -> DataFrame:
-    """Trend of the running success rate over the points of the last days (at most 1,000 per pattern)."""
+    """Trend of the running success rate over the points of the last days."""
     pts = points.filter(F.col("ts") > asof - F.expr(f"INTERVAL {days} DAYS"))
     by = Window.partitionBy("pattern_id")
     pts = pts.withColumn("i", F.row_number().over(by.orderBy("volume"))).withColumn("k", F.count(F.lit(1)).over(by))
@@ -207,7 +213,7 @@ def pattern_stats(events: DataFrame) -> DataFrame:
             F.col("ema_confidence").alias("conf"), F.col("ema_time").alias("ms"),
         )
         .join(counts, "pattern_id").join(trend, "pattern_id", "left").na.fill({"trend": "stable"})
-        .withColumn("points", F.least(F.floor(F.col("n") / 10), F.lit(1000)))
+        .withColumn("points", F.floor(F.col("n") / 10))
     )
 
 

@@ -30,15 +30,14 @@ WEEK = f"{d.EVENTS}, r AS (SELECT * FROM ev WHERE ts >= (SELECT max(ts) FROM ev)
 @query(
     "j01_performance_metrics",
     f"""WITH {d.EVENTS},
-        k AS (SELECT ts, success FROM ev ORDER BY ts DESC, event_id DESC LIMIT 10000),
-        t AS (SELECT processing_time_ms AS v FROM ev WHERE processing_time_ms > 0 ORDER BY ts DESC, event_id DESC LIMIT 1000),
+        t AS (SELECT processing_time_ms AS v FROM ev WHERE processing_time_ms > 0),
         s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM t),
         p AS (SELECT avg(v) AS a, max(v) FILTER (i = n // 2) AS m, max(v) FILTER (i = CAST(floor(n * 0.95) AS BIGINT)) AS p95,
                      max(v) FILTER (i = CAST(floor(n * 0.99) AS BIGINT)) AS p99 FROM s)
         SELECT round(a, 6) AS avg_ms, m AS median_ms, p95 AS p95_ms, p99 AS p99_ms,
                round(c / greatest(el, 1.0), 6) AS throughput_per_second, c AS total_processed, round(er, 6) AS error_rate
         FROM p, (SELECT count(*) AS c, avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) AS er,
-                        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS el FROM k)""",
+                        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS el FROM ev)""",
 )
 def j01(spark, sf_dir):
     return rounded(a.performance_metrics(metric_events(spark, sf_dir)))
@@ -350,7 +349,7 @@ def j20(spark, sf_dir):
     "j21_metric_series",
     f"""WITH {d.EVENTS}, o AS (SELECT pattern_id AS name, processing_time_ms AS v,
                 row_number() OVER (PARTITION BY pattern_id ORDER BY ts DESC, event_id DESC) AS rn FROM ev)
-        SELECT name, count(*) FILTER (rn <= 1000) AS points_kept, max(v) FILTER (rn = 1) AS latest_value,
+        SELECT name, count(*) AS points_kept, max(v) FILTER (rn = 1) AS latest_value,
                round(sum(v), 4) AS counter_total FROM o GROUP BY 1""",
 )
 def j21(spark, sf_dir):

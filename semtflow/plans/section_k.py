@@ -48,7 +48,7 @@ TREND = """pw AS (SELECT pattern_id, success_rate, row_number() OVER (PARTITION
      WHEN df < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM pa)"""
 STATS = f"""{KEV}, {POINTS}, {TREND}, ps AS (SELECT pattern_id, max(n) AS n, count(*) FILTER (success) AS s, avg(success::INT) AS sr,
      sum(confidence * 0.1 * pow(0.9, rn - 1)) AS conf, sum(processing_time_ms * 0.1 * pow(0.9, rn - 1)) AS ms, max(pattern_type) AS pattern_type,
-     max(threshold_used) FILTER (rn = 1) AS t, least(max(n) // 10, 1000) AS points FROM o GROUP BY 1),
+     max(threshold_used) FILTER (rn = 1) AS t, max(n) // 10 AS points FROM o GROUP BY 1),
    stats AS (SELECT ps.*, coalesce(trend, 'stable') AS trend FROM ps LEFT JOIN tr USING (pattern_id))"""
 
 

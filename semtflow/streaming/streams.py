@@ -29,9 +29,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def normalize_stream(addresses: DataFrame, dims: Dims | None = None) -> DataFrame:
-    """The cascade over a feed; text outside 1 to 1,000 characters becomes an error row."""
-    fits = F.length("address").between(1, 1000)
-    return cascade.normalize_addresses(addresses.withColumn("address", F.when(fits, F.col("address"))), dims)
+    """The cascade over a feed, with the same answers as in batch."""
+    return cascade.normalize_addresses(addresses, dims)
 
 
 def with_lateness(events: DataFrame, delay: str = LATENESS) -> DataFrame:
@@ -76,15 +75,23 @@ def layer_usage_stream(history: DataFrame, every: str = "1 hour", delay: str = L
 # --- state tables merged per batch ------------------------------------------
 
 
+#: Versions kept of a state table: the one being written, the one it reads, and one spare.
+SLOTS = 3
+
+
 def _previous(spark: SparkSession, path: str, epoch: int, schema: str) -> DataFrame:
-    """The newest state version before this batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-    before = [e for e in done if e < epoch]
-    if not before:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/epoch={max(before)}")
+    """The newest state version before this batch; the slot that this batch writes is not read."""
+    for k in range(SLOTS):  # a slot not yet written is an empty table
+        spark.createDataFrame([], f"{schema}, epoch long").write.mode("ignore").parquet(f"{path}/slot={k}")
+    others = [f"{path}/slot={k}" for k in range(SLOTS) if k != epoch % SLOTS]
+    before = spark.read.schema(f"{schema}, epoch long").parquet(*others).filter(F.col("epoch") < epoch)
+    last = before.agg(F.max("epoch")).first()[0]
+    return before.filter(F.col("epoch") == F.lit(last)).drop("epoch")
+
+
+def _save(state: DataFrame, path: str, epoch: int) -> None:
+    """Write this batch's version over the oldest one; a retried batch overwrites its own."""
+    state.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/slot={epoch % SLOTS}")
 
 
 def ema_threshold_batches(state: str) -> Callable[[DataFrame, int], None]:
@@ -107,7 +114,7 @@ def ema_threshold_batches(state: str) -> Callable[[DataFrame, int], None]:
         out = j.select("pattern_id", ema.alias("ema"), seen.alias("seen"), F.greatest("last_updated", "newest").alias("last_updated"))
         moved = F.greatest(F.lit(th.LOW), F.least(F.lit(th.HIGH), th.DEFAULT_THRESHOLD - (F.col("ema") - 0.5) * th.ADJUSTMENT))
         out = out.withColumn("threshold", F.when(F.col("seen") >= th.MIN_SAMPLES, moved).otherwise(th.DEFAULT_THRESHOLD))
-        out.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        _save(out, state, epoch)
 
     return merge
 
@@ -126,34 +133,62 @@ def alert_batches(state: str, alerts: str, low_success: float = 0.5, low_confide
         now = old.join(fresh, "pattern_id", "full_outer").select(
             "pattern_id", (zero("n") + zero("bn")).alias("n"), (zero("s") + zero("bs")).alias("s"),
             (zero("conf") * decay + zero("bc")).cast("double").alias("conf"), (zero("ms") * decay + zero("bt")).cast("double").alias("ms"))
-        now.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-        stats = spark.read.parquet(f"{state}/epoch={epoch}").withColumn("sr", F.col("s") / F.col("n"))
-        active = _previous(spark, alerts, epoch, "type string, pattern_id string, severity string, value double, threshold double, active boolean")
+        _save(now, state, epoch)
+        stats = _previous(spark, state, epoch + 1, schema).withColumn("sr", F.col("s") / F.col("n"))
+        kept = "type string, pattern_id string, severity string, value double, threshold double, active boolean"
+        active = _previous(spark, alerts, epoch, kept)
         new = th.performance_alerts(stats, active.filter("active")).withColumn("active", F.lit(True))
-        active.unionByName(new.select(*active.columns)).write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
+        _save(active.unionByName(new.select(*active.columns)), alerts, epoch)
 
     return merge
 
 
-def optimize_batches(audit: str) -> Callable[[DataFrame, int], None]:
-    """Re-run the threshold optimization on what arrived and append the applied moves."""
+EVENT_LOG = "pattern_id string, pattern_type string, ts timestamp, event_id long, success boolean, confidence double, processing_time_ms double, threshold_used double"
+
+
+def optimize_batches(log: str, audit: str) -> Callable[[DataFrame, int], None]:
+    """Append the batch to the event log, re-run the optimization over the whole log and keep the moves.
+
+    The log holds the columns the optimizer reads, one folder per batch, which a retry overwrites.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        done = th.optimize(th.pattern_stats(batch))
-        th.audit_rows(done, th.latest(batch)).write.mode("overwrite").parquet(f"{audit}/epoch={epoch}")
+        spark = batch.sparkSession
+        columns = [c.split()[0] for c in EVENT_LOG.split(", ")]
+        batch.select(*columns).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        events = spark.read.schema(EVENT_LOG).parquet(*[f"{log}/epoch={e}" for e in range(epoch + 1)])
+        done = th.audit_rows(th.optimize(th.pattern_stats(events)), th.latest(events))
+        _save(done, audit, epoch)
 
     return run
 
 
+SUMMARY = "method string, total long, successful long, failed long, confidence double"
+
+
 def summary_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """Per batch of results: counts by method."""
+    """Running counts by method over all batches of results."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        cascade.batch_stats(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        old = _previous(batch.sparkSession, path, epoch, SUMMARY)
+        fresh = batch.groupBy("method").agg(
+            F.count(F.lit(1)).alias("total"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"),
+            F.coalesce(F.sum(F.when(F.col("success"), F.col("confidence"))), F.lit(0.0)).alias("confidence"))
+        both = old.unionByName(fresh).groupBy("method").agg(*[F.sum(c).alias(c) for c in ("total", "successful", "failed", "confidence")])
+        _save(both, path, epoch)
 
     return run
 
 
+def summary(state: DataFrame) -> DataFrame:
+    """Totals and one row per method of running counts."""
+    ok = F.sum("successful")
+    return state.rollup("method").agg(
+        F.sum("total").alias("total"), ok.alias("successful"), F.sum("failed").alias("failed"), (ok / F.sum("total")).alias("success_rate"),
+        F.coalesce(F.sum("confidence") / F.nullif(ok, F.lit(0)), F.lit(0.0)).alias("average_confidence"),
+    ).na.fill({"method": "all"})
+
+
 # --- runners ----------------------------------------------------------------
 
 
@@ -174,5 +209,5 @@ def drain_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], name:
 
 def newest_state(spark: SparkSession, path: str) -> DataFrame:
     """The last version of a state table."""
-    versions = spark.read.parquet(path)
-    return versions.filter(F.col("epoch") == versions.agg(F.max("epoch")).scalar()).drop("epoch")
+    versions = spark.read.parquet(*[f"{path}/slot={k}" for k in range(SLOTS)])
+    return versions.filter(F.col("epoch") == versions.agg(F.max("epoch")).first()[0]).drop("epoch")

@@ -62,3 +62,22 @@ def test_ema_and_history_equal_the_loop(spark):
                 assert abs(pts[(k, i)][0] - ok / i) < 1e-9 and abs(pts[(k, i)][1] - conf) < 1e-9
         assert abs(got[k] - ema) < 1e-9
     assert len([p for p in pts if p[0] == "p0"]) == 50
+
+
+def test_running_mean_over_a_hot_key(spark):
+    """5,000 rows of one pattern and a slow mean: every row counts."""
+    from semtflow.operators import thresholds as th
+
+    rows = [("hot", i, (i * 37 % 101) / 100) for i in range(5000)] + [("cold", i, 0.5) for i in range(3)]
+    ev = spark.createDataFrame(rows, "pattern_id string, event_id long, confidence double")
+    ev = ev.selectExpr("*", "timestamp_seconds(event_id) AS ts", "confidence > 0.4 AS success", "0.4D AS threshold_used").repartition(7)
+    means, m, seeded = {}, 0.0, None
+    for k, (_, _, c) in enumerate(rows[:5000], 1):
+        m = m * 0.99 + c * 0.01
+        seeded = c if seeded is None else seeded * 0.99 + c * 0.01
+        means[k] = m
+    got = {r.pattern_id: r.c for r in th.ema_last(ev, {"c": F.col("confidence")}, 0.01).collect()}
+    assert abs(got["hot"] - m) < 1e-12
+    assert abs({r.pattern_id: r.c for r in th.ema_last(ev, {"c": F.col("confidence")}, 0.01, seeded=True).collect()}["hot"] - seeded) < 1e-12
+    points = th.history_points(ev, alpha=0.01).filter("pattern_id = 'hot'").collect()
+    assert len(points) == 500 and all(abs(p.confidence_avg - means[p.volume]) < 1e-9 for p in points)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from semtflow.operators import cascade
 from semtflow.operators import thresholds as th
 from semtflow.plans import section_k, section_n
 from semtflow.streaming import streams as st
@@ -28,10 +29,19 @@ def test_one_active_alert(spark, sf, tmp_path):
     assert kinds.count("low_success_rate") == 1
 
 
-def test_long_text_is_an_error(spark):
-    df = spark.createDataFrame([(1, "x" * 1001), (2, "moda mahalle")], "addr_id long, address string")
-    got = {r.addr_id: r.success for r in st.normalize_stream(df).collect()}
-    assert got == {1: False, 2: True}
+def test_long_text_as_in_batch(spark):
+    df = spark.createDataFrame([(1, "moda mahalle " + "x" * 1001), (2, "moda mahalle")], "addr_id long, address string")
+    rows = lambda x: sorted(str(r) for r in x.collect())
+    assert rows(st.normalize_stream(df)) == rows(cascade.normalize_addresses(df))
+
+
+def test_summary_over_batches(spark, tmp_path):
+    step = st.summary_batches(str(tmp_path / "s"))
+    one = spark.createDataFrame([("ml", True, 0.5), ("ml", False, 0.1), ("pattern", True, 0.9)], "method string, success boolean, confidence double")
+    for epoch in (0, 1, 1, 2, 3):
+        step(one, epoch)
+    got = {r.method: (r.total, r.successful, r.average_confidence) for r in st.summary(st.newest_state(spark, str(tmp_path / "s"))).collect()}
+    assert got["ml"] == (8, 4, 0.5) and got["all"][:2] == (12, 8)
 
 
 def test_watermark_windows(spark, sf):
