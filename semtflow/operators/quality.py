@@ -52,12 +52,16 @@ def score_columns(e=Spark) -> dict[str, str]:
 def _score_columns(e) -> dict[str, str]:
     known = f"{e.low('il')} IN ({', '.join(repr(p) for p in fv.QUALITY_PROVINCES)})"
     zip_ok, no_ok = e.like("posta_kodu", "^[0-9]{5}$"), e.like("bina_no", "^[0-9]+[A-Z]*$")
+    # completeness and consistency look at trimmed values
+    known_t = f"{e.low('trim(il)')} IN ({', '.join(repr(p) for p in fv.QUALITY_PROVINCES)})"
+    zip_t, no_t, digits_t = e.like("trim(posta_kodu)", "^[0-9]{5}$"), e.like("trim(bina_no)", "^[0-9]+[A-Z]*$"), e.like("trim(bina_no)", "^[0-9]+$")
+    none = " AND ".join(f"{c} IS NULL" for c in PARTS)
     major = ["il", "ilce", "mahalle"]
     n_major = " + ".join(f"(CASE WHEN length(coalesce({c}, '')) > 2 THEN 1 ELSE 0 END)" for c in major)
     n_found = " + ".join(f"(CASE WHEN length(coalesce({c}, '')) > 2 AND instr({e.low('text')}, {e.low(c)}) > 0 THEN 1 ELSE 0 END)" for c in major)
     weight = lambda w: " + ".join(f"{v} * (CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END)" for c, v in w.items())
     got = lambda w: " + ".join(f"{v} * {_filled(c)}" for c, v in w.items())
-    part = {c: "1.0" for c in PARTS} | {"posta_kodu": f"(CASE WHEN {zip_ok} THEN 1.0 ELSE 0.5 END)", "bina_no": f"(CASE WHEN {no_ok} THEN 1.0 ELSE 0.7 END)"}
+    part = {c: "1.0" for c in PARTS} | {"posta_kodu": f"(CASE WHEN {zip_t} THEN 1.0 ELSE 0.5 END)", "bina_no": f"(CASE WHEN {no_t} THEN 1.0 ELSE 0.7 END)"}
     earned = " + ".join(f"(CASE WHEN {_filled(c)} = 1 THEN {w} * {part[c]} ELSE 0.0 END)" for c, w in fv.COMPLETE_WEIGHTS.items())
     proper = e.like("{}", r"^[A-ZÇĞIİÖŞÜa-zçğıiöşü .-]+$")
     texty = _mean([(f"{_filled(c)} = 1", f"(CASE WHEN {proper.format(c)} THEN 1.0 ELSE 0.0 END)") for c in CORE], "-1.0")
@@ -93,12 +97,13 @@ def _score_columns(e) -> dict[str, str]:
         "texty": texty,
         "n_checks": f"1 + (CASE WHEN {_filled('il')} + {_filled('ilce')} = 2 THEN 1 ELSE 0 END) + (CASE WHEN {_filled('ilce')} + {_filled('mahalle')} = 2 THEN 1 ELSE 0 END)"
         f" + (CASE WHEN {_some('posta_kodu')} THEN 1 ELSE 0 END) + (CASE WHEN {_some('bina_no')} THEN 1 ELSE 0 END) + (CASE WHEN n_major > 0 THEN 1 ELSE 0 END)",
-        "enhanced_consistency": f"((CASE WHEN {_filled('il')} + {_filled('ilce')} = 2 THEN (CASE WHEN {known} THEN 0.3 ELSE 0.1 END) ELSE 0.0 END)"
+        "enhanced_consistency": f"CASE WHEN {none} THEN 0.0 ELSE ((CASE WHEN {_filled('il')} + {_filled('ilce')} = 2 THEN (CASE WHEN {known_t} THEN 0.3 ELSE 0.1 END) ELSE 0.0 END)"
         f" + (CASE WHEN {_filled('ilce')} + {_filled('mahalle')} = 2 THEN 0.2 ELSE 0.0 END)"
-        f" + (CASE WHEN {_some('posta_kodu')} THEN (CASE WHEN {zip_ok} THEN 0.15 ELSE 0.05 END) ELSE 0.0 END)"
-        f" + (CASE WHEN {_some('bina_no')} THEN (CASE WHEN {e.like('bina_no', '^[0-9]+$')} THEN 0.1 ELSE 0.05 END) ELSE 0.0 END)"
-        " + (CASE WHEN n_major > 0 THEN 0.25 * n_found / n_major ELSE 0.0 END) + (CASE WHEN texty >= 0 THEN texty * 0.2 ELSE 0.1 END)) / n_checks",
-        "accuracy_estimate": "least(1.0, overall_conf * 0.60 + enhanced_completeness * 0.25 + enhanced_consistency * 0.15)",
+        f" + (CASE WHEN {_some('posta_kodu')} THEN (CASE WHEN {zip_t} THEN 0.15 ELSE 0.05 END) ELSE 0.0 END)"
+        f" + (CASE WHEN {_some('bina_no')} THEN (CASE WHEN {digits_t} THEN 0.1 ELSE 0.05 END) ELSE 0.0 END)"
+        " + (CASE WHEN n_major > 0 THEN 0.25 * n_found / n_major ELSE 0.0 END) + (CASE WHEN texty >= 0 THEN texty * 0.2 ELSE 0.1 END)) / n_checks END",
+        "accuracy_estimate": "least(1.0, (CASE WHEN overall_conf > 0 THEN overall_conf WHEN pattern_conf > 0 AND ml_conf > 0 THEN (pattern_conf + ml_conf) / 2"
+        " ELSE greatest(pattern_conf, ml_conf) END) * 0.60 + enhanced_completeness * 0.25 + enhanced_consistency * 0.15)",
         "n_parts": " + ".join(_filled(c) for c in PARTS),
         "coverage": f"(CASE method {cov} ELSE 0.5 END) * (CASE WHEN n_parts >= 4 THEN 1.0 WHEN n_parts >= 2 THEN 0.8 WHEN n_parts >= 1 THEN 0.6 ELSE 0.2 END)",
         "required_filled": "(" + " + ".join(_filled(c) for c in CORE) + ") / 4.0",

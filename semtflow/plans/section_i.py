@@ -12,12 +12,12 @@ from semtflow.plans.section_j import rounded
 from semtflow.sources.derived import addresses
 
 INPUT = [
-    "addr_id", "address AS text",
-    "CASE WHEN addr_id % 17 = 0 THEN 'ankara' WHEN addr_id % 6 = 0 THEN NULL ELSE city_in END AS il", "CASE WHEN addr_id % 5 = 0 THEN '' ELSE district_in END AS ilce",
-    "CASE WHEN addr_id % 4 = 0 THEN NULL ELSE nbh END AS mahalle", "CASE WHEN addr_id % 7 = 0 THEN '  ' ELSE street END AS sokak",
-    "CASE addr_id % 3 WHEN 0 THEN number WHEN 1 THEN number || 'x' END AS bina_no", "CASE WHEN addr_id % 2 = 0 THEN '5' END AS daire_no",
-    "CASE WHEN addr_id % 8 = 0 THEN '123' ELSE postcode_in END AS posta_kodu",
-    "CASE addr_id % 6 WHEN 0 THEN 'pattern_primary' WHEN 1 THEN 'pattern_secondary' WHEN 2 THEN 'ml_primary' WHEN 3 THEN 'ml_secondary' WHEN 4 THEN 'hybrid' ELSE 'fallback' END AS method",
+    "addr_id", "address AS text",  # every 101st row has no component, every 9th padded ones, every 100th an overall confidence of 0
+    "CASE WHEN addr_id % 101 = 0 THEN NULL WHEN addr_id % 9 = 0 THEN ' ' || city_in || ' ' WHEN addr_id % 17 = 0 THEN 'ankara' WHEN addr_id % 6 = 0 THEN NULL ELSE city_in END AS il", "CASE WHEN addr_id % 101 = 0 THEN NULL WHEN addr_id % 5 = 0 THEN '' ELSE district_in END AS ilce",
+    "CASE WHEN addr_id % 4 = 0 OR addr_id % 101 = 0 THEN NULL ELSE nbh END AS mahalle", "CASE WHEN addr_id % 101 = 0 THEN NULL WHEN addr_id % 7 = 0 THEN '  ' ELSE street END AS sokak",
+    "CASE WHEN addr_id % 101 = 0 THEN NULL WHEN addr_id % 9 = 0 THEN ' ' || number || ' ' WHEN addr_id % 3 = 0 THEN CAST(number AS STRING) WHEN addr_id % 3 = 1 THEN number || 'x' END AS bina_no", "CASE WHEN addr_id % 2 = 0 AND addr_id % 101 <> 0 THEN '5' END AS daire_no",
+    "CASE WHEN addr_id % 101 = 0 THEN NULL WHEN addr_id % 9 = 0 THEN ' 34710 ' WHEN addr_id % 8 = 0 THEN '123' ELSE postcode_in END AS posta_kodu",
+    "CASE CASE WHEN addr_id % 100 = 0 THEN 5 ELSE addr_id % 6 END WHEN 0 THEN 'pattern_primary' WHEN 1 THEN 'pattern_secondary' WHEN 2 THEN 'ml_primary' WHEN 3 THEN 'ml_secondary' WHEN 4 THEN 'hybrid' ELSE 'fallback' END AS method",
     *[f"CAST(addr_id * {m} % 100 AS DOUBLE) / 100 AS {n}" for n, m in (
         ("match_score", 37), ("pattern_quality", 53), ("coverage_in", 29), ("specificity", 71), ("model_score", 41), ("entropy", 61), ("feature_quality", 83), ("similarity", 97))],
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,14 @@ def local_session(cpus: int = 8, name: str = "semtflow") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a scratch folder.
+    Only a local session that names none (a test) gets a scratch folder; a cluster must name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -47,9 +51,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash the rows by a unique key over all cores before work that costs far more than moving them.
 
     A file split holds millions of short texts; matching one costs milliseconds.
-    A fixed partition count keeps adaptive coalescing from undoing the spread,
-    and hashing (unlike round robin) gives the same partitions on a retry.
+    An input of at least two splits per core keeps them and is not shuffled. Below
+    that, a fixed count keeps adaptive coalescing from undoing the spread, and
+    hashing (unlike round robin) gives the same partitions on a retry.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    if not df.isStreaming and df.rdd.getNumPartitions() >= 2 * cores:
+        return df
     return df.repartition(max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
