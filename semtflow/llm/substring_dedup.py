@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semtflow.llm.common import cut, small
-from semtflow.llm.wordhash import flat, pieces, window_hashes, word_bounds, word_hashes
+from semtflow.llm.wordhash import flat, mix, pieces, window_hashes, word_bounds, word_hashes
 
 #: Words that a task looks at together, and bytes of text per shard of hashes.
 CHUNK_WORDS = 3 << 18
 SHARD_BYTES = 12 << 20
+_FOUND = "bucket int, spans binary"
 _SPANS = "_id long, _th int, a array<int>, b array<int>"
 _PROBES = "shard int, ids binary, ths binary, counts binary, gaps binary, low binary, high binary, flags binary, known binary, spans binary"
 
@@ -144,8 +145,9 @@ def _candidates(near: list[pa.Array], last: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(docs), np.concatenate(starts)
 
 
-def _met(wide: bool, back: int, ahead: int):
-    """Intervals of all occurrences, in one shard, of hashes that stand in two places, one of them aligned."""
+def _met(wide: bool, back: int, ahead: int, shards: int):
+    """Intervals of all occurrences, in one shard, of hashes that stand in two places, one of them
+    aligned; packed by buckets of texts."""
 
     def run(group: pa.Table) -> pa.Table:
         keys, ids, ths, doc, pos, known, aligned, spans = [], [], [], [], [], [], [], []
@@ -175,19 +177,35 @@ def _met(wide: bool, back: int, ahead: int):
         at = order[np.repeat(hit, count)]
         at = at[~known[at]]
         found = np.frombuffer(_located(ids, ths, doc[at], np.maximum(pos[at] - back, 0), pos[at] + ahead), "<i8").reshape(-1, 4) if at.size else np.zeros((0, 4), np.int64)
-        flat_rows = np.concatenate([found, *spans]).T
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        rows = pa.table({n: pa.array(x, pa.int64()).cast(k) for n, x, k in zip(("_id", "_th", "a", "b"), flat_rows, kinds, strict=True)})
-        return rows.group_by(["_id", "_th"], use_threads=False).aggregate([("a", "list"), ("b", "list")]).rename_columns(["_id", "_th", "a", "b"])
+        rows = np.concatenate([found, *spans])
+        bucket = (mix(rows[:, 0].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if bucket.size else np.zeros(1, int)
+        packed = [rows[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "spans": pa.array(packed, pa.binary())})
 
     return run
 
 
+def _by_text(group: pa.Table) -> pa.Table:
+    """The intervals of each text, merged."""
+    rows = np.concatenate([np.frombuffer(r, "<i8").reshape(-1, 4) for r in group.column("spans").to_pylist()])
+    key = np.ascontiguousarray(rows[:, :2]).view([("id", "<i8"), ("th", "<i8")]).ravel()
+    texts, doc = np.unique(key, return_inverse=True)
+    shift = int(rows[:, 3].max(initial=0)) + 2
+    lo, hi = merged(rows[:, 2] + doc * shift, rows[:, 3] + doc * shift)
+    which = lo // shift
+    off = pa.array(np.searchsorted(which, np.arange(texts.size + 1)), pa.int32())
+    a, b = (pa.ListArray.from_arrays(off, pa.array(x - which * shift, pa.int64()).cast(pa.int32())) for x in (lo, hi))
+    return pa.table({"_id": pa.array(texts["id"]), "_th": pa.array(texts["th"]).cast(pa.int32()), "a": a, "b": b})
+
+
 def _intervals(rows: DataFrame, shards: int, span: int, step: int, wide: bool, back: int, ahead: int) -> DataFrame:
     """Per text the intervals around windows that stand in two places, at least one a multiple of ``step``."""
     probes = rows.mapInArrow(_windows(span, step, wide, back, ahead, shards), _PROBES)
-    found = probes.groupBy("shard").applyInArrow(_met(wide, back, ahead), _SPANS)
-    return cut(found.groupBy("_id", "_th").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")))
+    found = probes.groupBy("shard").applyInArrow(_met(wide, back, ahead, shards), _FOUND)
+    return cut(found.groupBy("bucket").applyInArrow(_by_text, _SPANS))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
