@@ -34,7 +34,7 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[start:end] per pair, by prefix sums of a polynomial modulo 2^64."""
     up, down = _powers(base, max(20, int(values.size - 1).bit_length()))
     total = np.zeros(values.size + 1, _U)
@@ -68,13 +68,13 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _span_hash(_letters()[data], start, end, 0x9E3779B97F4A7C15)
+    return span_hash(_letters()[data], start, end, 0x9E3779B97F4A7C15)
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, span: int, twice: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """64-bit (or twice 64-bit) hashes of the runs of ``span`` words that start at ``at``."""
-    one = _span_hash(words, at, at + span, 0xC2B2AE3D27D4EB4F)
-    return one, _span_hash(mix(words + _U(span)), at, at + span, 0x165667B19E3779F9) if twice else None
+    one = span_hash(words, at, at + span, 0xC2B2AE3D27D4EB4F)
+    return one, span_hash(mix(words + _U(span)), at, at + span, 0x165667B19E3779F9) if twice else None
 
 
 def pieces(off: np.ndarray):
