@@ -108,7 +108,7 @@ def g08(spark, sf_dir):
 def g09(spark, sf_dir):
     """Held-out token accuracy per tag."""
     data = en.train_test_split(bio(spark, sf_dir)).drop("spans")
-    model = en.train_tagger(data.filter("split = 'train'"), iterations=10)
+    model = en.train_tagger(data.filter("split = 'train'"))
     test = en.tag_tokens(data.filter("split = 'test'"), model)
     return rounded(test.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("tag")).cast("int")).alias("accuracy")))
 
@@ -116,7 +116,7 @@ def g09(spark, sf_dir):
 @query("g10_tag_entities")
 def g10(spark, sf_dir):
     data = bio(spark, sf_dir).drop("spans")
-    model = en.train_tagger(data, iterations=10)
+    model = en.train_tagger(data)
     return rounded(en.tag_entities(cleaned(spark, sf_dir), model), 3)
 
 

@@ -10,6 +10,7 @@ from semtflow.plans import duck as d
 from semtflow.plans.registry import query
 from semtflow.plans.section_j import rounded
 from semtflow.sources.derived import addresses, metric_events
+from semtflow.session import checkpointed
 
 TEXT = f"tx AS (SELECT addr_id, {d.fold('address')} AS text, length({d.fold('address')}) // 20 AS cluster FROM addr)"
 
@@ -58,7 +59,8 @@ def l05(spark, sf_dir):
 
 @query("l06_choose_k")
 def l06(spark, sf_dir):
-    return rounded(spark.createDataFrame(m.choose_k(features(spark, sf_dir).cache(), range(2, 5)), "k int, silhouette double"), 4)
+    rows = checkpointed(features(spark, sf_dir))
+    return rounded(spark.createDataFrame(m.choose_k(rows), "k int, silhouette double"), 4)
 
 
 LENS = """hs AS (SELECT cluster, length(text) AS len, count(*) AS c FROM tx GROUP BY 1, 2),
@@ -113,7 +115,8 @@ def l10(spark, sf_dir):
 
 @query("l11_suggest_patterns")
 def l11(spark, sf_dir):
-    return rounded(m.suggest_patterns(corpus(spark, sf_dir).select("addr_id", "text"), 4, min_confidence=0.3).select("pattern_id", "regex", "confidence", "coverage"), 3)
+    k = m.choose_k(checkpointed(features(spark, sf_dir)))[0][0]
+    return rounded(m.suggest_patterns(corpus(spark, sf_dir).select("addr_id", "text"), k, min_confidence=0.3).select("pattern_id", "regex", "confidence", "coverage"), 3)
 
 
 @query("l12_length_bucket_clusters", "SELECT length(text) // 20 AS bucket, count(*) AS cluster_size, 0.3::DOUBLE AS confidence FROM documents GROUP BY 1 HAVING count(*) >= 3")

@@ -8,7 +8,7 @@ from semtflow.plans import duck as d
 from semtflow.plans.registry import query
 from semtflow.plans.section_e import dims
 from semtflow.plans.section_j import rounded
-from semtflow.plans.section_k import EMA, KEV
+from semtflow.plans.section_k import EMA, KEV, OPTIMIZED, STATS
 from semtflow.sources.derived import EVENT_COLUMNS, address_columns
 from semtflow.streaming import streams as st
 
@@ -125,7 +125,11 @@ def n08(spark, sf_dir):
     return st.drain(st.layer_usage_stream(hist), "n08").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("n09_optimize_on_schedule")
+@query(
+    "n09_optimize_on_schedule",
+    f"""WITH {STATS}, {OPTIMIZED} SELECT pattern_id, round(old_threshold, 6) AS old_threshold, round(new_threshold, 6) AS new_threshold,
+        round(expected_improvement, 6) AS expected_improvement, round(performance_before, 6) AS performance_before, 'balanced' AS strategy_used FROM op WHERE optimization_applied""",
+)
 def n09(spark, sf_dir):
     audit = st.scratch(spark, "n09-audit")
     st.drain_batches(keyed_stream(spark, sf_dir), st.optimize_batches(f"{audit}-log", audit), "n09")
