@@ -24,34 +24,39 @@ def slotted(text: Column) -> Column:
     behind a word or comma, so not at the start of a sentence. Words are lower-cased and lose
     their punctuation.
     """
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), "\u0001", " ")
-    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{N}])(\p{N}+)", " \u0001n$1 ")
-    marked = F.regexp_replace(marked, "(\u0001n\\p{N}+ ) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", "$1\u0001u$2")
-    marked = F.regexp_replace(marked, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\u0001m$1")
-    plain = F.btrim(F.regexp_replace(F.lower(marked), "[^\\p{L}\\p{N}\u0001]+", " "))
-    return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+    base = F.replace(F.coalesce(text, F.lit("")), F.lit("\u0001"), F.lit(" "))
+    counted = F.regexp_replace(base, r"(?<![\p{L}\p{N}])(\p{N}+)", " \u0001n$1 ")
+    counted = F.regexp_replace(counted, "(\u0001n\\p{N}+ ) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", "$1\u0001u$2")
+    marked = F.when(base.rlike(r"\p{N}"), counted).otherwise(base)
+    # the letter is looked at before what stands ahead of it, as few letters are capitals
+    marked = F.regexp_replace(marked, r"((?=\p{Lu})(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\u0001m$1")
+    return F.array_remove(F.split(F.lower(marked), "[^\\p{L}\\p{N}\u0001]+"), "")
 
 
 def _template(value: Column) -> Column:
-    return F.when(F.startswith(value, F.lit("\u0001")), F.substring(value, 1, 2)).otherwise(value)
+    """A word's hash, or 1, 2 or 3 for a number, name or unit."""
+    code = F.when(F.startswith(value, F.lit("\u0001n")), 1).when(F.startswith(value, F.lit("\u0001m")), 2).otherwise(3)
+    return F.when(F.startswith(value, F.lit("\u0001")), code.cast("long")).otherwise(F.xxhash64(value))
 
 
 def _windows(rows: DataFrame, keys: list[str], values: bool) -> DataFrame:
-    """keys, pos, h (hash of the template) and, if asked for, the values of every window with a literal word."""
-    marked = rows.select(*keys, slotted(F.col("text")).alias("_v"), F.col("text")).drop("text").filter(F.size("_v") >= SPAN)
-    marked = marked.withColumn("_t", F.transform("_v", _template))
-    t, v = F.col("_t"), F.col("_v")
+    """keys and h, the hash of the template, of every window with a literal word; with ``values`` also pos and v."""
+    marked = rows.select(*keys, slotted(F.col("text")).alias("_v"))
+    marked = marked.select(*keys, *(["_v"] if values else []), F.transform("_v", _template).alias("_t"))
+    t = F.col("_t")
 
     def window(i: Column) -> Column:
         at = [t[i + k] for k in range(SPAN)]
-        # a window of placeholders alone says nothing
-        h = F.when(F.greatest(*[F.substring(x, 1, 1) for x in at]) != "\u0001", F.xxhash64(*at))
-        return F.struct(h.alias("h"), F.slice(v, i + 1, F.lit(SPAN)).alias("v")) if values else h
-
-    each = F.transform(F.sequence(F.lit(0), F.size("_t") - SPAN), window)
-    out = exploded(marked, keys, each, "w", "pos")
-    out = out.select(*keys, "pos", "w.h", "w.v") if values else out.select(*keys, "pos", F.col("w").alias("h"))
-    return out.filter("h IS NOT NULL")
+        literal = ~at[0].between(1, 3)
+        for x in at[1:]:
+            literal = literal | ~x.between(1, 3)
+        return F.when(literal, F.xxhash64(*at))  # a window of placeholders alone says nothing
+
+    each = F.when(F.size("_t") >= SPAN, F.transform(F.sequence(F.lit(0), F.size("_t") - SPAN), window))
+    if not values:
+        return exploded(marked, keys, each, "h")
+    out = exploded(marked, [*keys, "_v"], each, "h", "pos").filter("h IS NOT NULL")
+    return out.select(*keys, "pos", "h", F.slice("_v", F.col("pos") + 1, F.lit(SPAN)).alias("v"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
