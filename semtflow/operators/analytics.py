@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semtflow.functions.ordered import halves, last_n, located, percentiles, value_levels
+from semtflow.functions.ordered import halves, located, percentiles, value_levels
 
 TIME_WINDOWS = {"1h": "1 hour", "24h": "24 hours", "7d": "7 days", "30d": "30 days"}
 
