@@ -17,9 +17,10 @@ def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The named columns with text, _ws (words), word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*keep, text.alias("text")).withColumn("_ws", words(F.col("text"))).withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
-    ws = F.col("_ws")
-    run = F.transform(F.sequence(F.lit(0), F.size("_ws") - 5), lambda i: F.xxhash64(*[ws[i + k] for k in range(5)]))
-    rows = rows.withColumn("_runs", F.when(F.size("_ws") >= 5, run).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("_hs", F.transform("_ws", lambda w: F.xxhash64(w)))  # words are hashed once, windows from their hashes
+    hs = F.col("_hs")
+    run = F.transform(F.sequence(F.lit(0), F.size("_hs") - 5), lambda i: F.xxhash64(*[hs[i + k] for k in range(5)]))
+    rows = rows.withColumn("_runs", F.when(F.size("_hs") >= 5, run).otherwise(F.array().cast("array<long>")))
     rows = rows.withColumn("_again", F.size(F.array_distinct("_runs")) < F.size("_runs"))
     # only texts with a repeated window look for its places: sorted windows that equal a neighbour
     placed = F.when(F.col("_again"), F.array_sort(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -49,17 +50,17 @@ def base_failed() -> Column:
 
 def _grams(text: Column) -> Column:
     """Runs of letters and digits, and runs of signs, as tokens: attached signs are words of their own."""
-    apart = F.btrim(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "))
-    return F.when(F.length(apart) > 0, F.split(apart, r"\s+")).otherwise(F.array().cast("array<string>"))
+    apart = F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 ")
+    return F.array_remove(F.split(apart, r"\s+"), "")
 
 
-def buckets(docs: DataFrame, keep: list[str], n_buckets: int) -> DataFrame:
-    """The named columns with _b: the buckets of all tokens and all pairs of neighbours."""
-    rows = docs.select(*keep, _grams(F.coalesce(F.col("text"), F.lit(""))).alias("_ts"))
+def grams(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The named columns with _b: the hashes of all tokens and all pairs of neighbours."""
+    rows = docs.select(*keep, F.transform(_grams(F.coalesce(F.col("text"), F.lit(""))), lambda t: F.xxhash64(t)).alias("_ts"))
     ts = F.col("_ts")
-    one = F.transform("_ts", lambda t: F.pmod(F.xxhash64(t), F.lit(n_buckets)).cast("int"))
-    two = F.when(F.size("_ts") > 1, F.transform(F.sequence(F.lit(1), F.size("_ts") - 1), lambda i: F.pmod(F.xxhash64(ts[i - 1], ts[i]), F.lit(n_buckets)).cast("int")))
-    return rows.select(*keep, F.concat(one, F.coalesce(two, F.array().cast("array<int>"))).alias("_b"))
+    # a token's own hash, and that of the pair it ends; the first token has no pair
+    both = F.transform("_ts", lambda t, i: F.when(i > 0, F.xxhash64(F.get(ts, i - 1), t)))
+    return rows.select(*keep, F.concat("_ts", F.filter(both, lambda h: h.isNotNull())).alias("_b"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
@@ -70,7 +71,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, pri
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_d")).distinct()
     marked = docs.select("doc_id", "text").join(small(good, F.lit(16)), F.col("doc_id") == F.col("_d"), "left")
-    each = exploded(buckets(marked.withColumn("_t", F.col("_d").isNotNull().cast("long")), ["_t"], n_buckets), ["_t"], F.col("_b"), "bucket")
+    each = exploded(grams(marked.withColumn("_t", F.col("_d").isNotNull().cast("long")), ["_t"]), ["_t"], F.col("_b"), "gram")
+    each = each.select("_t", F.pmod("gram", F.lit(n_buckets)).cast("int").alias("bucket"))
     counts = each.groupBy("bucket").agg(F.sum("_t").alias("t"), F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
     share = total.select((F.col("all_t") / F.col("all_n")).alias("s")).first()
@@ -93,8 +95,8 @@ def rate_documents(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS,
     ratios = log_ratios(docs, labels, n_buckets)
     counted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = rule_counts(docs, ["doc_id"]).withColumn("_r", F.monotonically_increasing_id())
-    each = buckets(rows, ["_r", *counted], n_buckets).select("_r", *counted, F.explode_outer("_b").alias("bucket"))
-    each = each.join(F.broadcast(ratios), "bucket", "left")
+    each = grams(rows, ["_r", *counted]).select("_r", *counted, F.explode_outer("_b").alias("gram"))
+    each = each.withColumn("bucket", F.pmod("gram", F.lit(n_buckets)).cast("int")).join(F.broadcast(ratios), "bucket", "left")
     rated = each.groupBy("_r").agg(*[F.first(c).alias(c) for c in counted], F.sum("ratio").alias("sum"), F.count("bucket").alias("n"))
     mean = F.when(F.col("n") > 0, F.col("sum") / F.col("n") / MICRO).otherwise(F.lit(0.0))
     rated = rated.select(*counted, base_failed().alias("base_failed"), mean.alias("mean_ratio"))
