@@ -16,7 +16,7 @@ from semtflow.llm.common import cut, stored
 #: Documents' ids per block of the file format, about.
 BLOCK_IDS = 1 << 20
 #: Words a Python worker remembers.
-MEMORY = 1 << 19
+MEMORY = 1 << 20
 
 
 # A control byte holds 2 bits for each of four ids, low bits first: the number of data bytes of
@@ -36,8 +36,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-ranks.size // 4) * 4, np.uint8)
     codes[: ranks.size] = extra
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4)[None, :] <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    wide = int(extra.max(initial=0)) + 1
+    used = np.arange(wide)[None, :] <= extra[:, None]
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :wide][used].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -45,9 +46,9 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     widths = _control_table()[0][np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
     at = np.cumsum(widths) - widths
     raw = np.frombuffer(data, np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(int(widths.max(initial=0))):
-        has = widths > k
+    out = raw[at].astype(np.uint32)
+    for k in range(1, int(widths.max(initial=1))):
+        has = np.flatnonzero(widths > k)
         out[has] |= raw[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -82,17 +83,19 @@ class _Encoder:
     def _learn(self, words: set[str], known: dict[str, bytes], joint: str) -> None:
         fresh = list(words - known.keys())
         if len(known) + len(fresh) > MEMORY:
+            still = {w: known[w] for w in words if w in known}
             known.clear()
-            fresh = list(words)
+            known.update(still)
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
-            ids = self._ids("".join([joint + w for w in part]))
-            ends = np.cumsum(self.length[ids])
-            size = np.array([len(w.encode()) for w in part]) + 1
-            at = np.searchsorted(ends, np.cumsum(size)) + 1
-            begin = np.r_[0, at[:-1]] + (joint == "\n")
-            for w, i, j in zip(part, begin.tolist(), at.tolist(), strict=True):
-                known[w] = ids[i:j].tobytes()
+            text = joint + joint.join(part)
+            ids = self._ids(text)
+            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(joint))
+            # a word's ids end where their letters do
+            stop = np.searchsorted(np.cumsum(self.length[ids]), np.append(starts[1:], len(text.encode()))) + 1
+            begin = np.append(0, stop[:-1]) + (joint == "\n")
+            raw, wide = ids.tobytes(), ids.itemsize
+            known.update(zip(part, [raw[i:j] for i, j in zip((begin * wide).tolist(), (stop * wide).tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian integers of ``kind``."""
@@ -126,8 +129,8 @@ def _tokenized(path: str, end: int):
         encoder = _encoder(path)
         last = np.array([end], encoder.kind)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                b = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 1024):
+                b = batch.slice(k, 1024)
                 raw = [x + last.tobytes() for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
                 n = pa.array([len(x) // last.itemsize for x in raw], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), n, pa.array(raw, pa.binary())], ["doc_id", "th", "n", "ids"])
@@ -142,11 +145,11 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for raw, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True):
-            got = np.bincount(_ids(raw, n))
-            if got.size > total.size:
-                total = np.append(total, np.zeros(got.size - total.size, np.int64))
-            total[: got.size] += got
+        ids = [_ids(raw, n) for raw, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True)]
+        got = np.bincount(np.concatenate(ids)) if ids else total[:0]
+        if got.size > total.size:
+            total = np.append(total, np.zeros(got.size - total.size, np.int64))
+        total[: got.size] += got
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
