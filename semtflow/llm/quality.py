@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semtflow.llm.common import exploded, small, words
+from semtflow.llm.common import cut, exploded, small, words
 
 #: Buckets of hashed n-grams; pseudo-counts of each; least mean ratio of a kept document.
 BUCKETS, PRIOR, LEAST = 1 << 17, 5.0, -0.25
@@ -23,7 +23,7 @@ def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("_runs", F.when(F.size("_hs") >= 5, run).otherwise(F.array().cast("array<long>")))
     rows = rows.withColumn("_again", F.size(F.array_distinct("_runs")) < F.size("_runs"))
     # only texts with a repeated window look for its places: sorted windows that equal a neighbour
-    placed = F.when(F.col("_again"), F.array_sort(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    placed = F.when(F.col("_again"), F.sort_array(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     rows = rows.withColumn("_sorted", placed)
     s = F.col("_sorted")
     n = F.size("_sorted")
@@ -73,7 +73,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, pri
     marked = docs.select("doc_id", "text").join(small(good, F.lit(16)), F.col("doc_id") == F.col("_d"), "left")
     each = exploded(grams(marked.withColumn("_t", F.col("_d").isNotNull().cast("long")), ["_t"]), ["_t"], F.col("_b"), "gram")
     each = each.select("_t", F.pmod("gram", F.lit(n_buckets)).cast("int").alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.sum("_t").alias("t"), F.count(F.lit(1)).alias("n"))
+    counts = cut(each.groupBy("bucket").agg(F.sum("_t").alias("t"), F.count(F.lit(1)).alias("n")))  # at most a row per bucket
     total = counts.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
     share = total.select((F.col("all_t") / F.col("all_n")).alias("s")).first()
     scale = (share["s"] if share and share["s"] is not None else 0.0) or 0.0
