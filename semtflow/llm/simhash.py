@@ -17,7 +17,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SLICE = 1 << 18
 
 
-def _shingle_hashes(text: bytes, span: int) -> np.ndarray:
+def shingle_hashes(text: bytes, span: int) -> np.ndarray:
     words = text.translate(_LOWER).split()  # bytes.split() cuts at exactly the ASCII blanks
     flat = b" ".join(words)
     digest = xxhash.xxh64_intdigest
@@ -40,7 +40,7 @@ def _majority(hashes: np.ndarray) -> int:
 def _fingerprinted(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_majority(_shingle_hashes(t or b"", span)) for t in b.column("text").to_pylist()]
+            fps = [_majority(shingle_hashes(t or b"", span)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
     return run
@@ -186,6 +186,17 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (_id, _th) is not in ``gone``; of those in ``again`` one row stays."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, *row_key())
+    rows = rows.join(small(gone, F.lit(32)), ["_id", "_th"], "left_anti")
+    if not again.isEmpty():
+        twice = small(again, F.lit(32))
+        rows = rows.join(twice, ["_id", "_th"], "left_anti").unionByName(rows.join(twice, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]))
+    return rows.select("row.*")
+
+
 def drop_near_copies(docs: DataFrame, span: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group: one row of each component.
 
@@ -198,11 +209,4 @@ def drop_near_copies(docs: DataFrame, span: int = 3) -> DataFrame:
     _id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id")
     gone = groups.join(best, "root").filter(key != F.col("best")).select(_id, F.col("th").alias("_th")).distinct()
     again = groups.groupBy(_id, F.col("th").alias("_th")).count().filter("count > 1").drop("count")
-    gone, again = cut(gone), cut(again)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(whole, *row_key())
-    rows = rows.join(small(gone, F.lit(32)), ["_id", "_th"], "left_anti")
-    if not again.isEmpty():
-        twice = small(again, F.lit(32))
-        rows = rows.join(twice, ["_id", "_th"], "left_anti").unionByName(rows.join(twice, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]))
-    return rows.select("row.*")
+    return without_rows(docs, cut(gone), cut(again))
