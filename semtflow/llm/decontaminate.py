@@ -21,18 +21,22 @@ def slotted(text: Column) -> Column:
     """Words in order; numbers, names and units carry a mark of their type before their value.
 
     Digits not inside a word are numbers; a unit follows a number; a name is a capitalised word
-    behind a word or comma, so not at the start of a sentence. Words are lower-cased and lose
+    behind a word or comma, so not at the start of a sentence; units may be in any case. Words are lower-cased and lose
     their punctuation.
     """
     base = F.replace(F.coalesce(text, F.lit("")), F.lit("\u0001"), F.lit(" "))
     counted = F.regexp_replace(base, r"(?<![\p{L}\p{N}])(\p{N}+)", " \u0001n$1 ")
-    counted = F.regexp_replace(counted, "(\u0001n\\p{N}+ ) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", "$1\u0001u$2")
+    counted = F.regexp_replace(counted, "(\u0001n\\p{N}+ ) ?((?i)" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", "$1\u0001u$2")
     marked = F.when(base.rlike(r"\p{N}"), counted).otherwise(base)
     # the letter is looked at before what stands ahead of it, as few letters are capitals
     marked = F.regexp_replace(marked, r"((?=\p{Lu})(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\u0001m$1")
     return F.array_remove(F.split(F.lower(marked), "[^\\p{L}\\p{N}\u0001]+"), "")
 
 
+def _is_name(value: Column) -> Column:
+    return F.startswith(value, F.lit("\u0001m"))
+
+
 def _template(value: Column) -> Column:
     """A word's hash, or 1, 2 or 3 for a number, name or unit."""
     code = F.when(F.startswith(value, F.lit("\u0001n")), 1).when(F.startswith(value, F.lit("\u0001m")), 2).otherwise(3)
@@ -40,23 +44,40 @@ def _template(value: Column) -> Column:
 
 
 def _windows(rows: DataFrame, keys: list[str], values: bool) -> DataFrame:
-    """keys and h, the hash of the template, of every window with a literal word; with ``values`` also pos and v."""
+    """keys and probe of every window with a literal word; with ``values`` also pos, v and h, the hash of the template.
+
+    A window with names has two rows: probe is the hash of its template, and of its template
+    with the names as literal words, so that a copy in other case, which marks other words as
+    names, has a probe in common. h is null if nothing but placeholders is left.
+    """
     marked = rows.select(*keys, slotted(F.col("text")).alias("_v"))
-    marked = marked.select(*keys, *(["_v"] if values else []), F.transform("_v", _template).alias("_t"))
-    t = F.col("_t")
+    t = F.transform("_v", _template).alias("_t")
+    plain = F.when(F.exists("_v", _is_name), F.transform("_v", lambda x: F.when(_is_name(x), F.xxhash64(F.substr(x, F.lit(3)))).otherwise(_template(x))))
+    marked = marked.select(*keys, *(["_v"] if values else []), t, plain.alias("_n"))
+    t, n = F.col("_t"), F.col("_n")
 
-    def window(i: Column) -> Column:
+    def window(t: Column, i: Column) -> Column:
         at = [t[i + k] for k in range(SPAN)]
         literal = ~at[0].between(1, 3)
         for x in at[1:]:
             literal = literal | ~x.between(1, 3)
         return F.when(literal, F.xxhash64(*at))  # a window of placeholders alone says nothing
 
-    each = F.when(F.size("_t") >= SPAN, F.transform(F.sequence(F.lit(0), F.size("_t") - SPAN), window))
+    def other(i: Column) -> Column:
+        named = t[i] == 2
+        for k in range(1, SPAN):
+            named = named | (t[i + k] == 2)
+        return F.when(named, window(n, i))
+
+    many = F.sequence(F.lit(0), F.size("_t") - SPAN)
     if not values:
-        return exploded(marked, keys, each, "h")
-    out = exploded(marked, [*keys, "_v"], each, "h", "pos").filter("h IS NOT NULL")
-    return out.select(*keys, "pos", "h", F.slice("_v", F.col("pos") + 1, F.lit(SPAN)).alias("v"))
+        each = F.transform(many, lambda i: window(t, i))
+        each = F.when(n.isNull(), each).otherwise(F.concat(each, F.array_compact(F.transform(many, other))))
+        return exploded(marked, keys, F.when(F.size("_t") >= SPAN, each), "probe")
+    each = F.when(F.size("_t") >= SPAN, F.transform(many, lambda i: F.struct(window(t, i).alias("h"), F.when(n.isNotNull(), other(i)).alias("other"))))
+    out = exploded(marked, [*keys, "_v"], each, "w", "pos").select(*keys, "_v", "pos", "w.h", F.array_compact(F.array("w.h", "w.other")).alias("probes"))
+    out = exploded(out, [*keys, "_v", "pos", "h"], F.col("probes"), "probe")
+    return out.select(*keys, "pos", "h", "probe", F.slice("_v", F.col("pos") + 1, F.lit(SPAN)).alias("v"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -65,23 +86,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     Windows of five template words are hash-joined. An alignment of item and document counts if
     its slots agree: one value of the item always stands for one value of the document. A leak
     is an item of whose distinct windows at least ``share`` stand in the document in such
-    alignments, as it is or with other numbers, names and units. Items of fewer than five words
+    alignments, as it is, in other case, or with other numbers, names and units. Items of fewer than five words
     have no window and never match; null texts have none either; repeated items count as one
     if they agree in id. Documents are keyed by id and text hash, so repeated rows share.
     """
-    items = cut(_windows(benchmark.select("item_id", "text").distinct(), ["item_id"], True))
+    items = cut(_windows(benchmark.select("item_id", "text").distinct(), ["item_id"], True).filter("h IS NOT NULL"))
     total = items.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    heads = cut(items.select("item_id", "h").distinct().join(total, "item_id"))
+    heads = cut(items.select("item_id", "h", "probe").distinct().join(total, "item_id"))
     keyed = docs.select(*row_key(), "text")
-    met = _windows(keyed, ["_id", "_th"], False).join(small(heads, F.lit(64)), "h")
+    met = _windows(keyed, ["_id", "_th"], False).join(small(heads, F.lit(64)), "probe")
     near = met.groupBy("_id", "_th", "item_id").agg(F.count_distinct("h").alias("n"), F.first("n_windows").alias("n_windows"))
     near = cut(near.filter(F.col("n") >= F.lit(share) * F.col("n_windows")).select("_id", "_th", "item_id", "n_windows"))
     # the few candidates once more, with the values in their slots
     some = cut(near.select("_id", "_th").distinct())
     again = _windows(keyed.join(small(some, F.lit(32)), ["_id", "_th"], "left_semi"), ["_id", "_th"], True)
-    pairs = again.join(small(near, F.lit(64)), ["_id", "_th"]).withColumnRenamed("v", "dv").withColumnRenamed("pos", "dpos")
-    pairs = pairs.join(small(items, F.lit(256)), ["item_id", "h"])
-    slots = F.filter(F.arrays_zip(F.col("v").alias("b"), F.col("dv").alias("d")), lambda x: F.startswith(x["b"], F.lit("\u0001")))
+    pairs = again.drop("h").join(small(near, F.lit(64)), ["_id", "_th"]).withColumnRenamed("v", "dv").withColumnRenamed("pos", "dpos")
+    pairs = pairs.join(small(items, F.lit(256)), ["item_id", "probe"])
+    slots = F.filter(F.arrays_zip(F.col("v").alias("b"), F.transform("dv", lambda x: F.when(_is_name(x), F.substr(x, F.lit(3))).otherwise(x)).alias("d")), lambda x: F.startswith(x["b"], F.lit("\u0001")))
     line = pairs.groupBy("_id", "_th", "item_id", "n_windows", (F.col("dpos") - F.col("pos")).alias("shift")).agg(
         F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
     )  # one alignment holds each window of the item once

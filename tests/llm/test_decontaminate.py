@@ -21,6 +21,17 @@ def test_slots_must_agree(spark):
     assert not found(spark, mixed)
 
 
+NAMED = "Last week the baker Rosa gave 12 kg of flour to her friend Hugo while the miller Otto drove 7 km to the town of Lund and met Vera there"
+
+
+def test_other_case_is_the_same_item(spark):
+    for other in (NAMED.lower(), NAMED.upper(), NAMED.title(), NAMED):
+        assert found(spark, "some words before. " + other + " some words after.", NAMED), other
+    assert found(spark, NAMED, NAMED.lower()) and found(spark, NAMED, NAMED.upper())
+    assert found(spark, NAMED.replace("Rosa", "Ida").replace("12", "80"), NAMED)
+    assert not found(spark, NAMED.lower().replace("rosa", "ida").replace("hugo", "kim").replace("otto", "leo").replace("lund", "ulm"), NAMED)
+
+
 def test_other_text_is_left_alone(spark):
     assert not found(spark, "The farmer sold apples. " * 40)
     assert not found(spark, "12 7 12 13 14 15 16", "1 2 3 4 5 6 7 8 9")
