@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semtflow.llm import decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_store, toxicity
+from semtflow.llm import bpe_stream, decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_store, toxicity
 from semtflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
     return out.select(F.col("_id").alias("doc_id"), "license", "containment", "start", "n_windows")
+
+
+@_query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
