@@ -27,7 +27,7 @@ STEP = 128
 # fixed values: the file format's word pattern, and the code points of its 256 byte letters
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD = regex.compile(_CONTRACTIONS + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_ASCII_WORD = re.compile(_CONTRACTIONS + r"|[a-z]+|[0-9]|[^\s\x1c-\x1fa-z0-9]+|[\x1c-\x1f]+(?:[^\sa-z0-9]|[\x1c-\x1f])*")
+_ASCII_WORD = re.compile(_CONTRACTIONS + r"|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
 _LETTERS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
