@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semtflow.llm import bpe_stream, decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, spelling, substring_dedup, token_store, toxicity
+from semtflow.llm import bpe_stream, decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, spelling, substring_dedup, token_store, toxicity, whitening
 from semtflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
