@@ -6,7 +6,6 @@ import codecs
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 #: Characters of a text taken at a time; characters of a run that is fed on before its end is seen.
 CHUNK, LONG = 1 << 16, 1 << 12
 #: Words a Python worker remembers.
-MEMORY = 1 << 18
+MEMORY = 1 << 19
 #: Symbols of a window beyond the lookahead.
 STEP = 128
 
@@ -28,16 +27,14 @@ STEP = 128
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD = regex.compile(_CONTRACTIONS + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ASCII_WORD = re.compile(_CONTRACTIONS + r"|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+#: What stands outside a few blocks without a free place.
+_RARE = re.compile("[^\x00-\u0377\u0400-\u052f\u3041-\u3096\u30a0-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 _LETTERS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
-@cache
-def _unassigned() -> re.Pattern:
-    """Characters that Python's Unicode tables do not know; those of the libraries may differ on them."""
-    free = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for k, c in enumerate(free) if not k or free[k - 1] != c - 1]
-    ends = [c for k, c in enumerate(free) if k + 1 == len(free) or free[k + 1] != c + 1]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+def _doubtful(s: str) -> bool:
+    """True if s holds characters that Python's Unicode tables do not know; those of the libraries may differ on them."""
+    return any(unicodedata.category(c) == "Cn" for c in set(_RARE.findall(s)))
 
 
 @cache
@@ -173,7 +170,7 @@ def normal_chunks(text: str, chunk: int = CHUNK) -> Iterator[str]:
         while to < len(text) and not _safe(text[to]):
             to += 1
         part = text[at:to]
-        if not part.isascii() and _unassigned().search(part):
+        if not part.isascii() and _doubtful(part):
             part = _library()[0].normalize_str(part)
         elif not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each letter is lowered alone
@@ -192,14 +189,14 @@ def _library():
 def _matches(s: str) -> list[str]:
     if s.isascii():
         return _ASCII_WORD.findall(s)
-    if _unassigned().search(s):
+    if _doubtful(s):
         return [w for w, _ in _library()[1].pre_tokenize_str(s)]
     return _WORD.findall(s)
 
 
 def _bounds(s: str, at: int) -> Iterator[tuple[int, int]]:
     """Starts and ends of the words of s[at:]."""
-    if not s.isascii() and _unassigned().search(s, at):
+    if not s.isascii() and _doubtful(s):
         yield from ((at + i, at + j) for _, (i, j) in _library()[1].pre_tokenize_str(s[at:]))
     else:
         yield from (m.span() for m in (_ASCII_WORD if s.isascii() else _WORD).finditer(s, at))
@@ -255,8 +252,11 @@ class Transducer:
         self.name = {i: t.encode() for i, t in m.token.items()}
 
     def word_ids(self, word: str) -> list[int]:
-        stream = WordStream(self.merges)
-        return [*stream.feed(word.encode()), *stream.finish()]
+        m, data = self.merges, word.encode()
+        if len(data) <= STEP:  # one window
+            return m.merged([*map(m.symbol.__getitem__, data[:-1]), m.last_symbol[data[-1]]])
+        stream = WordStream(m)
+        return [*stream.feed(data), *stream.finish()]
 
     def _line(self, word: str) -> tuple[bytes, int, bytes]:
         """The ids of a word in decimal, their number and their strings."""
