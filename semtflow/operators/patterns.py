@@ -17,6 +17,7 @@ from semtflow.functions import fixed_values as fv
 from semtflow.functions.text import exploded, let, table, words
 
 GAP, HIT = "\x01", "\x02"
+BLANK = r"\s+"
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ class Pattern:
     text: str
     regex: str
     slots: tuple[Slot, ...]
+    scan: str
 
 
 WIDER = {"no": "(?:no|numara)", "numara": "(?:no|numara)"}
@@ -48,21 +50,24 @@ def read_pattern(pattern_id: str, priority: int, text: str, strict: bool = False
     accept both spellings unless ``strict``.
     """
     slots: list[Slot] = []
+    items: list[str | Slot] = []
 
     def piece(m: re.Match) -> str:
         token = m.group(0)
         if token.isspace():
-            return r"\s+"
+            items.append(BLANK)
+            return BLANK
         if not token.startswith("<"):
             word = re.match(r"\w+", token)
-            if word and word.group(0) in WIDER and not strict:
-                return WIDER[word.group(0)] + re.escape(token[word.end():])
-            return re.escape(token)
+            wide = word and word.group(0) in WIDER and not strict
+            items.append(WIDER[word.group(0)] + re.escape(token[word.end():]) if wide else re.escape(token))
+            return items[-1]
         name = token[1:-1].removesuffix("?")
         kind = "number" if name.startswith("n") else "text" if name == "text" else "named"
         body = {"number": fv.NUMBER_SLOT, "text": fv.TEXT_SLOT, "named": fv.NAMED_SLOT}[kind]
         optional = token.endswith("?>")
         slots.append(Slot(name, optional, kind, len(slots) + 1, fv.SLOT_WEIGHTS.get(name, 1.0)))
+        items.append(slots[-1])
         return f"(?:{body})?" if optional else body
 
     regex = r"\b" + re.sub(r"<[^>]+>|[^\s<]+|\s+", piece, text) + r"\b"
@@ -70,7 +75,81 @@ def read_pattern(pattern_id: str, priority: int, text: str, strict: bool = False
         re.compile(regex)
     except re.error:
         return None
-    return Pattern(pattern_id, priority, text, "(?iU)" + regex, tuple(slots))
+    return Pattern(pattern_id, priority, text, "(?iU)" + regex, tuple(slots), _Scan(tuple(items)).regex())
+
+
+LETTERS = "[a-zA-ZçğıöşüÇĞIÖŞÜ]++"
+RUN = rf"{LETTERS}(?:\s++{LETTERS})*+"
+RUN_OF_TOKENS = rf"{LETTERS}(?!\S)(?:\s++{LETTERS}(?!\S))*+"
+
+
+@dataclass(frozen=True)
+class _Scan:
+    """The expression of a pattern in a form that reads a text once.
+
+    A lazy slot gives way at the first place from which the rest of the pattern goes on. Here it
+    is a possessive loop that looks for that place ahead, word by word, so nothing is tried
+    again with the same words dealt out in another way:
+
+    - A named slot before another slot that takes letters is one word: what follows can take the rest.
+    - A named slot never leaves its run of letter words, and if a match begins within a run, one
+      begins at the run's start. So runs are left as a whole.
+    - Where a text slot follows the first slot, or is the first, a match from a later place
+      implies one from the first place. So only that is tried.
+
+    Groups, matched text and leftmost match are those of ``regex``.
+    """
+
+    items: tuple[str | Slot, ...]
+
+    def regex(self) -> str:
+        return f"(?iUs)^{self._lead()}({self._body(0, True, start=True)}).*$"
+
+    def _slot(self, i: int, kinds: tuple[str, ...], optional: bool | None = None) -> bool:
+        x = self.items[i] if i < len(self.items) else None
+        return isinstance(x, Slot) and x.type in kinds and optional in (None, x.optional)
+
+    def _blank(self, i: int) -> bool:
+        return i < len(self.items) and self.items[i] == BLANK
+
+    def _lead(self) -> str:
+        """What is passed over before the match."""
+        if self._slot(0, ("text",), False):
+            return r"(?>.*?(?=\b\S))"
+        if self._slot(0, ("named",), False):
+            if self._blank(1) and self._slot(2, ("text",)) and (not self.items[2].optional or len(self.items) == 3):
+                return rf"(?>(?:(?!\b{LETTERS}\s)(?>\b{RUN}|.))*+)"
+            if len(self.items) > 3 and isinstance(self.items[1], str) and not self._blank(1) and self._blank(2) and self._slot(3, ("text",), False):
+                lit = self.items[1]
+                return rf"(?>(?:(?!\b{LETTERS}(?:(?!{lit}\s)\s++{LETTERS})*+{lit}\s+\S)(?>\b{RUN}|.))*+)"
+        if self._slot(0, ("named",)):
+            return rf"(?:(?!{self._body(0, False, start=True)})(?>\b{RUN}|.))*+"
+        return ".*?"
+
+    def _body(self, i: int, groups: bool, start: bool = False) -> str:
+        """Everything from an item on, to the word boundary at the end."""
+        if start:
+            return r"\b" + self._body(0, groups)
+        if i == len(self.items):
+            return r"\b"
+        x = self.items[i]
+        rest = self._body(i + 1, groups)
+        if isinstance(x, str):
+            return x + rest
+        ahead = self._body(i + 1, False)
+        if x.type == "number":
+            body = r"\d+(?:[a-z])?"
+        elif x.type == "named":
+            body = LETTERS if self._blank(i + 1) and self._slot(i + 2, ("named", "text")) else rf"{LETTERS}(?:(?!{ahead})\s++{LETTERS})*+"
+        elif i + 1 == len(self.items):
+            body = r"\S+(?:\s+\S+)*?"
+        elif not self._blank(i + 1):
+            body = rf"\S(?:(?!{ahead})\S)*+(?:\s++\S(?:(?!{ahead})\S)*+)*+"
+        else:
+            unit = rf"(?>{RUN_OF_TOKENS}|\S++)" if self._slot(i + 2, ("named",), False) and not self._slot(i + 4, ("named", "text")) else r"\S++"
+            body = rf"\S++(?:(?!{ahead})\s++{unit})*+"
+        group = f"({body})" if groups else f"(?:{body})"
+        return (f"(?:{group})?" if x.optional else group) + rest
 
 
 def patterns(rows=fv.PATTERNS, strict: bool = False) -> list[Pattern]:
@@ -109,9 +188,8 @@ def _needed(p: Pattern, text: Column) -> Column:
 
 def _candidate(p: Pattern, text: Column) -> Column:
     """Matched text, slot values and slots of one pattern, or null. One regex pass."""
-    body = p.regex.removeprefix("(?iU)")
     groups = GAP.join(f"${s.grp + 1}" for s in p.slots)
-    marked = F.when(_needed(p, text), F.regexp_replace(text, f"(?iUs)^.*?({body}).*$", f"{HIT}$1{GAP}{groups}"))
+    marked = F.when(_needed(p, text), F.regexp_replace(text, p.scan, f"{HIT}$1{GAP}{groups}"))
     slots = table(
         [{"name": s.name, "optional": s.optional, "type": s.type, "weight": s.weight} for s in p.slots],
         "array<struct<name:string,optional:boolean,type:string,weight:double>>",
