@@ -24,14 +24,46 @@ def hits(spark, sf_dir):
     return p.match_patterns(cleaned(spark, sf_dir))
 
 
-@query("a08_pattern_dim")
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _hit_select(x: p.Pattern) -> str:
+    """The hits of one pattern: whole match, and its groups beside names, kinds and weights."""
+    plain = x.regex.removeprefix("(?iU)")
+    got = lambda g: f"regexp_extract(text, {_sql_text('(?i)' + plain)}, {g})"
+    values = ", ".join(f"trim({got(s.grp)})" for s in x.slots)
+    listed = lambda f: "[" + ", ".join(f(s) for s in x.slots) + "]"
+    return (
+        f"SELECT addr_id, text, '{x.pattern_id}' AS pattern_id, {x.priority} AS priority, {got(0)} AS matched, [{values}] AS v, "
+        f"{listed(lambda s: _sql_text(s.name))} AS names, {listed(lambda s: _sql_text(s.type))} AS kinds, {listed(lambda s: str(s.weight) + '::DOUBLE')} AS w, "
+        f"{listed(lambda s: str(s.optional).lower())} AS opt FROM cl WHERE regexp_matches(text, {_sql_text('(?i)' + plain)})"
+    )
+
+
+HITS = f"""{d.ADDR}, cl AS (SELECT addr_id, {CLEAN_SQL} AS text FROM addr),
+   hit AS ({' UNION ALL '.join(_hit_select(x) for x in p.patterns())})"""
+USED = "used AS (SELECT pattern_id, count(*) AS n FROM hit GROUP BY pattern_id)"
+_DIM = "dim(pattern_id, priority, regex, slots, n_slots, n_slot_types) AS (VALUES " + ", ".join(
+    f"('{x.pattern_id}', {x.priority}::INT, {_sql_text(x.regex)}, "
+    + _sql_text("[" + ",".join(f'{{"name":"{s.name}","optional":{str(s.optional).lower()},"type":"{s.type}","grp":{s.grp},"weight":{s.weight}}}' for s in x.slots) + "]")
+    + f", {len(x.slots)}, {len({s.type for s in x.slots})})" for x in p.patterns()) + ")"
+# worth of a slot: full for a plain number or a name of up to three words, less for other texts, a loss where a needed one is missing
+SLOT_SCORE = """list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE
+        WHEN v[i] = '' THEN CASE WHEN opt[i] THEN 0.0 ELSE -0.3 * w[i] END
+        WHEN kinds[i] = 'number' AND regexp_full_match(v[i], '[0-9]+') THEN w[i]
+        WHEN kinds[i] = 'named' AND len(string_split(v[i], ' ')) <= 3 THEN w[i]
+        WHEN kinds[i] = 'text' THEN w[i] * 0.8 ELSE w[i] * 0.9 END)) / list_sum(w)"""
+
+
+@query("a08_pattern_dim", f"WITH {HITS}, {USED}, {_DIM} SELECT pattern_id, priority, regex, slots, coalesce(n, 0) AS n_hits FROM dim LEFT JOIN used USING (pattern_id)")
 def a08(spark, sf_dir):
     used = hits(spark, sf_dir).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_hits"))
     dim = p.pattern_dim(spark).select("pattern_id", "priority", "regex", F.to_json("slots").alias("slots"))
     return dim.join(used, "pattern_id", "left").na.fill({"n_hits": 0})
 
 
-@query("a09_pattern_dim_stats")
+@query("a09_pattern_dim_stats", f"WITH {HITS}, {USED}, {_DIM} SELECT pattern_id, priority, n_slots::BIGINT AS n_slots, n_slot_types::BIGINT AS n_slot_types, coalesce(n, 0) AS n_hits FROM dim LEFT JOIN used USING (pattern_id)")
 def a09(spark, sf_dir):
     return p.pattern_dim_stats(p.pattern_dim(spark), hits(spark, sf_dir))
 
@@ -45,7 +77,10 @@ def c01(spark, sf_dir):
     return hits(spark, sf_dir).select("addr_id", "pattern_id", "priority", "matched")
 
 
-@query("c02_extract_slots")
+_SLOTS_JSON = """'{' || array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: v[i] <> ''), lambda i: '"' || names[i] || '":"' || v[i] || '"'), ',') || '}'"""
+
+
+@query("c02_extract_slots", f"WITH {HITS} SELECT addr_id, pattern_id, {_SLOTS_JSON} AS slots FROM hit")
 def c02(spark, sf_dir):
     h = hits(spark, sf_dir)
     return h.select("addr_id", "pattern_id", F.to_json(p.slot_map(F.col("slots"), F.col("values"))).alias("slots"))
@@ -73,7 +108,7 @@ def c03(spark, sf_dir):
     return rounded(piece(spark, sf_dir).select("addr_id", p.coverage_score(F.col("matched"), F.col("text")).alias("coverage")))
 
 
-@query("c04_slot_score")
+@query("c04_slot_score", f"WITH {HITS} SELECT addr_id, pattern_id, round({SLOT_SCORE}, 6) AS slot_score FROM hit")
 def c04(spark, sf_dir):
     h = hits(spark, sf_dir)
     return rounded(h.select("addr_id", "pattern_id", p.slot_score(F.col("slots"), F.col("values")).alias("slot_score")))
@@ -166,13 +201,32 @@ def c11(spark, sf_dir):
     return p.best_match(_unique_priority(candidates(spark, sf_dir)))
 
 
-@query("c11_best_match_in_row")
+# edit distance counts bytes in SQL, so letters beyond ASCII stand as capitals, which cleaned text has none of
+_BYTES = "translate({}, 'çğıöşüâîû', 'CGIOSUAEV')"
+BEST = f"""{HITS}, sc AS (SELECT *, ({COVER} + {SLOT_SCORE} + {OVERLAP} + {KEYWORDS}
+        + greatest(0.0, 1.0 - levenshtein({_BYTES.format('matched')}, {_BYTES.format('text')})::DOUBLE / greatest(length(matched), length(text)))) / 5
+        - (length(text) - length(matched))::DOUBLE / length(text) * 0.1 AS c FROM hit),
+   cf AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN len(list_filter(string_split(matched, ' '), lambda x: x <> '')) < 2 THEN c * 0.8 ELSE c END)) AS confidence FROM sc),
+   best AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY confidence DESC, priority DESC) AS k FROM cf WHERE confidence >= 0.4)"""
+
+
+@query("c11_best_match_in_row", f"WITH {BEST} SELECT cl.addr_id, pattern_id, round(confidence, 6) AS confidence, matched FROM cl LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (addr_id)")
 def c11_row(spark, sf_dir):
     best = p.with_best_match(cleaned(spark, sf_dir))
     return rounded(best.select("addr_id", "best.pattern_id", "best.confidence", "best.matched"))
 
 
-@query("c12_slots_to_fields")
+def _field_sql(field: str) -> str:
+    """The first filled slot that feeds the field, in the order of the slot table."""
+    feeding = [n for n, f in fv.SLOT_FIELDS.items() if f == field]
+    value = "coalesce(" + ", ".join(f"nullif(v[list_position(names, {_sql_text(n)})], '')" for n in feeding) + ", NULL)"
+    return f"'\"{field}\":\"' || {value} || '\"'"
+
+
+_FIELDS_JSON = "'{' || concat_ws(',', " + ", ".join(_field_sql(f) for f in fv.FIELDS if f in fv.SLOT_FIELDS.values()) + ") || '}'"
+
+
+@query("c12_slots_to_fields", f"WITH {BEST} SELECT addr_id, {_FIELDS_JSON} AS fields FROM best WHERE k = 1")
 def c12(spark, sf_dir):
     best = p.with_best_match(cleaned(spark, sf_dir)).filter(F.col("best").isNotNull())
     return best.select("addr_id", F.to_json(p.slots_to_fields(F.col("best.slots"))).alias("fields"))
