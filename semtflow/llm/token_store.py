@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +58,15 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 class _Encoder:
     """The tokenizer, with the ids of words seen before.
 
-    The byte-level pre-tokenizer always cuts before a single blank and around a single line
-    end that stand between other characters, so such words are encoded once, many in a call,
-    and remembered. Texts with any other white space are encoded whole.
+    The byte-level pre-tokenizer always cuts before a single blank and around a single line end
+    that stand between other characters. So texts are split at blanks, the pieces of a batch are
+    numbered by Arrow, each different piece is looked up or encoded once, many in a call, and
+    Arrow puts the ids together. A piece may hold line ends between other characters; texts with
+    any other white space are encoded whole.
     """
 
+    plain = re.compile(r"\S+(?:\n\S+)*")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -72,7 +78,6 @@ class _Encoder:
         self.kind = "<u2" if self.length.size <= 1 << 16 else "<u4"
         self.after_blank: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
-        self.line_end = self._raw("\n")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -80,43 +85,60 @@ class _Encoder:
     def _raw(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _learn(self, words: set[str], known: dict[str, bytes], joint: str) -> None:
-        fresh = list(words - known.keys())
-        if len(known) + len(fresh) > MEMORY:
-            still = {w: known[w] for w in words if w in known}
-            known.clear()
-            known.update(still)
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            text = joint + joint.join(part)
-            ids = self._ids(text)
-            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(joint))
-            # a word's ids end where their letters do
-            stop = np.searchsorted(np.cumsum(self.length[ids]), np.append(starts[1:], len(text.encode()))) + 1
-            begin = np.append(0, stop[:-1]) + (joint == "\n")
-            raw, wide = ids.tobytes(), ids.itemsize
-            known.update(zip(part, [raw[i:j] for i, j in zip((begin * wide).tolist(), (stop * wide).tolist(), strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of plain pieces behind a blank, remembered."""
+        out = []
+        for k in range(0, len(words), 4096):
+            text = (" " + " ".join(words[k : k + 4096])).encode()
+            ids = self._ids(text.decode())
+            starts = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            # a piece's ids end where its letters do
+            stop = np.searchsorted(np.cumsum(self.length[ids]), np.append(starts[1:], len(text))) + 1
+            raw, ends = ids.tobytes(), (stop * ids.itemsize).tolist()
+            out += map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+        if len(self.after_blank) + len(words) > MEMORY:
+            self.after_blank.clear()
+        self.after_blank.update(zip(words, out, strict=True))
+        return out
+
+    def _leading(self, word: str) -> bytes:
+        """Ids of a plain piece at the start of a text."""
+        got = self.first.get(word)
+        if got is None:
+            if len(self.first) >= MEMORY >> 3:
+                self.first.clear()
+            got = self.first[word] = self._raw(word)
+        return got
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of whole texts as little-endian integers of ``kind``."""
-        plans, later, first = [], set(), set()
-        for t in texts:
-            lines = t.split("\n")
-            words = [x.split() for x in lines]
-            if all(w and " ".join(w) == x for w, x in zip(words, lines, strict=True)):
-                for w in words:
-                    first.add(w[0])
-                    later.update(w[1:])
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        pieces = pc.split_pattern(texts, " ")
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        where = coded.indices.to_numpy()
+        values = list(map(self.after_blank.get, words))
+        odd = np.zeros(len(words), bool)
+        if None in values:
+            fresh = [k for k, v in enumerate(values) if v is None]
+            plain = self.plain.fullmatch
+            learnt = [k for k in fresh if plain(words[k])]
+            odd[fresh] = True
+            odd[learnt] = False
+            for k, v in zip(learnt, self._learn([words[k] for k in learnt]), strict=True):
+                values[k] = v
+        whole = np.logical_or.reduceat(odd[where], bounds[:-1]) if len(texts) and where.size else np.zeros(len(texts), bool)
+        joined = pa.array(values, pa.large_binary()).fill_null(b"").take(coded.indices)
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        data = memoryview(joined.buffers()[2]) if joined.buffers()[2] is not None else memoryview(b"")
+        out = []
+        for k, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if whole[k]:
+                out.append(self._raw(texts[k].as_py()))
             else:
-                words = None
-            plans.append(words)
-        self._learn(first, self.first, "\n")
-        self._learn(later, self.after_blank, " ")
-        get, head = self.after_blank.__getitem__, self.first
-        return [
-            self._raw(t) if words is None else self.line_end.join([head[w[0]] + b"".join(map(get, w[1:])) for w in words])
-            for t, words in zip(texts, plans, strict=True)
-        ]
+                out.append(self._leading(words[where[i]]) + data[at[i + 1] : at[j]])
+        return out
 
 
 @cache
@@ -131,7 +153,7 @@ def _tokenized(path: str, end: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 b = batch.slice(k, 1024)
-                raw = [x + last.tobytes() for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
+                raw = [x + last.tobytes() for x in encoder.encode(b.column("text").fill_null(""))]
                 n = pa.array([len(x) // last.itemsize for x in raw], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), n, pa.array(raw, pa.binary())], ["doc_id", "th", "n", "ids"])
 
