@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semtflow.functions.text import table as constant
 from semtflow.llm.common import cut, exploded, small, words
 
 #: Buckets of hashed n-grams; pseudo-counts of each; least mean ratio of a kept document.
@@ -32,13 +33,12 @@ def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
         lambda j: F.coalesce((j > 0) & (F.get(s, j - 1)["h"] == s[j]["h"]), F.lit(False)) | F.coalesce((j < n - 1) & (F.get(s, j + 1)["h"] == s[j]["h"]), F.lit(False)),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(equal, lambda j: F.sequence(s[j]["i"], s[j]["i"] + 4)))))
-    length = F.length("text")
     return rows.select(
         *keep,
         "text",
         F.size("_ws").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (length - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.aggregate("_ws", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_again"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
@@ -48,19 +48,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def _grams(text: Column) -> Column:
-    """Runs of letters and digits, and runs of signs, as tokens: attached signs are words of their own."""
-    apart = F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 ")
-    return F.array_remove(F.split(apart, r"\s+"), "")
+def _hashed(text: Column) -> Column:
+    """Hashes of runs of letters and digits, and of runs of signs: attached signs are words of their own."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0)), lambda t: F.xxhash64(t))
 
 
-def grams(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The named columns with _b: the hashes of all tokens and all pairs of neighbours."""
-    rows = docs.select(*keep, F.transform(_grams(F.coalesce(F.col("text"), F.lit(""))), lambda t: F.xxhash64(t)).alias("_ts"))
-    ts = F.col("_ts")
-    # a token's own hash, and that of the pair it ends; the first token has no pair
-    both = F.transform("_ts", lambda t, i: F.when(i > 0, F.xxhash64(F.get(ts, i - 1), t)))
-    return rows.select(*keep, F.concat("_ts", F.filter(both, lambda h: h.isNotNull())).alias("_b"))
+def _with_pairs(ts: Column) -> Column:
+    """A token's own hash, and that of the pair it ends; the first token has no pair."""
+    both = F.transform(ts, lambda t, i: F.when(i > 0, F.xxhash64(F.get(ts, i - 1), t)))
+    return F.concat(ts, F.filter(both, lambda h: h.isNotNull()))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
@@ -71,7 +67,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, pri
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_d")).distinct()
     marked = docs.select("doc_id", "text").join(small(good, F.lit(16)), F.col("doc_id") == F.col("_d"), "left")
-    each = exploded(grams(marked.withColumn("_t", F.col("_d").isNotNull().cast("long")), ["_t"]), ["_t"], F.col("_b"), "gram")
+    rows = marked.select(F.col("_d").isNotNull().cast("long").alias("_t"), _hashed(F.coalesce("text", F.lit(""))).alias("_ts"))
+    each = exploded(rows, ["_t"], _with_pairs(F.col("_ts")), "gram")
     each = each.select("_t", F.pmod("gram", F.lit(n_buckets)).cast("int").alias("bucket"))
     counts = cut(each.groupBy("bucket").agg(F.sum("_t").alias("t"), F.count(F.lit(1)).alias("n")))  # at most a row per bucket
     total = counts.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
@@ -89,15 +86,24 @@ def rate_documents(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS,
     trusted documents every ratio is 0. Rows are rated alone, so repeated and null ids do no
     harm; other columns of ``docs`` are not read.
 
-    The ratios are a table of at most ``n_buckets`` rows, whatever the corpus, and broadcast; no
-    text and no n-gram is shuffled, only one sum per row.
+    The ratios are a table of at most ``n_buckets`` numbers, whatever the corpus, and become a
+    constant; every row sums its own. No text and no n-gram is shuffled for it.
     """
-    ratios = log_ratios(docs, labels, n_buckets)
+    ratio_of = [0] * n_buckets
+    for r in log_ratios(docs, labels, n_buckets).collect():
+        ratio_of[r.bucket] = r.ratio
+    ratios = constant(ratio_of, "array<bigint>")
+    ratio = lambda h: F.get(ratios, F.pmod(h, F.lit(n_buckets)).cast("int"))
+
+    def step(acc: Column, h: Column) -> Column:
+        pair = F.when(acc["last"].isNotNull(), ratio(F.xxhash64(acc["last"], h))).otherwise(F.lit(0).cast("long"))
+        return F.struct(h.alias("last"), (acc["sum"] + ratio(h) + pair).alias("sum"))
+
     counted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = rule_counts(docs, ["doc_id"]).withColumn("_r", F.monotonically_increasing_id())
-    each = grams(rows, ["_r", *counted]).select("_r", *counted, F.explode_outer("_b").alias("gram"))
-    each = each.withColumn("bucket", F.pmod("gram", F.lit(n_buckets)).cast("int")).join(F.broadcast(ratios), "bucket", "left")
-    rated = each.groupBy("_r").agg(*[F.first(c).alias(c) for c in counted], F.sum("ratio").alias("sum"), F.count("bucket").alias("n"))
-    mean = F.when(F.col("n") > 0, F.col("sum") / F.col("n") / MICRO).otherwise(F.lit(0.0))
-    rated = rated.select(*counted, base_failed().alias("base_failed"), mean.alias("mean_ratio"))
+    rows = rule_counts(docs, ["doc_id"]).select(*counted, _hashed(F.col("text")).alias("_ts"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("sum"))
+    total = F.aggregate("_ts", start, step, lambda acc: acc["sum"])
+    rated = rows.select(*counted, base_failed().alias("base_failed"), F.struct(total.alias("sum"), (2 * F.size("_ts") - 1).alias("n")).alias("_s"))
+    mean = F.when(F.col("_s.n") > 0, F.col("_s.sum") / F.col("_s.n") / MICRO).otherwise(F.lit(0.0))
+    rated = rated.select(*counted, "base_failed", mean.alias("mean_ratio"))
     return rated.withColumn("kept", ~F.col("base_failed") & (F.col("mean_ratio") >= F.lit(least)))
