@@ -9,20 +9,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semtflow.llm.common import cut, exploded, small
+from semtflow.llm.common import cut, exploded, small, stored
 from semtflow.llm.wordhash import flat, mix, pieces, span_hash, word_bounds, word_hashes
 
-#: Orders, in bytes, whose counts both classes share; the order above them is the whole word so far.
-SHARED, TOP = 4, 5
-#: Words of a passage.
-PASSAGE = 5
-FEATURES = ("passage", "word", "whole")
+#: Words of a passage; how many of the most telling words of a text are averaged; what a toxic example weighs.
+PASSAGE, TELLING, WEIGHT = 5, (3, 8), 2.0
+FEATURES = ("passage", "whole", "beyond", "share2", "share3", "top3", "top8", "size")
 _U = np.uint64
 _BASE = 0x27D4EB2F165667C5
+_COUNTS = ("toxic0", "other0", "toxic2", "other2", "kinds0", "kinds2", "kinds")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -36,98 +35,99 @@ def plain(text: Column) -> Column:
 
 
 def _spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Every byte of every word and its end mark: the last SHARED bytes as a number, hashes of the
-    word up to and before the byte, the word's index, and the bytes per word."""
+    """Every byte of every word and its end mark: hashes of the word up to and before the byte, and the word's index."""
     size = end - start
-    room = size + SHARED + 1
+    room = size + 2
     at = np.cumsum(room) - room
     buf = np.full(int(room.sum()), 2, _U)
-    inner = np.repeat(at + SHARED - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    buf[inner] = data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    buf[np.repeat(at + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())] = data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
     buf[at + room - 1] = 3
-    key = np.zeros(buf.size, _U)
-    for k in range(SHARED):
-        key[k:] |= buf[: buf.size - k] << _U(8 * k)
     grams = size + 1
-    pos = np.repeat(at + SHARED - (np.cumsum(grams) - grams), grams) + np.arange(grams.sum())
+    pos = np.repeat(at + 1 - (np.cumsum(grams) - grams), grams) + np.arange(grams.sum())
     word = np.repeat(np.arange(size.size), grams)
-    begin = at[word] + SHARED - 1  # the last of the start marks
-    return key[pos], span_hash(buf, begin, pos + 1, _BASE), span_hash(buf, begin, pos, _BASE), word, grams
+    return span_hash(buf, at[word], pos + 1, _BASE), span_hash(buf, at[word], pos, _BASE), word
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words in order: how often each beginning goes on with each byte.
+
+    All words of a beginning stand side by side, so within a batch only what the first or the
+    last word begins with may go on elsewhere; of the rest, what one class alone has is of no
+    use (see ``class_ratios``) and stays here.
+    """
     for b in batches:
+        if not b.num_rows:
+            continue
         data, off = flat(b.column("word"))
-        key, upto, before, word, _ = _spelled(data, off[:-1], off[1:])
+        upto, before, word = _spelled(data, off[:-1], off[1:])
+        counts = np.stack([b.column(c).to_numpy() for c in _COUNTS[:4]], 1).astype(float)
+        seen = np.stack([counts[:, :2].sum(1) > 0, counts[:, 2:].sum(1) > 0, np.ones(len(counts), bool)], 1)
+        each = np.concatenate([counts, seen], 1)[word]
         _, at, of = np.unique(upto, return_index=True, return_inverse=True)
-        sums = [np.bincount(of, b.column(c).to_numpy()[word].astype(float), at.size).astype(np.int64) for c in ("toxic", "other")]
-        cols = [pa.array(x[at].view(np.int64)) for x in (upto, before, key)]
-        yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, sums)], ["key", "context", "gram", "toxic", "other"])
+        sums = np.stack([np.bincount(of, each[:, k], at.size) for k in range(each.shape[1])], 1)
+        _, group = np.unique(before[at], return_inverse=True)
+        both = [np.bincount(group, sums[:, k] + sums[:, k + 2])[group] > 0 for k in (0, 1)]
+        edge = np.isin(before[at], before[(word == 0) | (word == b.num_rows - 1)])
+        keep = (both[0] & both[1]) | edge
+        cols = [pa.array(x[at][keep].view(np.int64)) for x in (upto, before)] + [pa.array(sums[keep, k].astype(np.int64)) for k in range(sums.shape[1])]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "context", *_COUNTS])
 
 
 def prefix_counts(labelled: DataFrame) -> DataFrame:
-    """key, context, gram, toxic, other: how often words of either class begin in a certain way.
+    """key, context and counts: in how many documents of either class and fold words begin in a certain way.
 
-    key and context are hashes of the beginning with and without its last byte, gram its last
-    bytes. ``labelled`` has text and toxic (0 or 1). Words are counted first, then their
-    beginnings, so that what travels is distinct words and beginnings.
+    key and context are hashes of the beginning with and without its last byte. ``labelled`` has
+    text, toxic (0 or 1) and fold (0 or 2). A word counts once for each document that holds it,
+    so that one that repeats a word does not outweigh others; ``kinds`` count the different words
+    of a beginning. Words are counted first and put in order, so that what travels is distinct
+    words, and beginnings that both classes have.
     """
-    text = plain(F.col("text"))
-    each = exploded(labelled, ["toxic"], F.split(text, " "), "word").filter("word <> ''")
-    tally = each.groupBy("word").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("other"))
-    rows = tally.select(F.col("word").cast("binary").alias("word"), "toxic", "other")
-    rows = rows.mapInArrow(_counted, "key long, context long, gram long, toxic long, other long")
-    return rows.groupBy("key", "context", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-
-
-def kneser_ney(top: DataFrame) -> DataFrame:
-    """Rows of the two interpolated models: what ('g' gram or 'c' context), k, key, toxic, other, n.
-
-    A gram's row holds max(count - D, 0) / total of its context, a context's row the weight
-    D * types / total that it leaves to the next lower order, per class. The top order counts
-    beginnings of words per class, where the context stands in toxic words; elsewhere both
-    classes have the shared counts alone. Those are the orders 4 to 1: how many different
-    beginnings, of either class, end in the gram (continuation counts).
+    text = F.array_distinct(F.split(plain(F.col("text")), " "))
+    each = exploded(labelled, ["toxic", "fold"], text, "word").filter("word <> ''")
+    counts = [F.sum(((F.col("toxic") == c) & (F.col("fold") == f)).cast("long")).alias(n) for n, c, f in (("toxic0", 1, 0), ("other0", 0, 0), ("toxic2", 1, 2), ("other2", 0, 2))]
+    words = stored(each.groupBy("word").agg(*counts), "toxicity-words")
+    ordered = words.select(F.col("word").cast("binary").alias("word"), *_COUNTS[:4]).repartitionByRange("word").sortWithinPartitions("word")
+    rows = ordered.mapInArrow(_counted, "key long, context long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return stored(rows.groupBy("key", "context").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "toxicity-beginnings")
+
+
+def class_ratios(counts: DataFrame, folds: tuple[int, ...] = (0, 2)) -> DataFrame:
+    """h, ratio: log P(byte | beginning, toxic) - log P(byte | beginning, ordinary), of the Kneser-Ney models of some folds.
+
+    A class model discounts its counts by D = n1 / (n1 + 2 n2) and gives what that frees, D *
+    types / total, to shared counts: the different words, of either class, that go on with the
+    byte. A byte that no word has after a beginning leaves the two freed weights alone; that is
+    the row of the beginning itself. Where a beginning occurs in one class only, its own counts
+    are all there is to share: both models are the shared one, the ratio is 0, and there is no row.
     """
-    level = top = cut(top)
-    levels = [top.select("key", "context", "toxic", "other", F.lit(TOP).alias("k"))]
-    level = level.select(F.col("gram").alias("key"))
-    for k in range(SHARED, 0, -1):
-        level = cut(level.select(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("toxic")))
-        levels.append(level.select("key", F.shiftright("key", 8).alias("context"), "toxic", F.col("toxic").alias("other"), F.lit(k).alias("k")))
-    rows = levels[0]
-    for x in levels[1:]:
-        rows = rows.unionByName(x)
-    ones = [F.sum((F.col(c) == i).cast("long")).alias(f"{c}{i}") for c in ("toxic", "other") for i in (1, 2)]
-    n = {r.k: r for r in rows.groupBy("k").agg(*ones).collect()}  # one row per order
-
-    def discount(c: str) -> Column:
-        d = F.lit(0.5)
-        for k, r in n.items():
-            d = F.when(F.col("k") == k, F.lit(r[f"{c}1"] / (r[f"{c}1"] + 2 * r[f"{c}2"]) if r[f"{c}1"] else 0.5)).otherwise(d)
-        return d
-
-    same = Window.partitionBy("k", "context")  # at most 256 rows
-    for c in ("toxic", "other"):
-        rows = rows.withColumn(f"{c}_all", F.sum(c).over(same))
-    rows = rows.filter("toxic_all > 0")
-    both = {c: F.coalesce(F.greatest(F.col(c) - discount(c), F.lit(0.0)) / F.nullif(f"{c}_all", F.lit(0)), F.lit(0.0)) for c in ("toxic", "other")}
-    count = F.col("toxic") + F.col("other")
-    grams = rows.select(F.lit("g").alias("what"), "k", "key", *[v.alias(c) for c, v in both.items()], count.alias("n"))
-    left = {c: F.coalesce(F.first(discount(c)) * F.sum((F.col(c) > 0).cast("long")) / F.nullif(F.sum(c), F.lit(0)), F.lit(1.0)) for c in ("toxic", "other")}
-    contexts = rows.groupBy("k", F.col("context").alias("key")).agg(*[v.alias(c) for c, v in left.items()], F.sum(count).alias("n"))
-    return grams.unionByName(contexts.select(F.lit("c").alias("what"), "k", "key", "toxic", "other", "n"))
-
-
-def _place(key: np.ndarray, k: np.ndarray | int, context: np.ndarray | bool) -> np.ndarray:
-    return mix(mix(key) ^ (np.asarray(k, _U) << _U(1)) ^ np.asarray(context, _U))
+    kinds = "kinds" if len(folds) == 2 else f"kinds{folds[0]}"
+    total = lambda c: sum((F.col(f"{c}{f}") for f in folds[1:]), F.col(f"{c}{folds[0]}"))
+    rows = counts.select("key", "context", total("toxic").alias("toxic"), total("other").alias("other"), F.col(kinds).alias("kinds")).filter("kinds > 0")
+    tested = [F.sum((F.col(c) == i).cast("long")).alias(f"{c}{i}") for c in ("toxic", "other") for i in (1, 2)]
+    n = rows.agg(*tested).first()
+    discount = {c: F.lit(n[f"{c}1"] / (n[f"{c}1"] + 2 * n[f"{c}2"]) if n[f"{c}1"] else 0.5) for c in ("toxic", "other")}
+    whole = rows.groupBy(F.col("context").alias("h")).agg(
+        *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "other", "kinds")], *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_types") for c in ("toxic", "other")])
+    whole = whole.filter("toxic_all > 0 AND other_all > 0")  # the ratio is 0 elsewhere
+    freed = {c: discount[c] * F.col(f"{c}_types") / F.col(f"{c}_all") for c in ("toxic", "other")}
+
+    def p(c: str) -> Column:
+        return F.greatest(F.col(c) - discount[c], F.lit(0.0)) / F.col(f"{c}_all") + freed[c] * F.col("kinds") / F.col("kinds_all")
+
+    grams = rows.join(whole, F.col("context") == F.col("h")).select(F.col("key").alias("h"), F.log(p("toxic") / p("other")).alias("ratio"))
+    contexts = whole.select(F.col("h").bitwiseXOR(F.lit(_CONTEXT)).alias("h"), F.log(freed["toxic"] / freed["other"]).alias("ratio"))
+    return grams.unionByName(contexts)
+
+
+#: Tells the row of a beginning from that of the byte it ends with.
+_CONTEXT = 0x5851F42D4C957F2D
 
 
 @dataclass
 class Model:
-    """Both models in one hash table of parts; what finds its place taken goes to the next part.
+    """A hash table of parts; what finds its place taken goes to the next part.
 
-    A place holds a 32-bit mark of its key and two values. Parts are added until every row has a
+    A place holds a 32-bit mark of its key and a value. Parts are added until every row has a
     place, each with one to two places a row that is left.
     """
 
@@ -137,15 +137,14 @@ class Model:
 
     def _at(self, h: np.ndarray, part: int) -> np.ndarray:
         """Every part scatters the hash anew."""
-        h = mix(h + _U(part)) if part else h
-        return (h >> _U(64 - self.bits[part])).astype(np.int64)
+        return (mix(h + _U(part)) >> _U(64 - self.bits[part])).astype(np.int64)
 
     def put(self, h: np.ndarray, value: np.ndarray) -> None:
         """Fill the table."""
         while h.size or not self.bits:
             self.bits.append(max(4, h.size.bit_length()))
             size, part = 1 << self.bits[-1], len(self.bits) - 1
-            mark, values = np.zeros(size, np.uint32), np.zeros((size, 2), np.float32)
+            mark, values = np.zeros(size, np.uint32), np.zeros(size, np.float32)
             at, first = np.unique(self._at(h, part), return_index=True)
             mark[at], values[at] = h[first].astype(np.uint32), value[first]
             self.mark.append(mark)
@@ -154,11 +153,9 @@ class Model:
             rest[first] = False
             h, value = h[rest], value[rest]
 
-    def find(self, key: np.ndarray, k: int, context: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and whether they are there; a missing gram has 0, a missing context leaves all."""
-        h = _place(key, k, context)
-        out = np.full((key.size, 2), 1 if context else 0, np.float32)
-        left = np.arange(key.size)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether they are there."""
+        out, left = np.zeros(h.size, np.float32), np.arange(h.size)
         for part in range(len(self.bits)):
             if not left.size:
                 break
@@ -166,111 +163,110 @@ class Model:
             hit = self.mark[part][at] == h[left].astype(np.uint32)
             out[left[hit]] = self.value[part][at[hit]]
             left = left[~hit]
-        found = np.ones(key.size, bool)
+        found = np.ones(h.size, bool)
         found[left] = False
         return out, found
 
-    def ratios(self, gram: np.ndarray, upto: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(byte | word so far, toxic) - log P(byte | word so far, other)."""
-        out = np.zeros(gram.size, np.float32)
-        weight, known = self.find(before, TOP, True)
+    def ratios(self, upto: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(byte | word so far, toxic) - log P(byte | word so far, ordinary)."""
+        out, known = self.find(before ^ _U(_CONTEXT))
         at = np.flatnonzero(known)
-        p = np.full((at.size, 2), 1 / 257, np.float32)
-        for k in range(1, SHARED + 1):
-            g = gram[at] & _U((1 << 8 * k) - 1)
-            p = self.find(g, k, False)[0] + self.find(g >> _U(8), k, True)[0] * p
-        p = np.log(np.maximum(self.find(upto[at], TOP, False)[0] + weight[at] * p, 1e-12))
-        out[at] = p[:, 0] - p[:, 1]
+        value, found = self.find(upto[at])
+        out[at[found]] = value[found]
         return out
 
 
 def build_model(rows: DataFrame) -> Model:
-    """The lookup table of a model, with all its rows: 12 to 24 bytes a row in the first part, and about as much in the others.
+    """The lookup table of a model, with all its rows: 8 to 16 bytes a row in the first part, and about as much in the others.
 
-    A row is a different beginning of the labelled words or its context, so the table grows with
-    their vocabulary. No row is left out.
+    A row is a different beginning that labelled words of both classes have, so the table grows
+    with their vocabulary. No row is left out.
     """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = _place(b.column("key").to_numpy().view(_U), b.column("k").to_numpy(), np.array(b.column("what").to_pylist()) == "c")
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[b.column(c).cast(pa.float32()) for c in ("toxic", "other")]], ["h", "toxic", "other"])
-
-    got = rows.select("what", "k", "key", "toxic", "other").mapInArrow(hashed, "h long, toxic float, other float").toArrow()
+    got = rows.select("h", F.col("ratio").cast("float").alias("ratio")).toArrow()
     model = Model()
-    model.put(got["h"].to_numpy().view(_U), np.stack([got["toxic"].to_numpy(), got["other"].to_numpy()], 1))
+    model.put(got["h"].to_numpy().view(_U), got["ratio"].to_numpy())
     return model
 
 
-def _measured(shared, keep: str):
-    def features(data: np.ndarray, off: np.ndarray, model: Model) -> np.ndarray:
-        """Per text: the highest mean ratio per byte of any passage and of any word, and that of the whole."""
-        start, end, first = word_bounds(data, off)
-        out = np.zeros((off.size - 1, 3))
-        if not start.size:
-            return out
-        _, at, of = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-        gram, upto, before, word, _ = _spelled(data, start[at], end[at])
-        llr = np.bincount(word, model.ratios(gram, upto, before), at.size)[of]
-        size = (end - start + 1).astype(float)
-        n = np.diff(first)
-        has = np.flatnonzero(n)
-        head = first[:-1][has]
-        out[has, 1] = np.maximum.reduceat(llr / np.maximum(size, 8), head)
-        sums, sizes = (np.r_[0.0, np.cumsum(x)] for x in (llr, size))
-        stop = np.repeat(first[1:], n)
-        to = np.minimum(np.arange(llr.size) + PASSAGE, stop)
-        here = np.arange(llr.size)
-        out[has, 0] = np.maximum.reduceat((sums[to] - sums[here]) / np.maximum(sizes[to] - sizes[here], 40), head)
-        out[has, 2] = (sums[first[1:]] - sums[first[:-1]])[has] / (sizes[first[1:]] - sizes[first[:-1]])[has]
+def _features(data: np.ndarray, off: np.ndarray, model: Model) -> np.ndarray:
+    """Of every text: the highest mean ratio of a passage, that of the whole, the mean beyond 1, the shares of
+    words over 2 and 3, the means of its most telling different words, and the log of its words."""
+    start, end, first = word_bounds(data, off)
+    out = np.zeros((off.size - 1, len(FEATURES)))
+    if not start.size:
         return out
+    _, at, of = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+    upto, before, word = _spelled(data, start[at], end[at])
+    one = np.bincount(word, model.ratios(upto, before), at.size)
+    ratio, n = one[of], np.diff(first)
+    has = np.flatnonzero(n)
+    head = first[:-1][has]
+    upto_sum = np.r_[0.0, np.cumsum(ratio)]
+    here = np.arange(ratio.size)
+    to = np.minimum(here + PASSAGE, np.repeat(first[1:], n))
+    out[has, 0] = np.maximum.reduceat((upto_sum[to] - upto_sum[here]) / PASSAGE, head)
+    for k, x in enumerate((ratio, np.maximum(ratio - 1, 0), ratio > 2, ratio > 3), 1):
+        out[has, k] = np.add.reduceat(x.astype(float), head) / n[has]
+    pairs = np.unique(np.repeat(np.arange(n.size), n) * at.size + of)  # a text's different words
+    text, r = pairs // at.size, one[pairs % at.size]
+    order = np.lexsort((-r, text))
+    text, r = text[order], r[order]
+    rank = np.arange(r.size) - np.searchsorted(text, text)
+    for k, most in enumerate(TELLING, 5):
+        mine = rank < most
+        out[:, k] = np.bincount(text[mine], r[mine], n.size) / np.maximum(np.bincount(text[mine], minlength=n.size), 1)
+    out[has, 7] = np.log(n[has])
+    return out
+
 
+def _measured(shared, keep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             data, off = flat(b.column("_plain"))
-            got = np.concatenate([features(data[off[i] : off[j]], off[i : j + 1] - off[i], model) for i, j in pieces(off)] or [np.zeros((0, 3))])
-            yield pa.RecordBatch.from_arrays([b.column(keep), *[pa.array(got[:, k]) for k in range(3)]], [keep, *FEATURES])
+            got = np.concatenate([_features(data[off[i] : off[j]], off[i : j + 1] - off[i], model) for i, j in pieces(off)] or [np.zeros((0, len(FEATURES)))])
+            yield pa.RecordBatch.from_arrays([b.column(keep), *[pa.array(got[:, k]) for k in range(len(FEATURES))]], [keep, *FEATURES])
 
     return run
 
 
-def measure(docs: DataFrame, model: Model, columns: Sequence[str]) -> DataFrame:
-    """The named columns in ``row``, with the three features."""
+def measure(docs: DataFrame, model: Model, columns: Sequence[str]):
+    """The named columns in ``row`` with the features, and the broadcast they read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), plain(F.col("text")).cast("binary").alias("_plain"))
     kind = T.StructType([rows.schema["row"], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
-    return rows.mapInArrow(_measured(shared, "row"), kind)
+    return rows.mapInArrow(_measured(shared, "row"), kind), shared
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``row`` (the named columns of ``docs``), held_out, score (0 to 1) and predicted of every row.
 
     Labels of documents whose fold is 0 or 2 train the two models; fold 1 is held out. The
-    logistic curve over the three length-normalised ratios is fitted on the same documents, each
+    logistic curve over the length-normalised ratios is fitted on the same documents, each
     fold measured with a model of the other. A label table may repeat
     ids (any 1 wins) and hold nulls (ignored). Null, blank and empty texts have ratios of 0 and
-    the score of that. Without labels of both classes in both folds every score is 0. All
-    labelled words are counted, all words of every text are scored; no input but the text
-    enters a score.
+    the score of that; very long texts are scored whole. Without labels of both classes in both
+    folds every score is 0. All labelled words are counted, all words of every text are scored;
+    no input but the text enters a score. Repeated rows are scored alike, ties do not arise.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = cut(marks.filter(fold_of(F.col("doc_id")) != 1).select(F.col("doc_id").alias("_d"), "toxic"))
     known = docs.select("doc_id", "text").join(small(marks, F.lit(32)), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "toxic")
     known = known.withColumn("fold", fold_of(F.col("doc_id")))  # texts are not stored
-    part = {f: known.filter(F.col("fold") == f) for f in (0, 2)}
-    counts = {f: cut(prefix_counts(part[f])) for f in part}
+    counts = prefix_counts(known)
     label = F.col("row.toxic").cast("double").alias("label")
-    # one after the other, so that the driver holds one model
-    one, two = (cut(measure(part[f], build_model(kneser_ney(counts[2 - f])), ["toxic"]).select(label, *FEATURES)) for f in part)
-    tuned = one.unionByName(two)
-    # counts of both folds add up
-    total = counts[0].unionByName(counts[2]).groupBy("key", "context", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    rows = measure(docs, build_model(kneser_ney(total)), columns)
-    classes = known.groupBy("fold").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).collect()
+    tuned = None
+    for f in (0, 2):  # one after the other, so that driver and workers hold one model
+        rows, shared = measure(known.filter(F.col("fold") == f), build_model(class_ratios(counts, (2 - f,))), ["toxic", "fold"])
+        rows = cut(rows.select(label, "row.fold", *FEATURES))
+        shared.destroy()
+        tuned = rows if tuned is None else tuned.unionByName(rows)
+    classes = tuned.groupBy("fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).collect()
+    rows, _ = measure(docs, build_model(class_ratios(counts)), columns)
     score = F.lit(0.0)
     if len(classes) == 2 and all(r.lo == 0 and r.hi == 1 for r in classes):
-        fit = LogisticRegression(maxIter=50, regParam=1e-4).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(tuned))
+        weighed = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(tuned).withColumn("weight", F.when(F.col("label") == 1, WEIGHT).otherwise(1.0))
+        fit = LogisticRegression(maxIter=100, regParam=1e-4, weightCol="weight").fit(weighed)
         z = F.lit(float(fit.intercept))
         for f, w in zip(FEATURES, fit.coefficients.toArray(), strict=True):
             z = z + F.col(f) * F.lit(float(w))

@@ -6,65 +6,82 @@ import numpy as np
 import pytest
 
 from semtflow.llm.common import table
-from semtflow.llm.toxicity import Model, _place, _spelled, build_model, drop_toxic, kneser_ney, prefix_counts, score_documents
+from semtflow.llm.toxicity import Model, _spelled, build_model, class_ratios, drop_toxic, prefix_counts, score_documents
+from semtflow.llm.wordhash import mix
 
 TEXTS = [("you are an idiot clown", 1), ("idiots everywhere", 1), ("the river runs", 0), ("the rivers ran to an island", 0), ("", 0), (None, 1), ("the clown car", 0)]
 
 
-def brute():
-    """The interpolated probability of both classes, straight from the definition."""
-    top = {0: Counter(), 1: Counter()}
-    for t, c in TEXTS:
-        for w in (t or "").lower().split():
+def brute(folds):
+    """The ratio of every beginning straight from the definition: words once for each document."""
+    n, kinds = {0: Counter(), 1: Counter()}, Counter()
+    seen = set()
+    for k, (t, c) in enumerate(TEXTS):
+        if (0, 2)[k % 2] not in folds:
+            continue
+        for w in set((t or "").lower().split()):
             raw = w.encode() + b"\x03"
-            top[c].update(raw[: k + 1] for k in range(len(raw)))
-    shared = {4: Counter((b"\x02\x02\x02\x02" + p)[-4:] for p in set(top[0]) | set(top[1]))}
-    for k in (3, 2, 1):
-        shared[k] = Counter(g[1:] for g in shared[k + 1])
-
-    def estimate(n, gram, lower):
-        row = {g: v for g, v in n.items() if g[:-1] == gram[:-1] and len(g) == len(gram)}
-        ones, twos = (sum(v == x for v in n.values()) for x in (1, 2))
-        d = ones / (ones + 2 * twos) if ones else 0.5
-        total = sum(row.values())
-        return (max(n[gram] - d, 0) + d * len(row) * lower) / total if total else lower
-
-    def ratio(prefix):
-        if not any(g[:-1] == prefix[:-1] for g in top[1]):
-            return 0.0
-        p = 1 / 257
-        for k in (1, 2, 3, 4):
-            p = estimate(shared[k], (b"\x02\x02\x02\x02" + prefix)[-k:], p)
-        return math.log(estimate(top[1], prefix, p)) - math.log(estimate(top[0], prefix, p))
-
-    return ratio
-
-
-def test_ratios_by_definition(spark):
-    model = build_model(kneser_ney(prefix_counts(spark.createDataFrame(TEXTS, "text string, toxic int"))))
-    want = brute()
-    for word in ("idiot", "idiots", "river", "clown", "clowns", "the", "unseen", "çödé"):
+            n[c].update(raw[: k + 1] for k in range(len(raw)))
+            seen.add(raw)
+    for raw in seen:
+        kinds.update(raw[: k + 1] for k in range(len(raw)))
+    spread = {g for g in kinds if any(x[:-1] == g[:-1] for x in n[0]) and any(x[:-1] == g[:-1] for x in n[1])}
+    return n, kinds, spread
+
+
+def ratio_of(n, kinds, prefix, discount):
+    ctx = [g for g in kinds if g[:-1] == prefix[:-1]]
+    total = [sum(n[c][g] for g in ctx) for c in (0, 1)]
+    if not all(total):
+        return 0.0
+    freed = [discount[c] * sum(n[c][g] > 0 for g in ctx) / total[c] for c in (0, 1)]
+    if prefix not in kinds:
+        return math.log(freed[1] / freed[0])
+    shared = kinds[prefix] / sum(kinds[g] for g in ctx)
+    p = [max(n[c][prefix] - discount[c], 0) / total[c] + freed[c] * shared for c in (0, 1)]
+    return math.log(p[1] / p[0])
+
+
+@pytest.mark.parametrize("folds", [(0, 2), (0,), (2,)])
+def test_ratios_by_definition(spark, folds):
+    rows = [(t, c, (0, 2)[k % 2]) for k, (t, c) in enumerate(TEXTS)]
+    counts = prefix_counts(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    model = build_model(class_ratios(counts, folds))
+    n, kinds, _ = brute(folds)
+    everything = brute((0, 2))[2]  # rows that one class alone has may have stayed behind, in either fold
+    used = {c: [v for g, v in n[c].items() if g in everything or counts_edge(g)] for c in (0, 1)}
+    got = class_ratios(counts, folds)
+    discount = {c: (lambda a, b: a / (a + 2 * b) if a else 0.5)(sum(v == 1 for v in used[c]), sum(v == 2 for v in used[c])) for c in (0, 1)}
+    for word in ("idiot", "idiots", "river", "clown", "clowns", "the", "unseen", "çödé", "island", "you"):
         raw = np.frombuffer(word.encode(), np.uint8)
-        gram, upto, before, _, _ = _spelled(raw, np.array([0]), np.array([raw.size]))
+        upto, before, _ = _spelled(raw, np.array([0]), np.array([raw.size]))
         full = word.encode() + b"\x03"
-        assert model.ratios(gram, upto, before).tolist() == pytest.approx([want(full[: k + 1]) for k in range(len(full))], abs=2e-3), word
+        want = [ratio_of(n, kinds, full[: k + 1], discount) for k in range(len(full))]
+        assert model.ratios(upto, before).tolist() == pytest.approx(want, abs=2e-3), word
+    assert got.count() == got.select("h").distinct().count()
+
+
+def counts_edge(g):
+    """Beginnings of the first and the last word stay: these texts fit in one batch."""
+    words = sorted({w.encode() + b"\x03" for t, _ in TEXTS for w in (t or "").lower().split()})
+    return any(w.startswith(g[:-1]) for w in (words[0], words[-1]))
 
 
 def test_model_keeps_every_row():
     keys = np.arange(200_000, dtype=np.uint64)
     model = Model()
-    model.put(_place(keys, 5, False), np.stack([keys, keys], 1).astype(np.float32))
-    got, found = model.find(keys, 5, False)
-    assert found.all() and (got[:, 0] == keys.astype(np.float32)).all()
-    assert not model.find(keys[:1000], 4, False)[1].any()
+    model.put(mix(keys), keys.astype(np.float32))
+    got, found = model.find(mix(keys))
+    assert found.all() and (got == keys.astype(np.float32)).all()
+    assert not model.find(mix(keys + np.uint64(1 << 40)))[1].any()
 
 
 def test_large_model_keeps_every_row(spark):
     n = (1 << 21) + 1000
-    rows = spark.range(n).selectExpr("'g' AS what", "5 AS k", "id AS key", "CAST(id % 7 AS double) AS toxic", "0D AS other", "id % 3 AS n")
-    model, keys = build_model(rows), np.arange(n, dtype=np.uint64)
-    got, found = model.find(keys, 5, False)
-    assert found.all() and (got[:, 0] == (keys % 7)).all()
+    rows = spark.range(n).selectExpr("xxhash64(id) AS h", "CAST(id % 7 AS double) AS ratio")
+    model, want = build_model(rows), rows.toPandas()
+    got, found = model.find(want["h"].to_numpy().view(np.uint64))
+    assert found.all() and (got == want["ratio"]).all()
 
 
 def test_held_out_documents(spark):
@@ -75,10 +92,6 @@ def test_held_out_documents(spark):
     held = [r for r in got if r.held_out]
     tp = sum(r.predicted and r.toxic for r in held)
     assert tp >= 0.9 * sum(r.predicted for r in held)
-    # some thirty labelled toxic documents a language teach little; English has two hundred
-    english = {r.doc_id for r in docs.filter("lang = 'en'").select("doc_id").collect()}
-    toxic = [r for r in held if r.toxic and r.doc_id in english]
-    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
 
 
 def test_both_training_folds_are_counted(spark):
@@ -88,8 +101,8 @@ def test_both_training_folds_are_counted(spark):
     rows = [(i, (bad.get(fold(i), "moron") + " goes by the river") if i % 2 else "the calm river runs by the old town", i % 2) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     probes = spark.createDataFrame([(1000, "idiot clown"), (1001, "moron jerk"), (1002, "the calm old town")], "doc_id long, text string")
-    got = {r.row.doc_id: r.passage for r in score_documents(docs.drop("toxic").unionByName(probes), docs.select("doc_id", "toxic")).collect()}
-    assert got[1000] > 0.3 and got[1001] > 0.3 and got[1002] < 0
+    got = {r.row.doc_id: r.top3 for r in score_documents(docs.drop("toxic").unionByName(probes), docs.select("doc_id", "toxic")).collect()}
+    assert got[1000] > 0.3 and got[1001] > 0.3 and got[1002] < 0.3
 
 
 def test_held_out_by_language(spark):
@@ -98,8 +111,10 @@ def test_held_out_by_language(spark):
     got = score_documents(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, ["doc_id", "lang"]).selectExpr("row.doc_id AS doc_id", "row.lang AS lang", "held_out", "predicted").join(labels, "doc_id").collect()
     held = [r for r in got if r.held_out]
     share = {x: [sum(r.predicted for r in held if r.toxic and r.lang == x), sum(r.toxic for r in held if r.lang == x)] for x in {r.lang for r in held}}
-    # open: none of the German and Spanish ones (20 and 12) are found; README
-    assert share["en"][0] >= 0.9 * share["en"][1] and share["fr"][0] >= 5, share
+    least = {"en": 0.9, "fr": 0.9, "de": 0.8, "es": 0.8}
+    assert all(share[x][0] >= least[x] * share[x][1] for x in least), share
+    clean = [r.predicted for r in held if not r.toxic]
+    assert sum(clean) <= 0.01 * len(clean)
 
 
 def test_awkward_documents(spark, awkward, awkward_rows, nothing):
