@@ -14,6 +14,7 @@ from semtflow.operators import contract
 from semtflow.operators.geo import Dims, apply_geo_validation
 from semtflow.operators.patterns import normalized_string, slots_to_fields, with_best_match
 from semtflow.operators.rules import normalize_fallback, normalize_legacy
+from semtflow.operators.tagging import Tagger, with_ml
 from semtflow.session import spread
 
 FIELD_TYPE = "struct<" + ",".join(f"{f}:string" for f in fv.FIELDS) + ">"
@@ -32,30 +33,31 @@ def _fields_of(m: Column) -> Column:
     return F.struct(*[t.blank_to_null(F.element_at(m, f)).alias(f) for f in fv.FIELDS])
 
 
-def normalize_addresses(df: DataFrame, dims: Dims | None = None, cfg: Config = Config(), thresholds: dict[str, float] | None = None) -> DataFrame:
+def normalize_addresses(df: DataFrame, dims: Dims | None = None, cfg: Config = Config(), thresholds: dict[str, float] | None = None,
+                        tagger: Tagger | None = None) -> DataFrame:
     """Pattern, ML or rules per row by confidence, then geographic and contract checks.
 
-    Input: addr_id, address and, where a tagger has run, ``ml_fields``
-    (map of field to value) and ``ml_confidence``. Rules see only the rows that
-    need them: the others pass null, which every rule skips. The whole job is
+    Input: addr_id and address. The tagger and the rules see only the rows that
+    need them: the others pass null, which both skip. The whole job is
     row-wise after one spread of the input over the cores.
     """
-    if "ml_confidence" not in df.columns:
-        df = df.withColumns({"ml_fields": F.lit(None).cast("map<string,string>"), "ml_confidence": F.lit(None).cast("double")})
-    base = spread(df.select("addr_id", "address", "ml_fields", "ml_confidence"), "addr_id")
+    base = spread(df.select("addr_id", "address"), "addr_id")
     step = with_best_match(t.once(base, t.clean_text(F.col("address")), "text"), thresholds=thresholds, default=cfg.default_threshold)
-    pc, ml = F.col("best.confidence"), F.coalesce(F.col("ml_confidence") >= cfg.ml, F.lit(False))
+    step = step.select(*[c for c in step.columns if c != "best"], F.col("best.confidence").alias("__pc"), F.col("best.slots").alias("__slots"))
+    unsure = F.coalesce(F.col("__pc"), F.lit(0.0)) < cfg.high
+    step = with_ml(t.once(step, F.when(unsure, F.col("text")), "__ml_text"), tagger, "__ml_text").drop("__ml_text")
+    pc, ml = F.col("__pc"), F.coalesce(F.col("ml_confidence") >= cfg.ml, F.lit(False))
     route = (
         F.when(F.col("address").isNull(), "error").when(pc >= cfg.high, "pattern_high").when(ml & (pc >= cfg.medium), "ml_validation")
         .when(pc >= cfg.medium, "pattern_medium").when(ml, "ml_primary").otherwise("fallback"))
     step = t.once(step.drop("text"), route, "method")
     step = step.withColumn("__fb", F.when(F.col("method") == "fallback", F.col("address")))
-    step = step.withColumnRenamed("best", "__best").transform(normalize_fallback, col="__fb")
+    step = step.transform(normalize_fallback, col="__fb")
     is_pattern, is_ml = F.col("method").startswith("pattern"), F.col("method").startswith("ml")
     none = F.array().cast("array<string>")
     made = F.struct(*[c.alias(n) for n, c in {
-        "fields": F.when(is_pattern, _fields_of(slots_to_fields(F.col("__best.slots")))).when(is_ml, _fields_of(F.col("ml_fields"))).otherwise(F.col("fields")),
-        "confidence": F.when(is_pattern, F.col("__best.confidence")).when(is_ml, F.col("ml_confidence")).when(F.col("method") == "error", 0.0).otherwise(F.col("confidence")),
+        "fields": F.when(is_pattern, _fields_of(slots_to_fields(F.col("__slots")))).when(is_ml, _fields_of(F.col("ml_fields"))).otherwise(F.col("fields")),
+        "confidence": F.when(is_pattern, F.col("__pc")).when(is_ml, F.col("ml_confidence")).when(F.col("method") == "error", 0.0).otherwise(F.col("confidence")),
         "warnings": F.when(is_pattern | is_ml, none).otherwise(F.col("warnings")),
     }.items()])
     step = t.once(step.withColumnRenamed("normalized_address", "__line"), made, "__r")
@@ -113,19 +115,19 @@ def route_layers(scored: DataFrame, thresholds: dict[str, float] | None = None)
     return scored.withColumns({"layer": layer, "success": layer != "failed", "confidence": conf, "layers_attempted": attempts})
 
 
-def hybrid_normalize(df: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Pattern, ML (an input score) and legacy layers; the legacy layer reads only unmatched rows."""
+def hybrid_normalize(df: DataFrame, thresholds: dict[str, float] | None = None, tagger: Tagger | None = None) -> DataFrame:
+    """Pattern, ML and legacy layers; each reads only the rows that the layers before it left."""
     th = LAYER_THRESHOLDS | (thresholds or {})
-    if "ml_confidence" not in df.columns:
-        df = df.withColumns({"ml_fields": F.lit(None).cast("map<string,string>"), "ml_confidence": F.lit(None).cast("double")})
-    keep = ["addr_id", "address", "ml_fields", "ml_confidence"]
-    step = with_best_match(t.once(spread(df.select(*keep), "addr_id"), t.clean_text(F.col("address")), "text"))
-    early = (F.coalesce(F.col("best.confidence"), F.lit(0.0)) >= th["pattern"]) | (F.coalesce(F.col("ml_confidence"), F.lit(0.0)) >= th["ml"])
+    step = with_best_match(t.once(spread(df.select("addr_id", "address"), "addr_id"), t.clean_text(F.col("address")), "text"))
+    step = step.select(*[c for c in step.columns if c != "best"], F.col("best.confidence").alias("pattern_confidence"), F.col("best.slots").alias("__slots"))
+    unsure = F.coalesce(F.col("pattern_confidence"), F.lit(0.0)) < th["pattern"]
+    step = with_ml(t.once(step, F.when(unsure, F.col("text")), "__ml_text"), tagger, "__ml_text").drop("__ml_text")
+    early = (F.coalesce(F.col("pattern_confidence"), F.lit(0.0)) >= th["pattern"]) | (F.coalesce(F.col("ml_confidence"), F.lit(0.0)) >= th["ml"])
     step = step.withColumn("__rest", F.when(~early, F.col("address"))).drop("text").transform(normalize_legacy, col="__rest")
-    step = step.withColumns({"pattern_confidence": F.col("best.confidence"), "legacy_confidence": F.when(F.col("success"), F.col("confidence"))})
+    step = step.withColumn("legacy_confidence", F.when(F.col("success"), F.col("confidence")))
     step = step.withColumnRenamed("components", "__legacy").drop("confidence", "success", "details")
     out = route_layers(step, thresholds)
-    comps = F.when(F.col("layer") == "pattern", F.col("best.slots")).when(F.col("layer") == "ml", F.col("ml_fields")).when(
+    comps = F.when(F.col("layer") == "pattern", F.col("__slots")).when(F.col("layer") == "ml", F.col("ml_fields")).when(
         F.col("layer") == "legacy", F.col("__legacy")).otherwise(F.create_map(F.lit("raw_address"), F.col("address")))
     err = F.when(F.col("layer") == "failed", "All processing layers failed")
     return out.select("addr_id", "address", "success", "confidence", "layer", "layers_attempted", comps.alias("components"), err.alias("error"))

@@ -109,8 +109,8 @@ def train_test_split(df: DataFrame, key: str = "addr_id") -> DataFrame:
     return df.withColumn("split", F.when(F.pmod(F.col(key) * 7919, F.lit(100)) < 80, "train").otherwise("test"))
 
 
-def token_table(df: DataFrame, col: str = "text") -> DataFrame:
-    """One row per single-blank token with its offsets and neighbours, in the row, then exploded."""
+def token_table(df: DataFrame, col: str = "text", in_row: str | None = None) -> DataFrame:
+    """One row per single-blank token with its offsets and neighbours; with ``in_row``, an array of that name instead."""
     def step(acc: Column, w: Column) -> Column:
         end = acc["pos"] + F.length(w)
         one = F.struct(acc["pos"].alias("start"), end.alias("end"), w.alias("token"))
@@ -121,6 +121,8 @@ def token_table(df: DataFrame, col: str = "text") -> DataFrame:
     near = lambda i: F.coalesce(F.get("__t", i)["token"], F.lit(""))
     rows = F.transform("__t", lambda x, i: F.struct(i.alias("i"), x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"),
                                                   near(i - 1).alias("before"), near(i + 1).alias("after"), F.coalesce(F.get("__t", i - 1)["start"], F.lit(-1)).alias("prev_start")))
+    if in_row:
+        return t.once(toks, rows, in_row).drop("__t")
     return toks.select(*df.columns, F.explode_outer(rows).alias("x")).filter(F.col("x").isNotNull()).select(*df.columns, "x.*")
 
 

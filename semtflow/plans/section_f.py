@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from semtflow.functions import text as t
 from semtflow.operators import cascade as c
+from semtflow.operators.entities import bio_tags, build_ner_table
+from semtflow.operators.tagging import fit_tagger, load_tagger, save_tagger
 from semtflow.plans import duck as d
 from semtflow.plans.registry import query
 from semtflow.plans.section_b import features_sql
@@ -13,20 +18,30 @@ from semtflow.plans.section_e import dims
 from semtflow.plans.section_j import rounded
 from semtflow.plans.section_k import KEV
 from semtflow.plans.section_k import events as keyed_events
+from semtflow.session import shared_dir
 from semtflow.sources.derived import addresses, metric_events
 
 
-def with_ml(spark, sf_dir, table="customer", key="c_custkey"):
-    """Addresses with the fields and the score a tagger would hand over."""
-    a = addresses(spark, sf_dir, table, key)
-    fields = F.create_map(*[F.lit(x) if isinstance(x, str) else x for kv in (
-        ("city", F.col("city_in")), ("district", F.col("district_in")), ("neighborhood", F.col("nbh")), ("number", F.col("number"))) for x in kv])
-    return a.select("addr_id", F.when(F.col("addr_id") % 97 != 0, F.col("address")).alias("address"), fields.alias("ml_fields"),
-                    ((F.col("addr_id") * 37 % 100) / 100.0).alias("ml_confidence"))
+#: Labelled addresses that the tagger learns from, at most; their keys are no address keys of the queries.
+TRAIN_ROWS, TRAIN_KEY = 1000, "(p_partkey + 1000003)"
+
+
+@cache
+def tagger(spark, sf_dir):
+    """Fitted once on automatically labelled addresses, stored in the shared folder and loaded from there."""
+    labelled = addresses(spark, sf_dir, "part", TRAIN_KEY).orderBy("addr_id").limit(TRAIN_ROWS)
+    path = f"{shared_dir(spark)}/tagger-{uuid.uuid4().hex}"
+    save_tagger(spark, fit_tagger(bio_tags(build_ner_table(labelled.select("addr_id", "address")).select("addr_id", "text", "spans"))), path)
+    return load_tagger(spark, path)
+
+
+def raw(spark, sf_dir, table="customer", key="c_custkey"):
+    """Addresses, some of them missing."""
+    return addresses(spark, sf_dir, table, key).select("addr_id", F.when(F.col("addr_id") % 97 != 0, F.col("address")).alias("address"))
 
 
 def results(spark, sf_dir, table="customer", key="c_custkey"):
-    return c.normalize_addresses(with_ml(spark, sf_dir, table, key), dims(spark))
+    return c.normalize_addresses(raw(spark, sf_dir, table, key), dims(spark), tagger=tagger(spark, sf_dir))
 
 
 @query("f01_normalize_addresses")
@@ -62,7 +77,7 @@ def f03_cascade(spark, sf_dir):
 
 @query("f04_hybrid_normalize")
 def f04(spark, sf_dir):
-    out = c.hybrid_normalize(with_ml(spark, sf_dir), {"pattern": 0.75})
+    out = c.hybrid_normalize(raw(spark, sf_dir), {"pattern": 0.75}, tagger(spark, sf_dir))
     return rounded(out.select("addr_id", "success", "confidence", "layer", F.size("layers_attempted").alias("layers_used"), F.to_json("components").alias("components"), "error"))
 
 
