@@ -15,10 +15,22 @@ def test_other_values(spark):
     assert found(spark, ITEM.replace("12", "90").replace("Anna", "Bert").replace("kg", "miles"))
 
 
-def test_slots_must_agree(spark):
+def test_one_changed_value_of_several(spark):
+    """Windows with a substitution that does not hold throughout are lost, the others stand as they are."""
     first = ITEM.index("12")
-    mixed = ITEM[:first] + "90" + ITEM[first + 2 :]
-    assert not found(spark, mixed)
+    assert found(spark, ITEM[:first] + "90" + ITEM[first + 2 :])
+    three = "A box holds 12 pens and a shelf holds 12 boxes so how many pens do the 12 men who come by here on a day in May see on it"
+    at = three.index("12")
+    assert found(spark, three[:at] + "55" + three[at + 2 :], three) and found(spark, three.replace("12", "55"), three)
+    assert not found(spark, "A box holds 55 pens and a shelf holds 66 boxes so how many pens do the 77 men who come by here on a day in May see on it", three)
+
+
+def test_short_items(spark):
+    """Items of three or four words match as they are, in any case, and not with other values."""
+    for item in ("What is 12 + 7 ?", "Name three rivers."):
+        assert found(spark, "before " + item + " after", item) and found(spark, item.upper(), item)
+    assert not found(spark, "What is 13 + 7 ?", "What is 12 + 7 ?") and not found(spark, "why not", "Why not?")
+    assert not found(spark, "What is it with 12 and 7", "What is 12 + 7 ?")
 
 
 NAMED = "Last week the baker Rosa gave 12 kg of flour to her friend Hugo while the miller Otto drove 7 km to the town of Lund and met Vera there"
@@ -48,7 +60,7 @@ def test_given_documents(spark):
 
 def test_awkward_documents(spark, awkward, awkward_rows, nothing):
     shared = next(r[1] for r in awkward_rows if r[0] == 10)
-    items = spark.createDataFrame([(1, shared), (1, shared), (2, None), (3, ""), (4, "too short"), (None, shared)], "item_id long, text string")
+    items = spark.createDataFrame([(1, shared), (1, shared), (2, None), (3, ""), (4, "too short"), (6, "no such item here"), (None, shared)], "item_id long, text string")
     kept = drop_leaks(awkward, items)
     assert kept.columns == awkward.columns
     assert sorted(r.row for r in kept.collect()) == sorted(r[6] for r in awkward_rows if shared not in (r[1] or ""))
