@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from semtflow.functions import text as t
 from semtflow.operators.entities import token_table
 from semtflow.operators.evaluation import LABEL_FIELDS
+from semtflow.session import checkpointed
 
 BUCKETS = 4096
 ENTITIES = "array<struct<label:string,start:int,end:int,text:string,confidence:double>>"
@@ -40,10 +41,10 @@ def _buckets(token: Column, before: Column, after: Column, i: Column, buckets: i
     return F.array(*[F.pmod(F.hash(x), F.lit(buckets)) for x in shown])
 
 
-def fit_tagger(bio: DataFrame, iterations: int = 30, buckets: int = BUCKETS) -> Tagger:
+def fit_tagger(bio: DataFrame, iterations: int = 20, buckets: int = BUCKETS) -> Tagger:
     """Multinomial logistic weights from tokens with neighbours and ``tag`` (as ``bio_tags`` gives them)."""
     c = F.col
-    data = bio.select("tag", _buckets(c("token"), c("before"), c("after"), c("i"), buckets).cast("array<string>").alias("terms"))
+    data = checkpointed(bio.select("tag", _buckets(c("token"), c("before"), c("after"), c("i"), buckets).cast("array<string>").alias("terms")).coalesce(2))
     hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=4 * buckets)
     indexer = StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc").fit(data)
     model = LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4).fit(hashing.transform(indexer.transform(data)))

@@ -18,18 +18,18 @@ from semtflow.plans.section_e import dims
 from semtflow.plans.section_j import rounded
 from semtflow.plans.section_k import KEV
 from semtflow.plans.section_k import events as keyed_events
-from semtflow.session import shared_dir
+from semtflow.session import shared_dir, spread
 from semtflow.sources.derived import addresses, metric_events
 
 
 #: Labelled addresses that the tagger learns from, at most; their keys are no address keys of the queries.
-TRAIN_ROWS, TRAIN_KEY = 1000, "(p_partkey + 1000003)"
+TRAIN_ROWS, TRAIN_KEY = 500, "(p_partkey + 1000003)"
 
 
 @cache
 def tagger(spark, sf_dir):
     """Fitted once on automatically labelled addresses, stored in the shared folder and loaded from there."""
-    labelled = addresses(spark, sf_dir, "part", TRAIN_KEY).orderBy("addr_id").limit(TRAIN_ROWS)
+    labelled = spread(addresses(spark, sf_dir, "part", TRAIN_KEY).orderBy("addr_id").limit(TRAIN_ROWS), "addr_id")
     path = f"{shared_dir(spark)}/tagger-{uuid.uuid4().hex}"
     save_tagger(spark, fit_tagger(bio_tags(build_ner_table(labelled.select("addr_id", "address")).select("addr_id", "text", "spans"))), path)
     return load_tagger(spark, path)
