@@ -17,6 +17,11 @@ from semtflow.session import checkpointed
 _SALTS = 64
 
 
+def hinted(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """A broadcast hint for a written table of few rows; a longer one is left to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rn: str = "rn") -> DataFrame:
     """The ``n`` latest rows per key with ``rn`` = 1 for the latest.
 
@@ -187,7 +192,8 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str
     same = F.col("__p") == F.col("__p1")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return parts.join(sizes, same).withColumn(pos, F.col("__m") + F.col("__off")).drop("__p", "__p1", "__m", "__off", *[f"__k_{k}" for k in keys])
+    sizes = checkpointed(sizes)  # a row per key and one more per range partition
+    return parts.join(hinted(sizes), same).withColumn(pos, F.col("__m") + F.col("__off")).drop("__p", "__p1", "__m", "__off", *[f"__k_{k}" for k in keys])
 
 
 def running_ema(values: Column, alpha: float, seed: Column | None = None) -> Column:

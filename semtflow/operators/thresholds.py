@@ -13,8 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semtflow.functions.ordered import halves, last_n, positions
+from semtflow.functions.ordered import halves, hinted, last_n, positions
 from semtflow.operators.analytics import latest, recent
+from semtflow.session import checkpointed
 
 # --- fixed values: default settings -----------------------------------------
 DEFAULT_THRESHOLD, ADJUSTMENT, MIN_SAMPLES, LOW, HIGH = 0.4, 0.2, 3, 0.2, 0.9
@@ -183,11 +184,16 @@ def history_points(events: DataFrame, every: int = 10, alpha: float = 0.1) -> Da
 
 
 def performance_trend(points: DataFrame, asof: Column, days: int = 7) -> DataFrame:
-    """Trend of the running success rate over the points of the last days."""
-    pts = points.filter(F.col("ts") > asof - F.expr(f"INTERVAL {days} DAYS"))
-    by = Window.partitionBy("pattern_id")
-    pts = pts.withColumn("i", F.row_number().over(by.orderBy("volume"))).withColumn("k", F.count(F.lit(1)).over(by))
-    first = F.col("i") <= F.floor(F.col("k") / 2)
+    """Trend of the running success rate over the points of the last days.
+
+    A pattern's points stand at equal steps of its volume, and the last days are the end of them,
+    so a point's place follows from the ends: nothing sorts a pattern's points in one task.
+    """
+    pts = checkpointed(points.filter(F.col("ts") > asof - F.expr(f"INTERVAL {days} DAYS")).select("pattern_id", "volume", "success_rate"))
+    ends = checkpointed(pts.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("k"), F.min("volume").alias("v0"), F.max("volume").alias("v1")))
+    pts = pts.join(hinted(ends), "pattern_id")
+    before = F.when(F.col("k") > 1, (F.col("volume") - F.col("v0")) * (F.col("k") - 1) / (F.col("v1") - F.col("v0"))).otherwise(0.0)
+    first = F.round(before) + 1 <= F.floor(F.col("k") / 2)
     agg = pts.groupBy("pattern_id").agg(
         F.max("k").alias("k"), F.var_pop("success_rate").alias("var"),
         F.avg(F.when(first, F.col("success_rate"))).alias("a"), F.avg(F.when(~first, F.col("success_rate"))).alias("b"),
