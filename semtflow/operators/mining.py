@@ -256,16 +256,42 @@ def component_coverage(hits: DataFrame, col: str = "text") -> DataFrame:
 
 # --- conflicts --------------------------------------------------------------
 
+# fixed values: severities by rank
 SEVERITY = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 
 
-def _pairs(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing x new and new x new (by position): dimensions of some dozens of rows."""
+def _words_of(c: str) -> Column:
+    return F.array_distinct(t.words(F.lower(F.col(c))))
+
+
+def _keywords_of(c: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z]{3,}"), F.lit(0)))
+
+
+#: What a kind of conflict needs two patterns to share.
+TERMS = {"field_mapping": lambda side: F.col(f"{side}fields"), "semantic_overlap": lambda side: _words_of(f"{side}description"), "keyword_overlap": lambda side: _keywords_of(f"{side}regex")}
+
+
+def sharing_pairs(existing: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """Existing with new and new with new patterns (by id) that share a term of the kind, once each.
+
+    Patterns meet on their terms in an equi-join, so what is compared grows with the pairs that
+    share something and not with all pairs.
+    """
+    side = lambda df, name: df.select(F.struct("pattern_id", "regex", "fields", "description").alias(name), F.explode(F.array_distinct(TERMS[kind](""))).alias("term"))
+    mixed = side(existing, "a").join(side(new, "b"), "term").filter("a.pattern_id <> b.pattern_id")
+    inner = side(new, "a").join(side(new, "b"), "term").filter("a.pattern_id < b.pattern_id")
+    both = mixed.unionByName(inner).select("a", "b", F.col("a.pattern_id").alias("ai"), F.col("b.pattern_id").alias("bi"))
+    return both.dropDuplicates(["ai", "bi"]).select("a", "b")
+
+
+def costly_pairs(existing: DataFrame, new: DataFrame, costs: DataFrame, least: float = 100.0) -> DataFrame:
+    """All patterns beside the few new ones over the cost from which a conflict is possible."""
+    dear = new.join(costs.filter(F.col("performance_cost") > least).select("pattern_id"), "pattern_id", "left_semi")
+    made = dear.select(F.struct("pattern_id", "regex", "fields", "description").alias("b"))
     old = existing.select(F.struct("pattern_id", "regex", "fields", "description").alias("a"))
-    made = new.select(F.struct("pattern_id", "regex", "fields", "description").alias("b"))
-    mixed = old.join(made, F.col("a.pattern_id") != F.col("b.pattern_id"))
-    inner = made.select(F.col("b").alias("a")).join(made, F.col("a.pattern_id") < F.col("b.pattern_id"))
-    return mixed.unionByName(inner)
+    inner = new.select(F.struct("pattern_id", "regex", "fields", "description").alias("a"))
+    return old.join(made, F.col("a.pattern_id") != F.col("b.pattern_id")).unionByName(inner.join(made, F.col("a.pattern_id") < F.col("b.pattern_id")))
 
 
 def _conflict(df: DataFrame, kind: str, severity: str, ratio: Column) -> DataFrame:
@@ -285,9 +311,9 @@ def complexity_conflicts(pairs: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 def semantic_conflicts(pairs: DataFrame) -> DataFrame:
-    w = lambda c: F.array_distinct(t.words(F.lower(F.col(c))))
-    both = F.size(F.array_intersect(w("a.description"), w("b.description")))
-    share = both / F.size(F.array_union(w("a.description"), w("b.description")))
+    a, b = _words_of("a.description"), _words_of("b.description")
+    both = F.size(F.array_intersect(a, b))
+    share = both / F.size(F.array_union(a, b))
     return _conflict(pairs.filter((both > 2) & (share > 0.3)), "semantic_overlap", "low", share)
 
 
@@ -315,9 +341,9 @@ def worst_conflicts(conflicts: DataFrame) -> DataFrame:
 
 
 def keyword_conflicts(pairs: DataFrame) -> DataFrame:
-    w = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z]{3,}"), F.lit(0))
-    both = F.size(F.array_intersect(w("a.regex"), w("b.regex")))
-    return _conflict(pairs.filter(both > 0), "keyword_overlap", "low", both / F.size(F.array_union(w("a.regex"), w("b.regex"))))
+    a, b = _keywords_of("a.regex"), _keywords_of("b.regex")
+    both = F.size(F.array_intersect(a, b))
+    return _conflict(pairs.filter(both > 0), "keyword_overlap", "low", both / F.size(F.array_union(a, b)))
 
 
 RESOLUTIONS = [  # fixed values: conflict type, strategy, confidence

@@ -220,9 +220,9 @@ def described(spark, sf_dir):
     return p.select(F.concat_ws("_", "pattern_id", F.col("cluster").cast("string")).alias("pattern_id"), "regex", parts.alias("fields"), F.col("example").alias("description"))
 
 
-def pairs(spark, sf_dir):
+def pairs(spark, sf_dir, kind):
     one = described(spark, sf_dir)
-    return m._pairs(one.limit(0), one)
+    return m.sharing_pairs(one.limit(0), one, kind)
 
 
 PAIRS = f"""{CX}, ds AS (SELECT pattern_id || '_' || CAST(cluster AS VARCHAR) AS pattern_id, regex, example AS description, list_filter(['mahalle', 'sokak', 'cadde', 'no'], lambda n: contains(regex, '<' || n || '>')) AS fields FROM pt),
@@ -235,7 +235,7 @@ SEMANTIC = f"SELECT existing_id, new_id, 'semantic_overlap' AS type, 1 AS severi
 
 @query("l24_field_conflicts", f"WITH {PAIRS} {FIELD}")
 def l24(spark, sf_dir):
-    return rounded(m.field_conflicts(pairs(spark, sf_dir)))
+    return rounded(m.field_conflicts(pairs(spark, sf_dir, "field_mapping")))
 
 
 @query(
@@ -244,12 +244,14 @@ def l24(spark, sf_dir):
         SELECT existing_id, new_id, 'performance' AS type, 1 AS severity_rank, round(b.pc / a.pc, 6) AS ratio FROM pa JOIN k a ON a.id = existing_id JOIN k b ON b.id = new_id WHERE b.pc > a.pc * 2 AND b.pc > 100""",
 )
 def l25(spark, sf_dir):
-    return rounded(m.complexity_conflicts(pairs(spark, sf_dir), m.regex_complexity(described(spark, sf_dir))))
+    one = described(spark, sf_dir)
+    costs = m.regex_complexity(one)
+    return rounded(m.complexity_conflicts(m.costly_pairs(one.limit(0), one, costs), costs))
 
 
 @query("l26_semantic_conflicts", f"WITH {PAIRS} {SEMANTIC}")
 def l26(spark, sf_dir):
-    return rounded(m.semantic_conflicts(pairs(spark, sf_dir)))
+    return rounded(m.semantic_conflicts(pairs(spark, sf_dir, "semantic_overlap")))
 
 
 WORST = f"""al AS ({FIELD} UNION ALL {SEMANTIC}), wr AS (SELECT *, row_number() OVER (PARTITION BY existing_id, new_id ORDER BY severity_rank DESC, type DESC) AS i FROM al),
@@ -257,8 +259,7 @@ WORST = f"""al AS ({FIELD} UNION ALL {SEMANTIC}), wr AS (SELECT *, row_number()
 
 
 def conflicts(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return m.worst_conflicts(m.field_conflicts(p).unionByName(m.semantic_conflicts(p)))
+    return m.worst_conflicts(m.field_conflicts(pairs(spark, sf_dir, "field_mapping")).unionByName(m.semantic_conflicts(pairs(spark, sf_dir, "semantic_overlap"))))
 
 
 @query("l27_detect_conflicts", f"WITH {PAIRS}, {WORST} SELECT * FROM wc")
@@ -272,7 +273,7 @@ def l27(spark, sf_dir):
         SELECT existing_id, new_id, 'keyword_overlap' AS type, 1 AS severity_rank, round(len(list_intersect(a, b)) / {_UNION('a', 'b')}, 6) AS ratio FROM k WHERE len(list_intersect(a, b)) > 0""",
 )
 def l28(spark, sf_dir):
-    return rounded(m.keyword_conflicts(pairs(spark, sf_dir)))
+    return rounded(m.keyword_conflicts(pairs(spark, sf_dir, "keyword_overlap")))
 
 
 _RES = "rs(type, strategy, confidence) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in m.RESOLUTIONS) + ")"
