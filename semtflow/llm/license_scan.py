@@ -29,6 +29,40 @@ TEMPLATES = {
     ),
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "MIT-terms": "under the terms of the MIT License",
+    "MIT-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "BSD-3-Clause": (
+        "may be used to endorse or promote products derived from this software without specific prior written permission"
+    ),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache-2.0-SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0-SPDX": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-3.0-SPDX": "SPDX-License-Identifier: GPL-3.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
@@ -47,11 +81,13 @@ def shingled(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def band_table(templates: DataFrame) -> DataFrame:
-    """license, tpl (its shingles), m, band, low (its MinHash) and anchor (the shingle that has it)."""
-    rows = shingled(templates, ["license"]).select("license", F.array_distinct("_s").alias("tpl"), F.size("_s").alias("m"))
+    """license, tpl (its shingles), must (those with a number or the name GNU), m, band, low (its MinHash) and anchor (the shingle that has it)."""
+    rows = shingled(templates.withColumn("_words", _shingles(F.col("text"))), ["license", "_words"])
+    number = lambda i: F.exists(F.slice("_words", i + 1, SPAN), lambda w: w.rlike(r"\p{N}|^gnu$"))
+    rows = rows.select("license", F.array_distinct("_s").alias("tpl"), F.array_distinct(F.filter("_s", lambda x, i: number(i))).alias("must"), F.size("_s").alias("m"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     best = F.array_min(F.transform("tpl", lambda x: F.struct(F.xxhash64(x, F.col("band")).alias("low"), x.alias("anchor"))))
-    return rows.select("license", "tpl", "m", "band", best.alias("b")).select("license", "tpl", "m", "band", "b.low", "b.anchor")
+    return rows.select("license", "tpl", "must", "m", "band", best.alias("b")).select("license", "tpl", "must", "m", "band", "b.low", "b.anchor")
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFrame:
@@ -61,8 +97,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, share: float = SHARE) -
     hold all of it, meet a template if one of BANDS MinHashes agrees: a window that holds
     ``share`` = 0.8 of the shingles is missed with a probability below 1e-6. A MinHash can only
     agree where the window holds the template's smallest shingle, so only such windows are
-    hashed. What meets is checked: the share of the template's shingles in the window. start is
-    the word at which the first of the fullest windows begins.
+    hashed. What meets is checked: the share of the template's shingles in the window, and that
+    every shingle with a number, so a version, or with the word GNU, so a name, is there. start is the word at which the first of
+    the fullest windows begins. Very long texts are scanned whole.
 
     Templates (license, text) under five words never match. Null and short texts have no
     window. Rows that agree in id and text share a result; null ids are the smallest long.
@@ -87,6 +124,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, share: float = SHARE) -
     same = F.array_min(F.transform("win", lambda x: F.xxhash64(x, F.col("band")))) == F.col("low")
     met = hits.filter(same).dropDuplicates(["_id", "_th", "license", "start"])
     met = met.withColumn("containment", F.size(F.array_intersect("win", "tpl")) / F.size("tpl")).filter(F.col("containment") >= share)
+    met = met.filter(F.size(F.array_except("must", "win")) == 0)  # another version is another license
     best = F.max(F.struct("containment", (-F.col("start")).alias("s")))
     return met.groupBy("_id", "_th", "license").agg(best.alias("b"), F.count(F.lit(1)).alias("n_windows")).select("_id", "_th", "license", "b.containment", (-F.col("b.s")).alias("start"), "n_windows")
 

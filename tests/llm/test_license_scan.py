@@ -18,7 +18,8 @@ def brute(text, share=0.8):
         tpl = runs(t)
         m = len(tpl)
         step = max(1, m // 8)
-        if any(len(set(tpl) & set(s[k : k + m + step - 1])) >= share * len(set(tpl)) for k in range(0, len(s), step)):
+        must = {r for r in tpl if any(c.isdigit() for c in "".join(r)) or "gnu" in r}
+        if any(len(set(tpl) & set(s[k : k + m + step - 1])) >= share * len(set(tpl)) and must <= set(s[k : k + m + step - 1]) for k in range(0, len(s), step)):
             out.add(name)
     return out
 
@@ -38,6 +39,16 @@ def test_notices(spark):
     assert got == {k: brute(t) for k, t in enumerate(texts)}
 
 
+def test_versions_are_told_apart(spark):
+    two, three = TEMPLATES["GPL-2.0-header"], TEMPLATES["GPL-3.0-header"]
+    texts = [two, three, TEMPLATES["GPL-2.0"], TEMPLATES["GPL-3.0"], TEMPLATES["GPL-3.0"].replace("3", "4"), TEMPLATES["LGPL-2.1-header"], "SPDX-License-Identifier: GPL-2.0", "made available under the terms of the MIT License, see below", TEMPLATES["LGPL-3.0-header"], TEMPLATES["AGPL-3.0-header"]]
+    docs = spark.createDataFrame([(k, f"some words ahead {t} and some behind") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {k: set() for k in range(len(texts))}
+    for r in scan_licenses(docs, default_templates(spark)).collect():
+        got[r._id].add(r.license)
+    assert got == {0: {"GPL-2.0-header"}, 1: {"GPL-3.0-header"}, 2: {"GPL-2.0"}, 3: {"GPL-3.0"}, 4: set(), 5: {"LGPL-2.1-header"}, 6: {"GPL-2.0-SPDX"}, 7: {"MIT-terms"}, 8: {"LGPL-3.0-header"}, 9: {"AGPL-3.0-header"}}
+
+
 def test_awkward_documents(spark, awkward, nothing):
     assert scan_licenses(awkward, default_templates(spark)).collect() == []
     assert scan_licenses(nothing, default_templates(spark)).collect() == []
