@@ -37,15 +37,19 @@ def normalize_addresses(df: DataFrame, dims: Dims | None = None, cfg: Config = C
                         tagger: Tagger | None = None) -> DataFrame:
     """Pattern, ML or rules per row by confidence, then geographic and contract checks.
 
-    Input: addr_id and address. The tagger and the rules see only the rows that
+    Input: addr_id, address and, where another tagger has run, ``ml_fields``
+    (map of field to value) and ``ml_confidence``; else ``tagger`` reads the text.
+    The tagger and the rules see only the rows that
     need them: the others pass null, which both skip. The whole job is
     row-wise after one spread of the input over the cores.
     """
-    base = spread(df.select("addr_id", "address"), "addr_id")
+    given = [c for c in ("ml_fields", "ml_confidence") if c in df.columns]
+    base = spread(df.select("addr_id", "address", *given), "addr_id")
     step = with_best_match(t.once(base, t.clean_text(F.col("address")), "text"), thresholds=thresholds, default=cfg.default_threshold)
     step = step.select(*[c for c in step.columns if c != "best"], F.col("best.confidence").alias("__pc"), F.col("best.slots").alias("__slots"))
-    unsure = F.coalesce(F.col("__pc"), F.lit(0.0)) < cfg.high
-    step = with_ml(t.once(step, F.when(unsure, F.col("text")), "__ml_text"), tagger, "__ml_text").drop("__ml_text")
+    if not given:
+        unsure = F.coalesce(F.col("__pc"), F.lit(0.0)) < cfg.high
+        step = with_ml(t.once(step, F.when(unsure, F.col("text")), "__ml_text"), tagger, "__ml_text").drop("__ml_text")
     pc, ml = F.col("__pc"), F.coalesce(F.col("ml_confidence") >= cfg.ml, F.lit(False))
     route = (
         F.when(F.col("address").isNull(), "error").when(pc >= cfg.high, "pattern_high").when(ml & (pc >= cfg.medium), "ml_validation")
@@ -118,10 +122,12 @@ def route_layers(scored: DataFrame, thresholds: dict[str, float] | None = None)
 def hybrid_normalize(df: DataFrame, thresholds: dict[str, float] | None = None, tagger: Tagger | None = None) -> DataFrame:
     """Pattern, ML and legacy layers; each reads only the rows that the layers before it left."""
     th = LAYER_THRESHOLDS | (thresholds or {})
-    step = with_best_match(t.once(spread(df.select("addr_id", "address"), "addr_id"), t.clean_text(F.col("address")), "text"))
+    given = [c for c in ("ml_fields", "ml_confidence") if c in df.columns]
+    step = with_best_match(t.once(spread(df.select("addr_id", "address", *given), "addr_id"), t.clean_text(F.col("address")), "text"))
     step = step.select(*[c for c in step.columns if c != "best"], F.col("best.confidence").alias("pattern_confidence"), F.col("best.slots").alias("__slots"))
-    unsure = F.coalesce(F.col("pattern_confidence"), F.lit(0.0)) < th["pattern"]
-    step = with_ml(t.once(step, F.when(unsure, F.col("text")), "__ml_text"), tagger, "__ml_text").drop("__ml_text")
+    if not given:
+        unsure = F.coalesce(F.col("pattern_confidence"), F.lit(0.0)) < th["pattern"]
+        step = with_ml(t.once(step, F.when(unsure, F.col("text")), "__ml_text"), tagger, "__ml_text").drop("__ml_text")
     early = (F.coalesce(F.col("pattern_confidence"), F.lit(0.0)) >= th["pattern"]) | (F.coalesce(F.col("ml_confidence"), F.lit(0.0)) >= th["ml"])
     step = step.withColumn("__rest", F.when(~early, F.col("address"))).drop("text").transform(normalize_legacy, col="__rest")
     step = step.withColumn("legacy_confidence", F.when(F.col("success"), F.col("confidence")))
