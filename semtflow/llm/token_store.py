@@ -18,7 +18,7 @@ from semtflow.llm.common import cut, stored
 #: Documents' ids per block of the file format, about.
 BLOCK_IDS = 1 << 20
 #: Words a Python worker remembers.
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 
 
 # A control byte holds 2 bits for each of four ids, low bits first: the number of data bytes of
