@@ -53,7 +53,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow table; its files go when the frame is no longer used."""
+    """Reliable checkpoint of a narrow table; its files stay in the shared folder unless the session cleans checkpoints."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
