@@ -44,15 +44,16 @@ def corpus_features(df: DataFrame, col: str = "text") -> DataFrame:
 
 def feature_matrix(df: DataFrame, col: str = "text", words: int = 100, chars: int = 50) -> DataFrame:
     """Word 1-2-gram and character 2-4-gram TF-IDF with ten plain features, as ``features``."""
-    c = F.col(col)
-    toks = t.words(F.lower(c))
+    c, low, toks = F.col(col), F.col("__l"), F.col("__t")
     bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(toks, i, 2)))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(n)))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
     plain = [
         F.length(c), F.length(c) - F.length(F.replace(c, F.lit(" "))), F.size(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))),
         F.length(c) - F.length(F.replace(c, F.lit(","))), F.length(c) - F.length(F.replace(c, F.lit("/"))), F.length(c) - F.length(F.regexp_replace(c, r"\p{Lu}", "")),
-        F.length(c) - F.length(F.regexp_replace(c, r"\p{Ll}", "")), F.lower(c).contains("mahalle").cast("int"), F.lower(c).contains("sokak").cast("int"), c.rlike(r"\d{5}").cast("int")]
-    step = t.once(df, F.concat(toks, F.filter(bigrams, lambda x: x.contains(" "))), "__w")
+        F.length(c) - F.length(F.regexp_replace(c, r"\p{Ll}", "")), low.contains("mahalle").cast("int"), low.contains("sokak").cast("int"), c.rlike(r"\d{5}").cast("int")]
+    # the text, its lower case and its words stand between steps, or every gram would compute them anew
+    step = t.once(t.once(t.once(df, c, col), F.lower(c), "__l"), t.words(low), "__t")
+    step = t.once(step, F.concat(toks, F.filter(bigrams, lambda x: x.contains(" "))), "__w")
     step = step.withColumn("__c", F.concat(grams(2), grams(3), grams(4))).withColumns({f"__m{i}": p.cast("double") for i, p in enumerate(plain)})
     stages = [
         CountVectorizer(inputCol="__w", outputCol="__wc", vocabSize=words), IDF(inputCol="__wc", outputCol="__wi"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semtflow.functions import fixed_values as fv
-from semtflow.functions.text import exploded, let, table, words
+from semtflow.functions.text import exploded, let, once, table, words
 
 GAP, HIT = "\x01", "\x02"
 BLANK = r"\s+"
@@ -246,8 +246,12 @@ def slot_score(slots: Column, values: Column) -> Column:
     return F.when(total > 0, got / total).otherwise(0.0)
 
 
-def token_overlap(matched: Column, text: Column) -> Column:
-    m, t = F.array_distinct(words(F.lower(matched))), F.array_distinct(words(F.lower(text)))
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(words(F.lower(text)))
+
+
+def token_overlap(matched: Column, text: Column, text_words: Column | None = None) -> Column:
+    m, t = _distinct_words(matched), _distinct_words(text) if text_words is None else text_words
     return F.when(F.size(t) > 0, F.size(F.array_intersect(m, t)) / F.size(t)).otherwise(0.0) * 0.8
 
 
@@ -261,17 +265,30 @@ def keyword_score(text: Column, low_importance: list[str] | None = None) -> Colu
     return F.greatest(F.lit(0.0), score - F.least(F.lit(0.2), hits(low_importance or []) * 0.05)) * 0.6
 
 
-def edit_similarity(matched: Column, text: Column) -> Column:
+def edit_similarity(matched: Column, text: Column, text_low: Column | None = None) -> Column:
+    """One less the edit distance over the longer length. What stands whole in the text is as far from it as the rest is long."""
     longest = F.greatest(F.length(matched), F.length(text))
-    return F.when(longest > 0, F.greatest(F.lit(0.0), 1.0 - F.levenshtein(F.lower(matched), F.lower(text)) / longest)).otherwise(1.0)
+    a, b = F.lower(matched), F.lower(text) if text_low is None else text_low
+    distance = F.when(b.contains(a), F.length(b) - F.length(a)).otherwise(F.levenshtein(a, b))
+    return F.when(longest > 0, F.greatest(F.lit(0.0), 1.0 - distance / longest)).otherwise(1.0)
+
+
+def text_parts(text: Column) -> Column:
+    """What the scores of all hits of one text share: lower case, distinct words, keyword score."""
+    return F.struct(F.lower(text).alias("low"), _distinct_words(text).alias("words"), keyword_score(text).alias("keywords"))
 
 
-def match_confidence(matched: Column, text: Column, slots: Column, values: Column, exact_weight: float = 1.0) -> Column:
-    parts = [coverage_score(matched, text), slot_score(slots, values), token_overlap(matched, text), keyword_score(text), edit_similarity(matched, text)]
+def match_confidence(matched: Column, text: Column, slots: Column, values: Column, exact_weight: float = 1.0, of: Column | None = None) -> Column:
+    """Mean of the scores less a penalty for what is left of the text. ``of``: its ``text_parts``, if they are at hand."""
+    if of is None:
+        shared = [token_overlap(matched, text), keyword_score(text), edit_similarity(matched, text)]
+    else:
+        shared = [token_overlap(matched, text, of["words"]), of["keywords"], edit_similarity(matched, text, of["low"])]
+    parts = [coverage_score(matched, text), slot_score(slots, values), *shared]
     mean = sum(parts[1:], parts[0]) / len(parts)
     conf = mean - (F.length(text) - F.length(matched)) / F.length(text) * 0.1
     conf = F.when(F.size(words(matched)) < 2, conf * 0.8).otherwise(conf)
-    conf = F.when(F.lower(matched) == F.lower(text), conf * exact_weight).otherwise(conf)
+    conf = F.when(F.lower(matched) == (F.lower(text) if of is None else of["low"]), conf * exact_weight).otherwise(conf)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))
 
 
@@ -303,7 +320,7 @@ def with_best_match(df: DataFrame, text: str = "text", thresholds: dict[str, flo
         learnt = table(thresholds, "map<string,double>")
 
     def scored(c: Column) -> Column:
-        conf = match_confidence(c["matched"], F.col(text), c["slots"], c["values"])
+        conf = match_confidence(c["matched"], F.col(text), c["slots"], c["values"], of=F.col("__of"))
         return F.struct(conf.alias("confidence"), c["priority"].alias("priority"), c["pattern_id"].alias("pattern_id"),
                         c["matched"].alias("matched"), slot_map(c["slots"], c["values"]).alias("slots"))
 
@@ -314,7 +331,7 @@ def with_best_match(df: DataFrame, text: str = "text", thresholds: dict[str, flo
         return c["confidence"] >= (F.coalesce(F.element_at(learnt, c["pattern_id"]), limit) if thresholds else limit)
 
     order = F.array_sort(F.filter(F.transform("candidates", scored), over), lambda a, b: F.when(ahead(a, b), -1).when(ahead(b, a), 1).otherwise(0))
-    tried = with_candidates(df, text, rows)
+    tried = with_candidates(once(once(df, F.col(text), text), text_parts(F.col(text)), "__of"), text, rows)
     return tried.select(*df.columns, F.explode_outer(F.slice(order, 1, 1)).alias("best"))
 
 
