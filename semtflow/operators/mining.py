@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semtflow.functions import text as t
+from semtflow.functions.ordered import hinted
+from semtflow.session import checkpointed
 
 # fixed values: corpus keywords and parts of mined patterns
 KEYWORDS = ["mahalle", "mah", "sokak", "sok", "cadde", "cad", "bulvar", "blv", "no", "numara", "daire", "kat", "blok", "site", "apt", "apartman"]
@@ -84,12 +86,12 @@ def choose_k(features: DataFrame, ks=range(2, 11), min_size: int = 3) -> list[tu
 
 
 def _minhashes(df: DataFrame, col: str) -> DataFrame:
-    """One row per (row, hash function) with the smallest hash of the row's tokens."""
-    toks = F.array_distinct(t.words(F.lower(F.col(col))))
-    base = t.once(df.select("addr_id", "cluster", F.col(col)), toks, "__t")
-    least = lambda h: F.array_min(F.transform("__t", lambda w: F.md5(F.concat(h.cast("string"), F.lit(":"), w))))
+    """One row per (row, hash function) with the token whose hash is smallest, and the length of the text."""
+    base = t.once(df.select("addr_id", "cluster", F.col(col)), F.col(col), "__x")
+    base = t.once(base.select("addr_id", "cluster", F.length("__x").alias("len"), F.lower("__x").alias("__x")), F.array_distinct(t.words(F.col("__x"))), "__t")
+    least = lambda h: F.array_min(F.transform("__t", lambda w: F.struct(F.md5(F.concat(h.cast("string"), F.lit(":"), w)).alias("k"), w.alias("w"))))["w"]
     rows = F.transform(F.sequence(F.lit(1), F.lit(HASHES)), lambda h: F.struct(h.alias("h"), least(h).alias("m")))
-    return base.select("addr_id", "cluster", F.explode_outer(rows).alias("x")).select("addr_id", "cluster", "x.h", "x.m")
+    return base.select("addr_id", "cluster", "len", F.explode_outer(rows).alias("x")).select("addr_id", "cluster", "len", "x.h", "x.m")
 
 
 def _length_sums(df: DataFrame, col: str) -> DataFrame:
@@ -119,11 +121,14 @@ def cluster_confidence(similarity: DataFrame) -> DataFrame:
 def representative(df: DataFrame, col: str = "text") -> DataFrame:
     """Per cluster the row most like the others on average."""
     mh = _minhashes(df, col)
-    sizes = mh.groupBy("cluster", "h", "m").agg(F.count(F.lit(1)).alias("c"))
-    same = mh.join(sizes, ["cluster", "h", "m"]).groupBy("cluster", "addr_id").agg((F.sum(F.col("c") - 1) / HASHES).alias("same"))
-    n = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    rows = df.select("cluster", "addr_id", F.length(col).alias("len")).join(_length_sums(df, col).select("cluster", "len", "ratio_sum"), ["cluster", "len"])
-    j = rows.join(same, ["cluster", "addr_id"]).join(n, "cluster").filter(F.col("n") > 1)
+    groups = mh.filter(F.col("m").isNotNull()).groupBy("cluster", "h", "m").agg(F.count(F.lit(1)).alias("c"))
+    # a row per cluster and word with its group sizes by hash function, so what meets the texts grows with the vocabulary
+    sizes = checkpointed(groups.groupBy("cluster", "m").agg(F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("sizes")))
+    met = mh.join(hinted(sizes), ["cluster", "m"])
+    same = met.groupBy("cluster", "addr_id", "len").agg((F.sum(F.element_at("sizes", F.col("h")) - 1) / HASHES).alias("same"))
+    lens = checkpointed(_length_sums(df, col).select("cluster", "len", "c", "ratio_sum"))
+    n = lens.groupBy("cluster").agg(F.sum("c").alias("n"))
+    j = same.join(hinted(lens.drop("c")), ["cluster", "len"]).join(n, "cluster").filter(F.col("n") > 1)
     score = F.round((F.col("same") * 0.7 + F.col("ratio_sum") * 0.3) / (F.col("n") - 1), 9)
     return j.groupBy("cluster").agg(F.max_by("addr_id", F.struct(score.alias("s"), -F.col("addr_id"))).alias("addr_id"), F.max(score).alias("mean_similarity"))
 
@@ -150,12 +155,15 @@ def clustering_score(confidences: DataFrame, max_clusters: int = 10) -> DataFram
 
 
 def suggest_patterns(df: DataFrame, k: int, max_patterns: int = 10, min_confidence: float = 0.6, col: str = "text") -> DataFrame:
-    """Best of the clusterings by mean confidence, one pattern per cluster, sure ones only, best first."""
-    feats = feature_matrix(df.select("addr_id", col), col).cache()
+    """Best of the clusterings by mean confidence, one pattern per cluster, sure ones only, best first.
+
+    ``df`` may bring its ``features``; else they are computed here, once for both clusterings.
+    """
+    feats = df if "features" in df.columns else checkpointed(feature_matrix(df.select("addr_id", col), col))
     best, top = None, -1.0
-    for clustered in (cluster_kmeans(feats, k), cluster_gmm(feats, k)):
-        rows = clustered.select("addr_id", col, "cluster")
-        conf = cluster_confidence(cluster_similarity(rows, col))
+    for cluster in (cluster_kmeans, cluster_gmm):
+        rows = checkpointed(cluster(feats, k).select("addr_id", col, "cluster"))
+        conf = checkpointed(cluster_confidence(cluster_similarity(rows, col)))
         score = clustering_score(conf).first().score or 0.0
         if score > top:
             best, top = (rows, conf), score

@@ -39,6 +39,11 @@ def features(spark, sf_dir):
     return m.feature_matrix(corpus(spark, sf_dir).select("addr_id", "text"))
 
 
+def kept_features(spark, sf_dir):
+    """Features written once: every pass of a clustering would compute them again."""
+    return checkpointed(features(spark, sf_dir))
+
+
 @query("l02_feature_matrix")
 def l02(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
@@ -49,17 +54,17 @@ def l02(spark, sf_dir):
 
 @query("l03_cluster_kmeans")
 def l03(spark, sf_dir):
-    return m.cluster_kmeans(features(spark, sf_dir), 4).select("addr_id", "cluster")
+    return m.cluster_kmeans(kept_features(spark, sf_dir), 4).select("addr_id", "cluster")
 
 
 @query("l05_cluster_gmm")
 def l05(spark, sf_dir):
-    return m.cluster_gmm(features(spark, sf_dir), 3).select("addr_id", "cluster")
+    return m.cluster_gmm(kept_features(spark, sf_dir), 3).select("addr_id", "cluster")
 
 
 @query("l06_choose_k")
 def l06(spark, sf_dir):
-    rows = checkpointed(features(spark, sf_dir))
+    rows = kept_features(spark, sf_dir)
     return rounded(spark.createDataFrame(m.choose_k(rows), "k int, silhouette double"), 4)
 
 
@@ -115,8 +120,9 @@ def l10(spark, sf_dir):
 
 @query("l11_suggest_patterns")
 def l11(spark, sf_dir):
-    k = m.choose_k(checkpointed(features(spark, sf_dir)))[0][0]
-    return rounded(m.suggest_patterns(corpus(spark, sf_dir).select("addr_id", "text"), k, min_confidence=0.3).select("pattern_id", "regex", "confidence", "coverage"), 3)
+    rows = kept_features(spark, sf_dir)
+    k = m.choose_k(rows)[0][0]
+    return rounded(m.suggest_patterns(rows, k, min_confidence=0.3).select("pattern_id", "regex", "confidence", "coverage"), 3)
 
 
 @query("l12_length_bucket_clusters", "SELECT length(text) // 20 AS bucket, count(*) AS cluster_size, 0.3::DOUBLE AS confidence FROM documents GROUP BY 1 HAVING count(*) >= 3")
