@@ -40,6 +40,14 @@ POINTS = """rw AS (SELECT pattern_id, ts, n - rn + 1 AS volume, threshold_used A
      avg(success::INT) OVER w AS success_rate, 0.1 * pow(0.9::DOUBLE, n - rn + 1) * sum(confidence * pow(0.9::DOUBLE, -(n - rn + 1))) OVER w AS confidence_avg
      FROM o WINDOW w AS (PARTITION BY pattern_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
    pts AS (SELECT * FROM rw WHERE volume % 10 = 0)"""
+# The same means with weights that restart every 1,000 uses: 0.9 to the power of a count of thousands leaves the range of a double.
+EMA_POINTS = """rb AS (SELECT pattern_id, ts, event_id, n - rn + 1 AS volume, (n - rn) // 1000 AS blk, (n - rn) % 1000 AS i, success, confidence, threshold_used AS threshold FROM o),
+   rw AS (SELECT pattern_id, ts, volume, blk, i, threshold, avg(success::INT) OVER (PARTITION BY pattern_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS success_rate,
+     0.1 * pow(0.9::DOUBLE, i) * sum(confidence * pow(0.9::DOUBLE, -i)) OVER (PARTITION BY pattern_id, blk ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS inside FROM rb),
+   ow AS (SELECT pattern_id, blk, inside AS own FROM rw WHERE i = 999),
+   bc AS (SELECT a.pattern_id, a.blk, sum(b.own * pow(0.9::DOUBLE, 1000 * (a.blk - 1 - b.blk))) AS carry
+     FROM (SELECT DISTINCT pattern_id, blk FROM rw) a JOIN ow b ON b.pattern_id = a.pattern_id AND b.blk < a.blk GROUP BY 1, 2),
+   pts AS (SELECT rw.*, inside + coalesce(carry, 0) * pow(0.9::DOUBLE, i + 1) AS confidence_avg FROM rw LEFT JOIN bc ON bc.pattern_id = rw.pattern_id AND bc.blk = rw.blk WHERE volume % 10 = 0)"""
 TREND = """pw AS (SELECT pattern_id, success_rate, row_number() OVER (PARTITION BY pattern_id ORDER BY volume) AS i,
      count(*) OVER (PARTITION BY pattern_id) AS kk FROM pts, nowt WHERE ts > now - INTERVAL 7 DAY),
    pa AS (SELECT pattern_id, max(kk) AS kk, var_pop(success_rate) AS va, avg(success_rate) FILTER (i > kk // 2) - avg(success_rate) FILTER (i <= kk // 2) AS df
@@ -172,7 +180,7 @@ def k11(spark, sf_dir):
 
 @query(
     "k12_history_points",
-    f"""WITH {KEV}, {POINTS} SELECT pattern_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, volume, round(success_rate, 6) AS success_rate,
+    f"""WITH {KEV}, {EMA_POINTS} SELECT pattern_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, volume, round(success_rate, 6) AS success_rate,
         round(threshold, 6) AS threshold, round(confidence_avg, 6) AS confidence_avg FROM pts""",
 )
 def k12(spark, sf_dir):
