@@ -64,24 +64,41 @@ def feature_matrix(df: DataFrame, col: str = "text", words: int = 100, chars: in
     return Pipeline(stages=stages).fit(step).transform(step).select(*df.columns, "features")
 
 
-def cluster_kmeans(features: DataFrame, k: int) -> DataFrame:
-    return KMeans(k=k, seed=42, maxIter=10).fit(features).transform(features).withColumnRenamed("prediction", "cluster")
+def feature_points(features: DataFrame) -> DataFrame:
+    """Each distinct feature vector once, with the number of its rows as ``weight``.
+
+    Short texts share vectors. A clustering iterates over the weighted vectors, which have the same
+    means and the same costs as the rows, so what is read again and again grows with what differs.
+    """
+    return checkpointed(features.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+
+
+def _kmeans(points: DataFrame, k: int):
+    return KMeans(k=k, seed=42, maxIter=10, weightCol="weight").fit(points)
 
 
-def cluster_gmm(features: DataFrame, k: int, dims: int = 8) -> DataFrame:
-    """Gaussian mixture over the leading components."""
-    reduced = PCA(k=dims, inputCol="features", outputCol="__pca").fit(features).transform(features)
-    model = GaussianMixture(k=k, seed=42, maxIter=10, featuresCol="__pca", predictionCol="cluster").fit(reduced)
-    return model.transform(reduced).drop("__pca", "probability")
+def cluster_kmeans(features: DataFrame, k: int, points: DataFrame | None = None) -> DataFrame:
+    points = feature_points(features) if points is None else points
+    return _kmeans(points, k).transform(features).withColumnRenamed("prediction", "cluster")
 
 
-def choose_k(features: DataFrame, ks=range(2, 11), min_size: int = 3) -> list[tuple[int, float]]:
-    """(k, silhouette) for each k whose clusters all reach the minimum size, best first."""
+def cluster_gmm(features: DataFrame, k: int, points: DataFrame | None = None, dims: int = 8) -> DataFrame:
+    """Gaussian mixture over the leading components (of all rows)."""
+    points = feature_points(features) if points is None else points
+    pca = PCA(k=dims, inputCol="features", outputCol="__pca").fit(features)
+    model = GaussianMixture(k=k, seed=42, maxIter=10, featuresCol="__pca", predictionCol="cluster", weightCol="weight").fit(pca.transform(points))
+    return model.transform(pca.transform(features)).drop("__pca", "probability")
+
+
+def choose_k(features: DataFrame, ks=range(2, 11), min_size: int = 3, points: DataFrame | None = None) -> list[tuple[int, float]]:
+    """(k, silhouette over all rows) for each k whose clusters all reach the minimum size, best first."""
+    points = feature_points(features) if points is None else points
     judge, scored = ClusteringEvaluator(), []
     for k in ks:
-        model = KMeans(k=k, seed=42, maxIter=10).fit(features)
-        if min(model.summary.clusterSizes) >= min_size:
-            scored.append((k, judge.evaluate(model.transform(features))))
+        model = _kmeans(points, k)
+        sizes = [r.n for r in model.transform(points).groupBy("prediction").agg(F.sum("weight").alias("n")).collect()]  # a row per cluster
+        if len(sizes) == k and min(sizes) >= min_size:
+            scored.append((k, judge.evaluate(model.transform(features.select("features")))))
     return sorted(scored, key=lambda x: -x[1])
 
 
@@ -105,7 +122,11 @@ def _length_sums(df: DataFrame, col: str) -> DataFrame:
 
 def cluster_similarity(df: DataFrame, col: str = "text") -> DataFrame:
     """Mean pairwise similarity per cluster: 0.7 token Jaccard (minhash estimate) + 0.3 length ratio (exact)."""
-    groups = _minhashes(df, col).groupBy("cluster", "h", "m").agg(F.count(F.lit(1)).alias("c"))
+    return _similarity(_minhashes(df, col), df, col)
+
+
+def _similarity(minhashes: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    groups = minhashes.groupBy("cluster", "h", "m").agg(F.count(F.lit(1)).alias("c"))
     pairs = groups.groupBy("cluster").agg((F.sum(F.col("c") * (F.col("c") - 1)) / HASHES).alias("same"))
     lens = _length_sums(df, col).groupBy("cluster").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("ratio_sum")).alias("ratios"))
     both = F.col("n") * (F.col("n") - 1)
@@ -154,20 +175,25 @@ def clustering_score(confidences: DataFrame, max_clusters: int = 10) -> DataFram
     return confidences.agg((F.avg("confidence") * F.when(n > max_clusters, 0.5).when(n < 2, 0.7).otherwise(1.0)).alias("score"))
 
 
-def suggest_patterns(df: DataFrame, k: int, max_patterns: int = 10, min_confidence: float = 0.6, col: str = "text") -> DataFrame:
+def suggest_patterns(df: DataFrame, k: int, max_patterns: int = 10, min_confidence: float = 0.6, col: str = "text", points: DataFrame | None = None) -> DataFrame:
     """Best of the clusterings by mean confidence, one pattern per cluster, sure ones only, best first.
 
-    ``df`` may bring its ``features``; else they are computed here, once for both clusterings.
+    ``df`` may bring its ``features`` (and their ``points``); else they are computed here, once for both clusterings.
     """
     feats = df if "features" in df.columns else checkpointed(feature_matrix(df.select("addr_id", col), col))
-    best, top = None, -1.0
-    for cluster in (cluster_kmeans, cluster_gmm):
-        rows = checkpointed(cluster(feats, k).select("addr_id", col, "cluster"))
-        conf = checkpointed(cluster_confidence(cluster_similarity(rows, col)))
-        score = clustering_score(conf).first().score or 0.0
-        if score > top:
-            best, top = (rows, conf), score
-    rows, conf = best
+    points = feature_points(feats) if points is None else points
+    made = cluster_kmeans(feats, k, points).withColumnRenamed("cluster", "kmeans")
+    made = cluster_gmm(made, k, points).withColumnRenamed("cluster", "gmm")
+    kinds = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("id")) for name in ("kmeans", "gmm")])
+    rows = checkpointed(made.select("addr_id", col, kinds.alias("cluster")))
+    # minhashes are the same in both clusterings: taken once per text, then dealt to either
+    each = rows.withColumn("cluster", F.explode("cluster"))
+    hashed = _minhashes(rows, col).withColumn("cluster", F.explode("cluster"))
+    conf = checkpointed(cluster_confidence(_similarity(hashed, each, col)))
+    score = {name: clustering_score(conf.filter(F.col("cluster.kind") == name)).first().score or 0.0 for name in ("kmeans", "gmm")}
+    best = max(score, key=score.get)  # of equal ones the first
+    of_best = F.col("cluster.kind") == best
+    rows, conf = (x.filter(of_best).withColumn("cluster", F.col("cluster.id")) for x in (each, conf))
     out = synthesize_patterns(rows, col).join(conf.select("cluster", "confidence"), "cluster").filter(F.col("confidence") >= min_confidence)
     return out.orderBy(F.col("confidence").desc(), "pattern_id").limit(max_patterns)
 

@@ -121,8 +121,9 @@ def l10(spark, sf_dir):
 @query("l11_suggest_patterns")
 def l11(spark, sf_dir):
     rows = kept_features(spark, sf_dir)
-    k = m.choose_k(rows)[0][0]
-    return rounded(m.suggest_patterns(rows, k, min_confidence=0.3).select("pattern_id", "regex", "confidence", "coverage"), 3)
+    points = m.feature_points(rows)
+    k = m.choose_k(rows, points=points)[0][0]
+    return rounded(m.suggest_patterns(rows, k, min_confidence=0.3, points=points).select("pattern_id", "regex", "confidence", "coverage"), 3)
 
 
 @query("l12_length_bucket_clusters", "SELECT length(text) // 20 AS bucket, count(*) AS cluster_size, 0.3::DOUBLE AS confidence FROM documents GROUP BY 1 HAVING count(*) >= 3")
