@@ -126,6 +126,43 @@ def with_near_in_city(df: DataFrame, city: Column, value: Column, by_city: dict[
     return df.withColumn(out, near(city, value))
 
 
+def with_nears(df: DataFrame, city: Column, district: Column, dims: Dims, cutoff: float, out: str) -> DataFrame:
+    """Add all near names that a city and its district may need, as city, inside and anywhere.
+
+    One Arrow function: Spark keeps a Python process per function that depends on another's result,
+    for every task that runs. The district is sought in the city as it stands after correction, then
+    anywhere; known names are not sought.
+    """
+    lists, known = {c: tuple(ds) for c, ds in dims.by_city.items()}, set(dims.pairs)
+    cities, districts = dims.cities, tuple(dims.districts)
+    city_set, district_set = set(cities), set(districts)
+
+    @F.pandas_udf(f"city {NEAR}, inside {NEAR}, anywhere {NEAR}")
+    def nears(cs: pd.Series, ds: pd.Series) -> pd.DataFrame:
+        seek = lru_cache(maxsize=None)(_near)
+
+        def one(c, d) -> tuple:
+            near = inside = anywhere = None
+            if isinstance(c, str) and c not in city_set:
+                near = seek(c, cities, 5, cutoff)
+                c = near[0]["name"] if near and near[0]["ratio"] >= 0.8 else c
+            if isinstance(d, str):
+                if c in lists and (c, d) not in known:
+                    inside = seek(d, lists[c], 3, cutoff)
+                if d not in district_set and not (inside and inside[0]["ratio"] >= 0.8):
+                    anywhere = seek(d, districts, 5, cutoff)
+            return near, inside, anywhere
+
+        rows = [one(c, d) for c, d in zip(cs, ds)]
+        return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object) for i, name in enumerate(("city", "inside", "anywhere"))})
+
+    return t.once(df, nears(city, district), out)
+
+
+def _folded(c: Column) -> Column:
+    return F.when(t.blank_to_null(c).isNotNull(), t.ascii_fold(c))
+
+
 def _verdict(valid: Column, value: Column, confidence: Column, suggestions: Column, warning: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.struct(
@@ -137,12 +174,12 @@ def _names(near: Column, start: int = 1) -> Column:
     return F.slice(F.transform(near, lambda x: x["name"]), start, F.greatest(F.size(near), F.lit(1)))
 
 
-def validate_city(df: DataFrame, col: str, dims: Dims, out: str = "city_v", cutoff: float = 0.6) -> DataFrame:
-    """Add the verdict struct: exact, corrected (>= 0.8), suggested, or unknown."""
+def validate_city(df: DataFrame, col: str, dims: Dims, out: str = "city_v", cutoff: float = 0.6, nears: str | None = None) -> DataFrame:
+    """Add the verdict struct: exact, corrected (>= 0.8), suggested, or unknown. ``nears`` has the near names if they are known."""
     raw = F.col(col)
-    step = t.once(df, F.when(t.blank_to_null(raw).isNotNull(), t.ascii_fold(raw)), "__c")
+    step = t.once(df, _folded(raw), "__c")
     exact = t.in_set("__c", dims.cities)
-    step = with_near(step, F.when(~exact, F.col("__c")), list(dims.cities), 5, cutoff, "__n")
+    step = step.withColumn("__n", F.col(f"{nears}.city")) if nears else with_near(step, F.when(~exact, F.col("__c")), list(dims.cities), 5, cutoff, "__n")
     near, best = F.col("__n"), F.get(F.col("__n"), F.lit(0))
     r = best["ratio"]
     verdict = (
@@ -156,20 +193,25 @@ def validate_city(df: DataFrame, col: str, dims: Dims, out: str = "city_v", cuto
     return t.once(step, verdict, out).drop("__c", "__n")
 
 
-def validate_district(df: DataFrame, col: str, dims: Dims, city: str | None = None, out: str = "district_v", cutoff: float = 0.6) -> DataFrame:
-    """In the city exactly, in the city nearly, anywhere exactly, anywhere nearly."""
+def validate_district(df: DataFrame, col: str, dims: Dims, city: str | None = None, out: str = "district_v", cutoff: float = 0.6,
+                      nears: str | None = None) -> DataFrame:
+    """In the city exactly, in the city nearly, anywhere exactly, anywhere nearly. ``nears`` has the near names if they are known."""
     raw = F.col(col)
     town = F.col(city) if city else F.lit(None).cast("string")
-    step = t.once(df, F.when(t.blank_to_null(raw).isNotNull(), t.ascii_fold(raw)), "__d")
-    step = t.once(step, F.when(t.blank_to_null(town).isNotNull(), t.ascii_fold(town)), "__t")
+    step = t.once(df, _folded(raw), "__d")
+    step = t.once(step, _folded(town), "__t")
     d, c = F.col("__d"), F.col("__t")
     known = F.coalesce(t.in_set("__t", sorted(dims.by_city)), F.lit(False))
     inside = F.coalesce(t.in_set("concat(__t, '|', __d)", [f"{a}|{b}" for a, b in dims.pairs]), F.lit(False))
-    step = with_near_in_city(step, c, F.when(known & ~inside, d), dims.by_city, 3, cutoff, "__n1")
+    if nears:
+        step = step.withColumn("__n1", F.col(f"{nears}.inside") if city else F.lit(None).cast(NEAR))
+    else:
+        step = with_near_in_city(step, c, F.when(known & ~inside, d), dims.by_city, 3, cutoff, "__n1")
     n1, b1 = F.col("__n1"), F.get(F.col("__n1"), F.lit(0))
     placed = inside | b1.isNotNull()
     anywhere = t.in_set("__d", dims.districts)
-    step = with_near(step, F.when(~placed & ~anywhere, d), dims.districts, 5, cutoff, "__n2")
+    seek = lambda df: with_near(df, F.when(~placed & ~anywhere, d), dims.districts, 5, cutoff, "__n2")
+    step = step.withColumn("__n2", F.col(f"{nears}.anywhere")) if nears else seek(step)
     n2, b2 = F.col("__n2"), F.get(F.col("__n2"), F.lit(0))
     none = F.lit(None).cast("array<string>")
     q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -188,10 +230,10 @@ def validate_district(df: DataFrame, col: str, dims: Dims, city: str | None = No
     return t.once(step, verdict, out).drop("__d", "__t", "__n1", "__n2")
 
 
-def validate_consistency(df: DataFrame, city: str, district: str, dims: Dims, out: str = "consistency") -> DataFrame:
+def validate_consistency(df: DataFrame, city: str, district: str, dims: Dims, out: str = "consistency", nears: str | None = None) -> DataFrame:
     """Standardize both names on their own, then test membership; lists other homes of the district."""
-    step = validate_city(df, city, dims, "__cv")
-    step = validate_district(step, district, dims, None, "__dv")
+    step = validate_city(df, city, dims, "__cv", nears=nears)
+    step = validate_district(step, district, dims, None, "__dv", nears=nears)
     c = F.coalesce(F.col("__cv.value"), t.ascii_fold(F.col(city)))
     d = F.coalesce(F.col("__dv.value"), t.ascii_fold(F.col(district)))
     step = t.once(t.once(step, c, "__sc"), d, "__sd")
@@ -250,10 +292,12 @@ def apply_geo_validation(df: DataFrame, dims: Dims, fields: str = "fields", warn
         step = step.withColumn(said, F.when(moved, F.col(f"{verdict}.warnings")).otherwise(F.array().cast("array<string>")))
         return t.once(step, F.when(moved, new).otherwise(F.col(col)), col)
 
-    step = swap(validate_city(step, "__gc", dims, "__cv0"), "__gc", "__cv0", "__w1")
-    step = swap(validate_district(step, "__gd", dims, "__gc", "__dv0"), "__gd", "__dv0", "__w2")
+    # a name that is swapped is a known one afterwards, so the near names hold for all three checks
+    step = with_nears(step, _folded(F.col("__gc")), _folded(F.col("__gd")), dims, 0.6, "__near")
+    step = swap(validate_city(step, "__gc", dims, "__cv0", nears="__near"), "__gc", "__cv0", "__w1")
+    step = swap(validate_district(step, "__gd", dims, "__gc", "__dv0", nears="__near"), "__gd", "__dv0", "__w2")
     both = F.col("__gc").isNotNull() & F.col("__gd").isNotNull()
-    step = validate_consistency(step.withColumns({"__cc": F.when(both, F.col("__gc")), "__dd": F.when(both, F.col("__gd"))}), "__cc", "__dd", dims, "__k")
+    step = validate_consistency(step.withColumns({"__cc": F.when(both, F.col("__gc")), "__dd": F.when(both, F.col("__gd"))}), "__cc", "__dd", dims, "__k", nears="__near")
     step = swap(step.withColumn("__pv0", validate_postcode(F.col("__gp"))), "__gp", "__pv0", "__w4")
     w3 = F.when(both & ~F.col("__k.is_consistent"), F.col("__k.warnings")).otherwise(F.array().cast("array<string>"))
     made = F.col(fields)

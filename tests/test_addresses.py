@@ -48,6 +48,20 @@ def test_near_cities(spark):
     assert not v[3].is_valid and v[3].warnings == ["City 'xqzw' not found in Turkish provinces"] and v[4].warnings == ["Empty city name"]
 
 
+def test_geo_validation_keeps_one_python_function(spark):
+    names = [(c, d) for c in (None, "Istanbul", "Istanbl", "xqzw") for d in (None, "Kadikoy", "Kadikoyy", "Bornov", "qqq")]
+    rows = [(i, (c, d, "06100"), []) for i, (c, d) in enumerate(names)]
+    df = spark.createDataFrame(rows, "addr_id long, fields struct<city:string,district:string,postcode:string>, warnings array<string>")
+    out = geo.apply_geo_validation(df, dims(spark))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    alone = df.select("addr_id", F.col("fields.city").alias("c"), F.col("fields.district").alias("d"))
+    alone = geo.validate_city(alone, "c", dims(spark)).withColumn("town", F.coalesce("city_v.value", "c"))
+    alone = {r.addr_id: r for r in geo.validate_district(alone, "d", dims(spark), "town").collect()}
+    for r in out.collect():
+        c, d = alone[r.addr_id].city_v.value or alone[r.addr_id].c, alone[r.addr_id].district_v.value or alone[r.addr_id].d
+        assert (r.fields.city, r.fields.district) == (c, d)
+
+
 def test_postcodes(spark):
     rows = [("01000",), ("00999",), ("81999",), ("82000",), ("3471",), ("347 10",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "p string").select(geo.validate_postcode(F.col("p")).is_valid).collect()]
