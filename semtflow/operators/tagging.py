@@ -21,6 +21,8 @@ from semtflow.operators.evaluation import LABEL_FIELDS
 from semtflow.session import checkpointed
 
 BUCKETS = 4096
+#: Different tokens from which a fit takes another task.
+PART_TOKENS = 50_000
 ENTITIES = "array<struct<label:string,start:int,end:int,text:string,confidence:double>>"
 NEVER = -1e9
 
@@ -44,10 +46,13 @@ def _buckets(token: Column, before: Column, after: Column, i: Column, buckets: i
 def fit_tagger(bio: DataFrame, iterations: int = 20, buckets: int = BUCKETS) -> Tagger:
     """Multinomial logistic weights from tokens with neighbours and ``tag`` (as ``bio_tags`` gives them)."""
     c = F.col
-    data = checkpointed(bio.select("tag", _buckets(c("token"), c("before"), c("after"), c("i"), buckets).cast("array<string>").alias("terms")).coalesce(2))
+    shown = bio.select("tag", _buckets(c("token"), c("before"), c("after"), c("i"), buckets).cast("array<string>").alias("terms"))
+    # tokens that show the same count as one with a weight: each iteration reads what differs
+    data = checkpointed(shown.groupBy("tag", "terms").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    data = data.coalesce(max(2, data.count() // PART_TOKENS))
     hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=4 * buckets)
     indexer = StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc").fit(data)
-    model = LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4).fit(hashing.transform(indexer.transform(data)))
+    model = LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4, weightCol="weight").fit(hashing.transform(indexer.transform(data)))
     place = [hashing.indexOf(str(b)) for b in range(buckets)]
     coefficients = model.coefficientMatrix.toArray().T
     rows = [tuple(round(float(x), 5) for x in coefficients[p]) for p in place]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semtflow.functions import text as t
-from semtflow.operators import cascade
+from semtflow.operators import cascade, tagging
 from semtflow.operators.entities import bio_tags, build_ner_table, token_table, train_test_split
 from semtflow.operators.tagging import Tagger, _path, _scores, entity_confidence, entity_fields, fit_tagger, load_tagger, save_tagger, tag_rows
 from semtflow.sources.derived import addresses
@@ -88,3 +88,12 @@ def test_cascade_reads_the_text(spark, sf, tagger):
         fields = [v for k, v in r.fields.asDict().items() if v and k != "street"]
         assert all(v in texts[r.addr_id] for v in fields) and r.confidence >= 0.7
     assert {r.method for r in cascade.normalize_addresses(rows, None).collect()} <= {"error", "pattern_high", "pattern_medium", "fallback"}
+
+
+def test_a_fit_reads_tokens_that_show_the_same_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"moda mahallesi bahariye sokak no {i % 4}") for i in range(40)], "addr_id long, address string")
+    read, cut = [], tagging.checkpointed
+    monkeypatch.setattr(tagging, "checkpointed", lambda d: read.append(cut(d)) or read[0])
+    bio = bio_tags(build_ner_table(df).select("addr_id", "text", "spans"))
+    assert "B-MAH" in fit_tagger(bio, iterations=2).tags
+    assert read[0].count() <= bio.count() / 10 and read[0].agg(F.sum("weight")).first()[0] == bio.count()
