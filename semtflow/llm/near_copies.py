@@ -15,6 +15,10 @@ from semtflow.llm.simhash import components, shingle_hashes, without_rows
 
 #: Words of a shingle, least Jaccard share, bands and MinHashes of a band.
 SPAN, SHARE, BANDS, ROWS = 5, 0.8, 24, 4
+#: Least equal bytes of two sketches whose sets are compared; at 0.8 fewer agree with a probability of 7e-12.
+AGREE = 45
+#: Texts of a band's key that still meet each other in pairs.
+FEW = 16
 #: Shingles whose MinHashes are taken at a time.
 _SLICE = 1 << 12
 #: Bytes of texts whose shingle sets a task holds at a time.
@@ -22,8 +26,8 @@ _BYTES = 1 << 20
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """One key per band; a text without shingles has keys of its own."""
+def _sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One key per band, and a byte of every MinHash; a text without shingles has keys of its own."""
     low = np.full(_ODD.size, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, shingles.size, _SLICE):
         low = np.minimum(low, (shingles[k : k + _SLICE, None] * _ODD).min(axis=0))
@@ -31,7 +35,7 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     for part in low.reshape(BANDS, ROWS).T:
         key = (key ^ part) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    return key
+    return key, (low >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def _slices(b: pa.RecordBatch, col: str) -> Iterator[tuple[int, int]]:
@@ -44,17 +48,22 @@ def _slices(b: pa.RecordBatch, col: str) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _banded(span: int):
+def _sketched(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [_sketch(shingle_hashes(t.as_py() or b"", span)) for t in b.column("text")]  # one text at a time
-            each = np.repeat(np.arange(len(keys)), BANDS)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("t").take(pa.array(each)), pa.array(flat.view(np.int64))], ["t", "key"])
+            made = [_sketch(shingle_hashes(t.as_py() or b"", span)) for t in b.column("text")]  # one text at a time
+            keys = pa.array([k.view(np.int64) for k, _ in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("t"), keys, pa.array([x for _, x in made], pa.binary())], ["t", "keys", "sketch"])
 
     return run
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("a", "b"))
+        yield b.select(["t", "c"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+
 def _sets(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,9 +90,14 @@ def _checked(share: float):
     return run
 
 
-def similar_links(texts: DataFrame, pairs: DataFrame, span: int, share: float) -> DataFrame:
-    """The pairs (t, c) whose shingle sets have a Jaccard share of at least ``share``."""
-    pairs = cut(pairs)
+def similar_links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, span: int, share: float) -> DataFrame:
+    """The pairs (t, c) whose shingle sets have a Jaccard share of at least ``share``.
+
+    Sets are made and sent only for pairs whose sketches leave that open.
+    """
+    of = lambda t, s: sketches.select(F.col("t").alias(t), F.col("sketch").alias(s))
+    pairs = pairs.distinct().join(of("t", "a"), "t").join(of("c", "b"), "c")
+    pairs = cut(pairs.select("t", "c", "a", "b").mapInArrow(_possible, "t long, c long"))
     nodes = cut(pairs.select("t").unionAll(pairs.select(F.col("c").alias("t"))).distinct())
     some = texts.join(small(nodes, F.lit(8)), "t", "left_semi").dropDuplicates(["t"])
     sets = cut(some.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(span), "t long, s binary"))
@@ -92,40 +106,92 @@ def similar_links(texts: DataFrame, pairs: DataFrame, span: int, share: float) -
     return cut(both.select("t", "c", "s", "cs").mapInArrow(_checked(share), "t long, c long"))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t, s in zip(b.column("t"), b.column("s"), strict=True):
+            x = np.frombuffer(s.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(x.size, t.as_py())), pa.array(np.full(x.size, x.size)), pa.array(x)], ["t", "n", "x"])
+
+
+def rare_shingles(texts: DataFrame, span: int, share: float) -> DataFrame:
+    """t, key, n, ix: the rarest shingles of each text by which it meets every text that is alike.
+
+    Shingles are ordered by the number of texts that hold them. Of two alike texts with n and m
+    shingles, n <= m, the larger holds one of the n - ceil(2 share / (1 + share) n) + 1 rarest of the
+    smaller (``ix``) within the m - ceil(share m) + 1 rarest of its own (prefix filtering), so what
+    many texts have in common brings none together that differ elsewhere.
+    """
+    sets = cut(texts.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(span), "t long, s binary"))
+    each = sets.mapInArrow(_listed, "t long, n long, x long")
+    counts = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
+    most = max(1000, (counts.agg(F.sum("d")).first()[0] or 0) >> 19)  # so the frequent are 524,288 at most
+    hot = F.broadcast(cut(counts.filter(F.col("d") > most)))
+    met = each.join(hot, "x").unionByName(each.join(hot, "x", "left_anti").join(counts.filter(F.col("d") <= most), "x"))
+    least = lambda part: F.col("n") - F.ceil(part * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))  # noqa: E731  what stands in no other text comes first
+    rows = met.groupBy("t").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("d", "x"))).alias("xs"))
+    rows = rows.select("t", "n", least(2 * share / (1 + share)).alias("i"), F.slice("xs", F.lit(1), F.greatest(least(share), F.lit(0)).cast("int")).alias("xs"))
+    return rows.select("t", "n", "i", F.posexplode("xs")).select("t", F.col("col.x").alias("key"), "n", (F.col("pos") < F.col("i")).alias("ix"))
+
+
 def near_copies(docs: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
     """_t, _root: the text hash of every text that goes, and of the text that stands for it.
 
     Texts are alike if the sets of their shingles (runs of ``span`` words, A-Z lower-cased, fewer
     words make one) share ``share`` of their union. Pairs that agree in all ROWS MinHashes of one
     of BANDS bands are checked exactly; a pair at 0.8 meets in no band with a probability of
-    3e-6. Texts are ordered by their smallest id, null ids last. All texts of a band's key
-    meet the smallest of them; what was not alike goes on without it, and meets in full pairs
-    once these are few, so that a large group makes no pairs. Texts that stay and met in a band
-    are not alike, and each that goes is linked to one that stays by checked pairs.
+    3e-6. Texts are ordered by their smallest id, null ids last. All texts of a band's key meet the
+    smallest of them; what was not alike goes on without it. What then shares a key with at most
+    FEW texts meets these in pairs; the others meet by their rare shingles, which loses none,
+    again each with the smallest of a shingle until pairs are few. So neither copies nor a common
+    passage make pairs. Texts that stay and met are not alike, and each that goes is linked to one
+    that stays by checked pairs.
     """
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(th.alias("t"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
     first = cut(texts.groupBy("t").agg(F.min(order).alias("o")))
     one = texts.select("t", "text").dropDuplicates(["t"]).select("t", F.col("text").cast("binary").alias("text"))
-    bands = cut(one.mapInArrow(_banded(span), "t long, key long"))
+    made = cut(one.mapInArrow(_sketched(span), "t long, keys array<long>, sketch binary"))
+    sketches, bands = made.select("t", "sketch"), made.select("t", F.explode("keys").alias("key"))
     shared = cut(bands.groupBy("key").count().filter("count > 1").select("key"))
-    bands = cut(bands.join(small(shared, F.lit(8)), "key", "left_semi").join(first, "t"))
-    n_texts, links = first.count(), texts.select("t", F.col("t").alias("c")).limit(0)
+    # a row meets what comes after it if it may be met (ix); the order is (n, o)
+    rows = bands.join(small(shared, F.lit(8)), "key", "left_semi").join(first, "t")
+    rows = cut(rows.select("t", "key", F.struct(F.lit(0).cast("long").alias("n"), "o").alias("p"), F.lit(True).alias("ix")))
+    few, links, rare = max(1 << 16, 4 * first.count()), texts.select("t", F.col("t").alias("c")).limit(0), False
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return similar_links(texts, sketches, pairs.select("t", "c"), span, share)
+
+    def met(some: DataFrame) -> DataFrame:
+        """Every row with all before it that may be met."""
+        before = some.filter("ix").select("key", F.col("p").alias("q"))
+        return some.join(before, "key").filter("q < p").select("t", F.col("q.o.t").alias("c"))
+
     while True:
-        sizes = cut(bands.groupBy("key").agg(F.min("o").alias("co"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
-        n_pairs = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1))).first()[0]
+        n_met, least = F.count_if("ix").alias("i"), F.min(F.when(F.col("ix"), F.col("p"))).alias("q")
+        sizes = cut(rows.groupBy("key").agg(least, n_met, F.count(F.lit(1)).alias("m")).filter("i > 0 and m > 1"))
+        n_pairs = sizes.agg(F.sum(F.col("i") * F.col("m"))).first()[0]
         if not n_pairs:
             break
-        bands = cut(bands.join(small(sizes, F.lit(48)), "key"))
-        last = n_pairs <= max(1 << 16, 4 * n_texts)
-        pairs = bands.join(bands.select("key", F.col("o").alias("c2")), "key").withColumn("co", F.col("c2")) if last else bands
-        found = similar_links(texts, pairs.filter("co < o").select("t", F.col("co.t").alias("c")).distinct(), span, share)
-        links = cut(links.unionAll(found))
-        if last:
+        rows = rows.join(small(sizes, F.lit(64)), "key").filter("p >= q")
+        if n_pairs <= few:
+            links = cut(links.unionAll(linked(met(cut(rows.select("t", "key", "p", "ix"))))))
             break
+        rows = cut(rows)
+        found = linked(rows.filter("q < p").select("t", F.col("q.o.t").alias("c")))
+        links = cut(links.unionAll(found))
         gone = cut(found.select("t").distinct())
-        bands = cut(bands.filter("co < o").select("t", "key", "o").join(small(gone, F.lit(8)), "t", "left_anti"))
+        rows = cut(rows.filter("q < p").select("t", "key", "p", "ix").join(small(gone, F.lit(8)), "t", "left_anti"))
+        if not rare:
+            sizes = cut(rows.groupBy("key").count().filter("count > 1"))
+            lone = sizes.filter(F.col("count") <= FEW).select("key")
+            found = linked(met(rows.join(lone, "key", "left_semi")))
+            links = cut(links.unionAll(found))
+            crowd = rows.join(sizes.filter(F.col("count") > FEW).select("key"), "key", "left_semi").select("t").distinct().join(found.select("t").distinct(), "t", "left_anti")
+            crowd = cut(crowd)
+            rare = True
+            rows = rare_shingles(one.join(small(crowd, F.lit(8)), "t", "left_semi"), span, share).join(first, "t")
+            rows = cut(rows.select("t", "key", F.struct("n", "o").alias("p"), "ix"))
     comp = components(links.select(F.greatest("t", "c").alias("u"), F.least("t", "c").alias("v")).distinct())
     # the smallest hash of a component has no link of its own
     comp = cut(comp.unionAll(comp.select(F.col("v").alias("u"), "v").distinct()).join(first, F.col("u") == F.col("t")).select("t", "o", "v"))

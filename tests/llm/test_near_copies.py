@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from semtflow.llm import near_copies as near_copies_module
 from semtflow.llm.common import table
 from semtflow.llm.near_copies import drop_near_copies, near_copies
 
@@ -76,3 +77,40 @@ def test_awkward_documents(awkward, awkward_rows, nothing):
         least[r[1] or ""] = min(least.get(r[1] or "", (True, 0)), (r[0] is None, r[0] or 0))
     assert all((r.doc_id is None, r.doc_id or 0) == least[r.text or ""] for r in kept.collect())
     assert drop_near_copies(nothing).collect() == [] and near_copies(nothing).collect() == []
+
+
+def passage_rows(rng, n):
+    """Texts of one long passage and a few words of their own, every tenth with an edited copy."""
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage, rows = words(60), []
+    for k in range(n):
+        own = words(12 + k % 5)
+        rows.append((10 * k, " ".join(passage + own)))
+        if k % 10 == 0:
+            rows.append((10 * k + 1, " ".join(passage + own[:-1] + words(1))))
+    return rows
+
+
+def test_a_common_passage_makes_few_rounds(spark, monkeypatch):
+    rows, rounds, links = passage_rows(random.Random(6), 400), [], near_copies_module.similar_links
+    monkeypatch.setattr(near_copies_module, "similar_links", lambda *a: rounds.append(1) or links(*a))
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(check(rows, kept)) >= 40 and len(kept) < len(rows)
+    assert len(rounds) <= 4
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    rng = random.Random(7)
+    texts = [t for _, t in passage_rows(rng, 60)]
+    base = [f"v{rng.randrange(40)}" for _ in range(90)]
+    texts += [" ".join(base[i : 90 - j]) for i in range(0, 12, 3) for j in range(0, 12, 2)] + ["a", "a b c d e f", "a b c d e f g"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    met = {}
+    for r in near_copies_module.rare_shingles(frame, 5, 0.8).collect():
+        assert r.n == len(shingles(texts[r.t]))
+        met.setdefault(r.key, []).append((r.n, r.t, r.ix))
+    pairs = {(a[1], b[1]) for ks in met.values() for a in ks for b in ks if a[2] and a[:2] < b[:2]}
+    alike = pairs_alike(texts)
+    assert len(alike) > 50
+    assert all((a, b) in pairs or (b, a) in pairs for a, b in alike)
+    assert len(pairs) < 0.5 * len(texts) ** 2 / 2  # the passage alone makes none
