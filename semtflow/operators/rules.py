@@ -206,16 +206,22 @@ def legacy_heuristics(get, text: Column) -> dict[str, Column]:
 
 def legacy_province_suggest(value: Column, provinces: list[str] = fv.LEGACY_PROVINCES) -> Column:
     """First province of the list that equals, prefixes, is prefixed by, or shares over 0.8 of its letters."""
-    low = F.lower(value)
-    chars = F.array_distinct(F.split(low, ""))
+    named = [{"p": p, "q": p.lower(), "c": list(dict.fromkeys(p.lower()))} for p in provinces]
+    known = t.table(named, "array<struct<p:string,q:string,c:array<string>>>")
 
-    def fits(p: Column) -> Column:
-        q = F.lower(p)
-        theirs = F.array_distinct(F.split(q, ""))
-        share = F.size(F.array_intersect(chars, theirs)) / F.size(F.array_union(chars, theirs))
-        return (low == q) | q.startswith(low) | low.startswith(q) | (share > 0.8)
+    def suggested(v: Column) -> Column:
+        low, chars, n = v["low"], v["chars"], F.size(v["chars"])
 
-    return F.get(F.filter(t.table(provinces, "array<string>"), fits), F.lit(0))
+        def fits(r: Column) -> Column:
+            m = F.size(r["c"])
+            alike = t.let(F.size(F.array_intersect(chars, r["c"])), lambda both: both / (n + m - both) > 0.8)
+            return (low == r["q"]) | r["q"].startswith(low) | low.startswith(r["q"]) | ((F.least(n, m) / F.greatest(n, m) > 0.8) & alike)
+
+        return F.get(F.filter(known, fits), F.lit(0))["p"]
+
+    # a lambda computes what it names for every province, so the value's own parts are bound before
+    parts = lambda low: F.struct(low.alias("low"), F.array_distinct(F.split(low, "")).alias("chars"))
+    return t.let(t.let(F.lower(value), parts), suggested)
 
 
 def legacy_validate(get) -> dict[str, Column]:

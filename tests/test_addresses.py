@@ -132,3 +132,20 @@ def test_cluster_similarity_near_all_pairs(spark):
     got = mining.cluster_similarity(df).first()
     assert abs(got.length_similarity - sum(s[1] for s in sims) / len(sims)) < 1e-9
     assert abs(got.jaccard - sum(s[0] for s in sims) / len(sims)) < 0.08
+
+
+def test_province_suggestion_takes_a_value_apart_once(spark):
+    values = ["İstanbul", "istanbu", "ISTANBUL", "ankra", "x", "", " ", "Aydın ", "kara", "Muğl", "nigde", "Zzyzx", "Şanlıurfa merkez", "IĞDIR", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+
+    def suggested(v):
+        low = v.lower()
+        for p in fv.LEGACY_PROVINCES:
+            a, b = set(low), set(p.lower())
+            if low == p.lower() or p.lower().startswith(low) or low.startswith(p.lower()) or len(a & b) / len(a | b) > 0.8:
+                return p
+
+    out = rows.select("v", rules.legacy_province_suggest(F.col("v")).alias("s"))
+    assert {r.v: r.s for r in out.collect()} == {v: None if v is None else suggested(v) for v in values}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("lower(") == 1  # and not for each of the provinces
