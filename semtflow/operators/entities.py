@@ -7,8 +7,9 @@ the spans of a pattern list; everything after works on span arrays in the row.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
@@ -22,15 +23,43 @@ from semtflow.functions import text as t
 SPAN = "array<struct<start:int,end:int,label:string>>"
 
 
+#: Words and the blanks between them, at the front of a pattern.
+_WORDS = r"\b(\w+(?:\s+\w+)*)\s+"
+
+
+def _needed(pattern: str) -> str:
+    """What a match of the pattern cannot do without: all behind leading words, else its first letters."""
+    if pattern.startswith(_WORDS):
+        return pattern.removeprefix(_WORDS)
+    letters = re.search(r"[^\W\d_]+(?!\?)", re.sub(r"\\.", " ", pattern))
+    return letters.group(0) if letters else r"\d"
+
+
+def _matches(pattern: re.Pattern, needed: re.Pattern, text: str) -> Iterator[re.Match]:
+    """As ``pattern.finditer(text)``. Where nothing the pattern needs is left, leading words are not tried in vain."""
+    last = max((m.start() for m in needed.finditer(text)), default=-1)
+    at = 0
+    while at <= last and (m := pattern.search(text, at)):
+        yield m
+        at = m.end()
+
+
 def _find(patterns: list[tuple[str, str]], whole: set[str]):
     """Arrow function: all spans of the patterns in order; labels in ``whole`` span the full match."""
-    compiled = [(label, re.compile(p), 0 if label in whole else 1) for label, p in patterns]
-
-    @F.pandas_udf(SPAN)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda s: [{"start": m.start(g), "end": m.end(g), "label": label} for label, p, g in compiled for m in p.finditer(s)],
-            na_action="ignore")
+    compiled = [(label, re.compile(p), re.compile(_needed(p)), 0 if label in whole else 1) for label, p in patterns]
+
+    @F.arrow_udf(SPAN)
+    def spans(texts: pa.Array) -> pa.Array:
+        ends, starts, stops, labels = [0], [], [], []
+        for s in texts.to_pylist():
+            for label, p, needed, g in compiled if s else ():
+                for m in _matches(p, needed, s):
+                    starts.append(m.start(g))
+                    stops.append(m.end(g))
+                    labels.append(label)
+            ends.append(len(starts))
+        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(labels, pa.string())], ["start", "end", "label"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=texts.is_null())
 
     return spans
 
@@ -51,26 +80,31 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def _resolve(spans: Column, order: Column, stronger) -> Column:
+def _resolve(spans: Column, order: Column, strength) -> Column:
     """Ordered fold: a span enters unless a kept one it overlaps is at least as strong; weaker ones before that leave."""
-    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), order(s).alias("k"), i.alias("i"), s["end"].alias("end"), s["label"].alias("label")))
+    keyed = F.transform(spans, lambda s, i: F.struct(
+        s["start"].alias("start"), order(s).alias("k"), i.alias("i"), s["end"].alias("end"), s["label"].alias("label"), strength(s).alias("w")))
 
     def fold(acc: Column, s: Column) -> Column:
-        block = F.get(F.filter(F.transform(acc, lambda f, i: F.when(_overlaps(f, s) & ~stronger(s, f), i)), lambda x: x.isNotNull()), F.lit(0))
-        kept = F.filter(acc, lambda f, i: ~(_overlaps(f, s) & stronger(s, f) & (block.isNull() | (i < block))))
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))
-        return F.when(block.isNull(), F.concat(kept, F.array(one))).otherwise(kept)
+        blocks = F.transform(acc, lambda f, i: F.when(_overlaps(f, s) & (s["w"] <= f["w"]), i))
+
+        def entered(block: Column) -> Column:
+            kept = F.filter(acc, lambda f, i: ~(_overlaps(f, s) & (s["w"] > f["w"]) & (block.isNull() | (i < block))))
+            return F.when(block.isNull(), F.concat(kept, F.array(s))).otherwise(kept)
+
+        return t.let(F.get(F.filter(blocks, lambda x: x.isNotNull()), F.lit(0)), entered)
 
-    return F.array_sort(F.aggregate(F.array_sort(keyed), F.array().cast(SPAN), fold))
+    kept = F.aggregate(F.array_sort(keyed), F.array().cast("array<struct<start:int,k:int,i:int,end:int,label:string,w:int>>"), fold)
+    return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
 
 
 def resolve_overlaps_longest(spans: Column) -> Column:
-    return _resolve(spans, lambda s: -s["end"], lambda s, f: (s["end"] - s["start"]) > (f["end"] - f["start"]))
+    return _resolve(spans, lambda s: -s["end"], lambda s: s["end"] - s["start"])
 
 
 def resolve_overlaps_priority(spans: Column) -> Column:
     rank = lambda s: F.coalesce(F.element_at(t.table({k: i + 1 for i, k in enumerate(fv.LABEL_ORDER)}, "map<string,int>"), s["label"]), F.lit(10))
-    return _resolve(spans, rank, lambda s, f: rank(s) < rank(f))
+    return _resolve(spans, rank, lambda s: -rank(s))
 
 
 def label_entities_v1(df: DataFrame, col: str = "text") -> DataFrame:
