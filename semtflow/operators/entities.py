@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from semtflow.functions import fixed_values as fv
 from semtflow.functions import text as t
+from semtflow.session import checkpointed
 
 SPAN = "array<struct<start:int,end:int,label:string>>"
 
@@ -176,20 +177,29 @@ def _features() -> Column:
         F.when(w.rlike("^[0-9]+$"), "number").otherwise("word"), F.when(F.col("i") == 0, "first").otherwise("later"))
 
 
-def train_tagger(bio: DataFrame, iterations: int = 30, buckets: int = 4096) -> PipelineModel:
-    """Multinomial logistic tagger over hashed window features."""
-    data = bio.withColumn("features_text", _features())
+def tag_counts(bio: DataFrame, by: list[str]) -> DataFrame:
+    """tag, ``by`` and what a token shows, with the number of such tokens: as many rows as the vocabulary makes, not one a token.
+
+    Cut here, so that the passes of a fit and the evaluation do not label the texts again.
+    """
+    return checkpointed(bio.groupBy("tag", *by, _features().alias("features_text")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def train_tagger(counted: DataFrame, iterations: int = 30, buckets: int = 4096) -> PipelineModel:
+    """Multinomial logistic tagger over hashed window features, from ``tag_counts``."""
+    data = counted.withColumn("weight", F.col("n").cast("double"))
     return Pipeline(stages=[
         StringIndexer(inputCol="tag", outputCol="label", handleInvalid="keep"),
         HashingTF(inputCol="features_text", outputCol="features", numFeatures=buckets),
-        LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4),
+        LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4, weightCol="weight"),
     ]).fit(data)
 
 
 def tag_tokens(tokens: DataFrame, model: PipelineModel) -> DataFrame:
-    """Predicted tag and its probability for every token."""
+    """Predicted tag and its probability for every row of tokens or of ``tag_counts``."""
     indexer, hashing, lr = model.stages
-    scored = lr.transform(hashing.transform(tokens.withColumn("features_text", _features())))
+    shown = tokens if "features_text" in tokens.columns else tokens.withColumn("features_text", _features())
+    scored = lr.transform(hashing.transform(shown))
     named = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*indexer.labels, "__unseen"]).transform(scored)
     return named.withColumn("probability", F.array_max(vector_to_array("probability"))).drop("features_text", "features", "rawPrediction", "prediction")
 
