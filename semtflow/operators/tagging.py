@@ -53,7 +53,9 @@ def fit_tagger(bio: DataFrame, iterations: int = 20, buckets: int = BUCKETS) ->
     hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=4 * buckets)
     indexer = StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc").fit(data)
     model = LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4, weightCol="weight").fit(hashing.transform(indexer.transform(data)))
-    place = [hashing.indexOf(str(b)) for b in range(buckets)]
+    # one row per bucket
+    terms = bio.sparkSession.range(buckets).select("id", F.array(F.col("id").cast("string")).alias("terms"))
+    place = [int(r.features.indices[0]) for r in hashing.transform(terms).orderBy("id").collect()]
     coefficients = model.coefficientMatrix.toArray().T
     rows = [tuple(round(float(x), 5) for x in coefficients[p]) for p in place]
     return Tagger(tuple(indexer.labels), (*rows, tuple(round(float(x), 5) for x in model.interceptVector)))
@@ -81,25 +83,27 @@ def _scores(tokens: Column, tagger: Tagger) -> Column:
 def _path(scores: Column, tags: tuple[str, ...]) -> Column:
     """The tags (as places) of the best sequence in which I-X follows B-X or I-X."""
     at = {tag: k for k, tag in enumerate(tags)}
-    rules = t.table([{"k": k, "b": at.get("B-" + tag[2:], -1) if tag.startswith("I-") else -1, "inside": tag.startswith("I-")} for k, tag in enumerate(tags)],
-                    "array<struct<k:int,b:int,inside:boolean>>")
 
     def step(acc: Column, score: Column) -> Column:
-        last = acc["score"]
-        best = F.array_max(last)
-        best_at = (F.array_position(last, best) - 1).cast("int")
-
-        def of(r: Column) -> Column:
-            own, begin = F.get(last, r["k"]), F.when(r["b"] >= 0, F.get(last, r["b"])).otherwise(F.lit(NEVER))
-            inner = F.struct(F.greatest(own, begin).alias("s"), F.when(own >= begin, r["k"]).otherwise(r["b"]).alias("from"))
-            first = F.struct(F.when(r["inside"], NEVER).otherwise(0.0).alias("s"), F.lit(-1).alias("from"))
-            prior = F.when(F.size(last) == 0, first).when(r["inside"], inner).otherwise(F.struct(best.alias("s"), best_at.alias("from")))
-            return t.let(prior, lambda p: F.struct((p["s"] + F.get(score, r["k"])).alias("s"), p["from"].alias("from")))
+        # before the first token every sum is 0, and no tag goes inside; where that came from is not read
+        def grown(x: Column) -> Column:
+            last, best, first = x["last"], x["best"], F.size(acc["back"]) == 0
+            sums, origins = [], []
+            for k, tag in enumerate(tags):
+                prior, origin = best, x["best_at"]
+                if tag.startswith("I-"):
+                    own, b = F.get(last, F.lit(k)), at.get("B-" + tag[2:], -1)
+                    begin = F.get(last, F.lit(b)) if b >= 0 else F.lit(NEVER)
+                    prior, origin = F.when(first, NEVER).otherwise(F.greatest(own, begin)), F.when(own >= begin, k).otherwise(b)
+                sums.append(prior + F.get(score, F.lit(k)))
+                origins.append(origin)
+            return F.struct(F.array(*sums).alias("score"), F.concat(acc["back"], F.array(F.array(*origins))).alias("back"))
 
-        return t.let(F.transform(rules, of), lambda rows: F.struct(
-            F.transform(rows, lambda x: x["s"]).alias("score"), F.concat(acc["back"], F.array(F.transform(rows, lambda x: x["from"]))).alias("back")))
+        last = acc["score"]
+        ahead = t.let(F.array_max(last), lambda m: F.struct(last.alias("last"), m.alias("best"), (F.array_position(last, m) - 1).cast("int").alias("best_at")))
+        return t.let(ahead, grown)
 
-    none = F.struct(F.array().cast("array<double>").alias("score"), F.array().cast("array<array<int>>").alias("back"))
+    none = F.struct(F.array(*[F.lit(0.0)] * len(tags)).alias("score"), F.array().cast("array<array<int>>").alias("back"))
 
     def traced(end: Column) -> Column:
         last = (F.array_position(end["score"], F.array_max(end["score"])) - 1).cast("int")

@@ -97,3 +97,11 @@ def test_a_fit_reads_tokens_that_show_the_same_once(spark, monkeypatch):
     bio = bio_tags(build_ner_table(df).select("addr_id", "text", "spans"))
     assert "B-MAH" in fit_tagger(bio, iterations=2).tags
     assert read[0].count() <= bio.count() / 10 and read[0].agg(F.sum("weight")).first()[0] == bio.count()
+
+
+def test_fit_asks_spark_once_for_all_buckets(spark, sf, monkeypatch):
+    """A call of the driver for each bucket took as long as the fit itself."""
+    monkeypatch.setattr(tagging.HashingTF, "indexOf", None)
+    bio = bio_tags(build_ner_table(addresses(spark, sf).select("addr_id", "address")).select("addr_id", "text", "spans"))
+    fitted = fit_tagger(bio, 2, 64)
+    assert len(fitted.weights) == 65 and all(len(w) == len(fitted.tags) for w in fitted.weights)
