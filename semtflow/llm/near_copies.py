@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semtflow.llm.common import cut, row_key, small
+from semtflow.llm.common import cut, packed, row_key, small
 from semtflow.llm.simhash import components, shingle_hashes, without_rows
 
 #: Words of a shingle, least Jaccard share, bands and MinHashes of a band.
@@ -97,13 +97,13 @@ def similar_links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, span:
     """
     of = lambda t, s: sketches.select(F.col("t").alias(t), F.col("sketch").alias(s))
     pairs = pairs.distinct().join(of("t", "a"), "t").join(of("c", "b"), "c")
-    pairs = cut(pairs.select("t", "c", "a", "b").mapInArrow(_possible, "t long, c long"))
-    nodes = cut(pairs.select("t").unionAll(pairs.select(F.col("c").alias("t"))).distinct())
+    pairs = packed(pairs.select("t", "c", "a", "b").mapInArrow(_possible, "t long, c long"))
+    nodes = packed(pairs.select("t").unionAll(pairs.select(F.col("c").alias("t"))).distinct())
     some = texts.join(small(nodes, F.lit(8)), "t", "left_semi").dropDuplicates(["t"])
     sets = cut(some.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(span), "t long, s binary"))
-    centres = cut(pairs.select("c").distinct()).join(sets, F.col("c") == F.col("t")).select("c", F.col("s").alias("cs"))
+    centres = packed(pairs.select("c").distinct()).join(sets, F.col("c") == F.col("t")).select("c", F.col("s").alias("cs"))
     both = pairs.join(sets, "t").join(small(cut(centres), F.octet_length("cs") + 16), "c")
-    return cut(both.select("t", "c", "s", "cs").mapInArrow(_checked(share), "t long, c long"))
+    return packed(both.select("t", "c", "s", "cs").mapInArrow(_checked(share), "t long, c long"))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +123,9 @@ def rare_shingles(texts: DataFrame, span: int, share: float) -> DataFrame:
     """
     sets = cut(texts.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(span), "t long, s binary"))
     each = sets.mapInArrow(_listed, "t long, n long, x long")
-    counts = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
+    counts = packed(each.groupBy("x").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
     most = max(1000, (counts.agg(F.sum("d")).first()[0] or 0) >> 19)  # so the frequent are 524,288 at most
-    hot = F.broadcast(cut(counts.filter(F.col("d") > most)))
+    hot = F.broadcast(packed(counts.filter(F.col("d") > most)))
     met = each.join(hot, "x").unionByName(each.join(hot, "x", "left_anti").join(counts.filter(F.col("d") <= most), "x"))
     least = lambda part: F.col("n") - F.ceil(part * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))  # noqa: E731  what stands in no other text comes first
     rows = met.groupBy("t").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("d", "x"))).alias("xs"))
@@ -149,14 +149,14 @@ def near_copies(docs: DataFrame, span: int = SPAN, share: float = SHARE) -> Data
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(th.alias("t"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("t").alias("t"))
-    first = cut(texts.groupBy("t").agg(F.min(order).alias("o")))
+    first = packed(texts.groupBy("t").agg(F.min(order).alias("o")))
     one = texts.select("t", "text").dropDuplicates(["t"]).select("t", F.col("text").cast("binary").alias("text"))
     made = cut(one.mapInArrow(_sketched(span), "t long, keys array<long>, sketch binary"))
     sketches, bands = made.select("t", "sketch"), made.select("t", F.explode("keys").alias("key"))
-    shared = cut(bands.groupBy("key").count().filter("count > 1").select("key"))
+    shared = packed(bands.groupBy("key").count().filter("count > 1").select("key"))
     # a row meets what comes after it if it may be met (ix); the order is (n, o)
     rows = bands.join(small(shared, F.lit(8)), "key", "left_semi").join(first, "t")
-    rows = cut(rows.select("t", "key", F.struct(F.lit(0).cast("long").alias("n"), "o").alias("p"), F.lit(True).alias("ix")))
+    rows = packed(rows.select("t", "key", F.struct(F.lit(0).cast("long").alias("n"), "o").alias("p"), F.lit(True).alias("ix")))
     few, links, rare = max(1 << 16, 4 * first.count()), texts.select("t", F.col("t").alias("c")).limit(0), False
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -169,34 +169,34 @@ def near_copies(docs: DataFrame, span: int = SPAN, share: float = SHARE) -> Data
 
     while True:
         n_met, least = F.count_if("ix").alias("i"), F.min(F.when(F.col("ix"), F.col("p"))).alias("q")
-        sizes = cut(rows.groupBy("key").agg(least, n_met, F.count(F.lit(1)).alias("m")).filter("i > 0 and m > 1"))
+        sizes = packed(rows.groupBy("key").agg(least, n_met, F.count(F.lit(1)).alias("m")).filter("i > 0 and m > 1"))
         n_pairs = sizes.agg(F.sum(F.col("i") * F.col("m"))).first()[0]
         if not n_pairs:
             break
         rows = rows.join(small(sizes, F.lit(64)), "key").filter("p >= q")
         if n_pairs <= few:
-            links = cut(links.unionAll(linked(met(cut(rows.select("t", "key", "p", "ix"))))))
+            links = packed(links.unionAll(linked(met(packed(rows.select("t", "key", "p", "ix"))))))
             break
-        rows = cut(rows)
+        rows = packed(rows)
         found = linked(rows.filter("q < p").select("t", F.col("q.o.t").alias("c")))
-        links = cut(links.unionAll(found))
-        gone = cut(found.select("t").distinct())
-        rows = cut(rows.filter("q < p").select("t", "key", "p", "ix").join(small(gone, F.lit(8)), "t", "left_anti"))
+        links = packed(links.unionAll(found))
+        gone = packed(found.select("t").distinct())
+        rows = packed(rows.filter("q < p").select("t", "key", "p", "ix").join(small(gone, F.lit(8)), "t", "left_anti"))
         if not rare:
-            sizes = cut(rows.groupBy("key").count().filter("count > 1"))
+            sizes = packed(rows.groupBy("key").count().filter("count > 1"))
             lone = sizes.filter(F.col("count") <= FEW).select("key")
             found = linked(met(rows.join(lone, "key", "left_semi")))
-            links = cut(links.unionAll(found))
+            links = packed(links.unionAll(found))
             crowd = rows.join(sizes.filter(F.col("count") > FEW).select("key"), "key", "left_semi").select("t").distinct().join(found.select("t").distinct(), "t", "left_anti")
-            crowd = cut(crowd)
+            crowd = packed(crowd)
             rare = True
             rows = rare_shingles(one.join(small(crowd, F.lit(8)), "t", "left_semi"), span, share).join(first, "t")
-            rows = cut(rows.select("t", "key", F.struct("n", "o").alias("p"), "ix"))
+            rows = packed(rows.select("t", "key", F.struct("n", "o").alias("p"), "ix"))
     comp = components(links.select(F.greatest("t", "c").alias("u"), F.least("t", "c").alias("v")).distinct())
     # the smallest hash of a component has no link of its own
-    comp = cut(comp.unionAll(comp.select(F.col("v").alias("u"), "v").distinct()).join(first, F.col("u") == F.col("t")).select("t", "o", "v"))
+    comp = packed(comp.unionAll(comp.select(F.col("v").alias("u"), "v").distinct()).join(first, F.col("u") == F.col("t")).select("t", "o", "v"))
     best = comp.groupBy("v").agg(F.min("o").alias("b"))
-    return comp.join(small(cut(best), F.lit(32)), "v").select(F.col("t").alias("_t"), F.col("b.t").alias("_root")).filter("_t <> _root")
+    return comp.join(small(packed(best), F.lit(32)), "v").select(F.col("t").alias("_t"), F.col("b.t").alias("_root")).filter("_t <> _root")
 
 
 def drop_near_copies(docs: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
@@ -204,10 +204,10 @@ def drop_near_copies(docs: DataFrame, span: int = SPAN, share: float = SHARE) ->
 
     Of rows with one text the smallest id stays, null ids last.
     """
-    gone = cut(near_copies(docs, span, share).select(F.col("_t").alias("_th")))
+    gone = packed(near_copies(docs, span, share).select(F.col("_t").alias("_th")))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"))
-    ids = cut(docs.select(*row_key(), order.alias("o")).groupBy("_id", "_th", "o").count())
-    best = cut(ids.groupBy("_th").agg(F.min("o").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("_th", "b"))
+    ids = packed(docs.select(*row_key(), order.alias("o")).groupBy("_id", "_th", "o").count())
+    best = packed(ids.groupBy("_th").agg(F.min("o").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("_th", "b"))
     later = ids.join(small(best, F.lit(32)), "_th").filter("o <> b")
     others = ids.join(small(gone, F.lit(8)), "_th", "left_semi")
-    return without_rows(docs, cut(later.select("_id", "_th").unionAll(others.select("_id", "_th")).distinct()), cut(ids.filter("count > 1").select("_id", "_th")))
+    return without_rows(docs, packed(later.select("_id", "_th").unionAll(others.select("_id", "_th")).distinct()), packed(ids.filter("count > 1").select("_id", "_th")))

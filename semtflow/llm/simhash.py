@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semtflow.llm.common import cut, row_key, small
+from semtflow.llm.common import cut, packed, row_key, small
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingle hashes unpacked to bits at a time.
@@ -151,14 +151,14 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star passes; each is two aggregations and joins, and its
     result is cut through the shared folder. A fixed point is seen by count and checksum.
     """
-    edges, last = cut(links), None
+    edges, last = packed(links), None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         star = large.join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut(star.unionAll(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = packed(star.unionAll(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return edges
@@ -176,9 +176,9 @@ def near_groups(docs: DataFrame, span: int = 3) -> DataFrame:
     rows = cut(fingerprints(docs, span))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comp = components(ball_links(fps.select("fp")))
-    root = cut(fps.join(comp, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("v", "fp").alias("root"), "first"))
+    root = packed(fps.join(comp, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("v", "fp").alias("root"), "first"))
     ids = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = cut(root.join(ids, "root").select("fp", "root", "component_id"))
+    label = packed(root.join(ids, "root").select("fp", "root", "component_id"))
     return rows.join(small(label, F.lit(40)), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
@@ -203,10 +203,10 @@ def drop_near_copies(docs: DataFrame, span: int = 3) -> DataFrame:
     The smallest (doc_id, text hash) of a component stays, null ids last. Rows that agree in id
     and text are one document, of which one row stays.
     """
-    groups = cut(near_groups(docs, span))
+    groups = packed(near_groups(docs, span))
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
     best = groups.groupBy("root").agg(F.min(key).alias("best"))
     _id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id")
     gone = groups.join(best, "root").filter(key != F.col("best")).select(_id, F.col("th").alias("_th")).distinct()
     again = groups.groupBy(_id, F.col("th").alias("_th")).count().filter("count > 1").drop("count")
-    return without_rows(docs, cut(gone), cut(again))
+    return without_rows(docs, packed(gone), packed(again))

@@ -30,3 +30,20 @@ def test_batches_are_bounded_in_bytes(spark):
             assert corpus_pipeline._bytes(spark.conf.get(name)) == left
     finally:
         spark.conf.set(name, before)
+
+
+def test_small_tables_take_few_partitions(spark):
+    """Groups of few rows ran a task for every shuffle partition in each of some 290 jobs."""
+    links = spark.createDataFrame([(k + 1, k) for k in range(9)] + [(21, 20)], "u long, v long")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("97", "false"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        found = simhash.components(links)
+        parts, rows = found.rdd.getNumPartitions(), {tuple(r) for r in found.collect()}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert rows == {(k, 0) for k in range(1, 10)} | {(21, 20)}
+    assert parts <= 4 * spark.sparkContext.defaultParallelism
